@@ -1,21 +1,14 @@
 """Explicit schemas of the tables the operators read and write; nothing is inferred."""
 
-from pyspark.sql import types as T
-
-
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
-
-CATEGORIES = _struct("idx BIGINT, product STRING")
-PRODUCTS = _struct("product STRING, brand STRING, model STRING, url STRING, id BIGINT")
+CATEGORIES = "idx BIGINT, product STRING"
+PRODUCTS = "product STRING, brand STRING, model STRING, url STRING, id BIGINT"
 # The product CSV as it lies on disk.
-PRODUCT_CSV = _struct("Product STRING, Brand STRING, Model STRING, URL STRING")
-VERSIONS = _struct("product STRING, path STRING, major INT, minor INT")
-ALIASES = _struct("url STRING, new_url STRING")
-PAGES = _struct("url STRING, html STRING")
-CAPTURES = _struct("url STRING, capture_id BIGINT, ts TIMESTAMP, status STRING, mime STRING, html STRING")
+PRODUCT_CSV = "Product STRING, Brand STRING, Model STRING, URL STRING"
+VERSIONS = "product STRING, path STRING, major INT, minor INT"
+ALIASES = "url STRING, new_url STRING"
+PAGES = "url STRING, html STRING"
+CAPTURES = "url STRING, capture_id BIGINT, ts TIMESTAMP, status STRING, mime STRING, html STRING"
 # Answers are keyed by everything that went into the question, so two rows never share one by accident.
-RESPONSES = _struct("query_type STRING, product STRING, brand STRING, url STRING, response STRING")
-SEARCH_BODY = _struct("error STRING, items ARRAY<STRUCT<title: STRING, link: STRING>>")
-SEARCH_RESULTS = _struct("query STRING, rank INT, title STRING, link STRING")
+RESPONSES = "query_type STRING, product STRING, brand STRING, url STRING, response STRING"
+SEARCH_BODY = "error STRING, items ARRAY<STRUCT<title: STRING, link: STRING>>"
+SEARCH_RESULTS = "query STRING, rank INT, title STRING, link STRING"
