@@ -44,7 +44,12 @@ def export_csv(rows: DataFrame, root: str, ordered: bool = True) -> None:
     )
     if ordered:
         out = out.repartitionByRange("category", "id").sortWithinPartitions("category", "id")
-    out.drop("id").write.partitionBy("category").option("header", True).option("escape", '"').csv(root)
+    (
+        out.drop("id")
+        .write.partitionBy("category")
+        .options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        .csv(root)
+    )
 
 
 def split_outcome(checked: DataFrame) -> DataFrame:
