@@ -95,12 +95,20 @@ def _decide(r: Column) -> Column:
     )
 
 
+def facts_of(pages: DataFrame, rules: Rules) -> DataFrame:
+    """Keyword facts of a page store; a table that holds them already is passed through."""
+    if "product_hit" in pages.columns:
+        return pages
+    return page_facts(pages, rules.product_terms, rules.unavailable_terms, rules.whole_word)
+
+
 def fetch_and_check(
     keys: DataFrame, aliases: DataFrame, pages: DataFrame, responses: DataFrame, rules: Rules = Rules()
 ) -> DataFrame:
     """Check every distinct `(product, brand, url)` of `keys`.
 
-    Returns the key with `new_url`, the classification and `needs`. What depends on the URL alone
+    `pages` is the page store, or the facts kept of it (`facts_of`). Returns the key with `new_url`,
+    the classification and `needs`. What depends on the URL alone
     (redirect, page, keyword facts) is worked out once per distinct URL, then brought back to the
     keys by a lookup that splits URLs shared by very many keys.
     """
@@ -108,7 +116,7 @@ def fetch_and_check(
     keys = keys.select(*QUESTION).distinct().withColumn("__fetch", F.when(~pdf_guard(url), url))
     keys = keys.withColumn("__who", F.concat_ws("\x1f", "product", "brand"))
 
-    facts = page_facts(pages, rules.product_terms, rules.unavailable_terms, rules.whole_word)
+    facts = facts_of(pages, rules)
     links = keys.select(F.col("__fetch")).filter(F.col("__fetch").isNotNull()).distinct()
     links = resolve_alias(links, aliases, "__fetch", "new_url")
     links = links.join(facts.withColumnRenamed("url", "new_url"), "new_url", "left")

@@ -35,6 +35,6 @@ def number_within(
     return inside.join(starts, spot).withColumn(out, F.col("__start") + F.col("__rn") - 1).drop("__start", "__rn")
 
 
-def id_bucket(id_col: Column | str, rows: int = 1 << 20) -> Column:
-    """Range of ids for `number_within`: an id occurs once per group, so a range bounds its rows."""
-    return F.floor((F.col(id_col) if isinstance(id_col, str) else id_col) / F.lit(rows))
+def id_bucket(id_col: str, bits: int = 20) -> Column:
+    """Range of `2^bits` ids for `number_within`: an id occurs once per group, so a range bounds its rows."""
+    return F.shiftright(F.col(id_col), bits)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.base import strip
@@ -67,12 +68,16 @@ def balanced_subset(rows: DataFrame, brands: int = 8, per_brand: int = 1, seed:
     """
     order: list[Column] = [F.col("id")] if seed is None else [F.xxhash64(F.lit(seed), F.col("id")), F.col("id")]
     picked = first_n_per(rows.filter(F.col("brand").isNotNull()), ["product", "brand"], order, per_brand)
-    lead = F.min(F.struct(*order)).alias("__lead")
-    full = picked.groupBy("product", "brand").agg(F.count(F.lit(1)).alias("__n"), lead)
-    full = first_n_per(full.filter(F.col("__n") == per_brand), ["product"], ["__lead"], brands)
-    enough = full.groupBy("product").agg(F.count(F.lit(1)).alias("__brands")).filter(F.col("__brands") == brands)
-    chosen = full.join(enough, "product", "left_semi").select("product", "brand")
-    return picked.join(chosen, ["product", "brand"], "left_semi")
+    # At most `per_brand` rows per brand are left, and their shuffle serves the brand windows too.
+    brand = W.partitionBy("product", "brand")
+    full = picked.withColumns(
+        {"__n": F.count(F.lit(1)).over(brand), "__lead": F.min(F.struct(*order)).over(brand)}
+    ).filter(F.col("__n") == per_brand)
+    ranked = full.withColumn("__place", F.dense_rank().over(W.partitionBy("product").orderBy("__lead")))
+    # And at most `brands * per_brand` rows per category here.
+    top = ranked.filter(F.col("__place") <= brands)
+    enough = top.withColumn("__last", F.max("__place").over(W.partitionBy("product"))).filter(F.col("__last") == brands)
+    return enough.select(*rows.columns)
 
 
 def apply_updates(rows: DataFrame, checked: DataFrame) -> DataFrame:

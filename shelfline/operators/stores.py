@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.base import bind
 from ..functions.keywords import any_term, is_unavailable
 from ..functions.text import extract_text
-from ..functions.urls import pdf_guard
+from ..functions.urls import drop_slash, pdf_guard, squeeze_url
 
 QUESTION = ["product", "brand", "url"]
 
@@ -74,6 +74,23 @@ def pending_searches(queries: DataFrame, usable: DataFrame) -> DataFrame:
     return queries.select("query").distinct().join(usable.select("query"), "query", "left_anti")
 
 
+def trim_stores(
+    rows: DataFrame, aliases: DataFrame, facts: DataFrame, responses: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The parts of the stores that concern `rows`.
+
+    For few rows against large stores: their keys are small enough to reach every scan task, so the
+    stores are filtered where they are read and only the matches travel.
+    """
+    links = rows.select("product", "brand", squeeze_url("url").alias("url"))
+    urls = links.select("url").distinct()
+    moved = aliases.join(urls, "url", "left_semi")
+    keys = resolve_alias(links, moved).select("product", "brand", F.col("new_url").alias("url")).distinct()
+    seen = facts.join(keys.select("url").distinct(), "url", "left_semi")
+    asked = keys.withColumn("url", drop_slash("url"))
+    return moved, seen, responses.join(asked, QUESTION, "left_semi")
+
+
 def lookup_verdicts(responses: DataFrame, kinds: list[str]) -> DataFrame:
     """One row per `(product, brand, url)` with a column per kind of question, null where unanswered."""
     wanted = responses.filter(F.col("query_type").isin(kinds))

@@ -21,15 +21,16 @@ def _resolved(rows: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def choose_pages(rows: DataFrame, aliases: DataFrame, pages: DataFrame) -> DataFrame:
-    """Per brand, the first row with a page. Only URLs of the page store are read for this."""
-    there = pages.filter(F.col("html").isNotNull()).select(F.col("url").alias("new_url"), F.lit(True).alias("has_page"))
+    """Per brand, the first row with a page. Of the page store only the URLs are read."""
+    there = pages.select(F.col("url").alias("new_url"), F.lit(True).alias("has_page"))
     return first_page_per_brand(salted_lookup(_resolved(rows, aliases), there, ["new_url"], "id"))
 
 
 def collect_pages(rows: DataFrame, aliases: DataFrame, pages: DataFrame) -> DataFrame:
     """Page and text of the chosen row of each brand: `(product, brand, id, url, html, content)`.
 
-    The choice is made on narrow rows; HTML joins the chosen ones only.
+    The choice is made on narrow rows; HTML joins the chosen ones only. With a page store bucketed
+    by URL (`sinks.save_page_store`) the store is not shuffled for it.
     """
     chosen = choose_pages(rows, aliases, pages).select("product", "brand", "id", "new_url")
     bodies = pages.select(F.col("url").alias("new_url"), "html")

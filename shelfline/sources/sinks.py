@@ -82,6 +82,15 @@ def write_pages_content(pages: DataFrame, root: str) -> None:
     ).parquet(root)
 
 
+def save_page_store(pages: DataFrame, table: str, buckets: int) -> None:
+    """Keep a page store as a table bucketed and sorted by URL.
+
+    Lookups by URL then bring their narrow side to the buckets, and HTML is not shuffled. Give it
+    enough buckets that the HTML of one fits a task.
+    """
+    pages.select("url", "html").repartition(buckets, "url").write.bucketBy(buckets, "url").sortBy("url").saveAsTable(table)
+
+
 def changed_aliases(fetched: DataFrame) -> DataFrame:
     """`(url, new_url)` of fetches that ended at another URL."""
     return fetched.filter(F.col("url") != F.col("new_url")).select("url", "new_url")

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.classify import Rules, fetch_and_check
+from ..operators.classify import Rules, facts_of, fetch_and_check
 from ..operators.rows import dedupe_url
 from ..operators.skew import salted_lookup
-from ..operators.stores import QUESTION
+from ..operators.stores import QUESTION, trim_stores
 
 OUTPUT = "id BIGINT, product STRING, brand STRING, model STRING, url STRING, new_url STRING, outcome STRING"
 
@@ -19,8 +19,12 @@ OUTPUT = "id BIGINT, product STRING, brand STRING, model STRING, url STRING, new
 def judge_rows(
     rows: DataFrame, aliases: DataFrame, pages: DataFrame, responses: DataFrame, rules: Rules = Rules()
 ) -> DataFrame:
-    """Own-page verdict of each row: kept, dropped or undecided."""
-    checks = fetch_and_check(rows, aliases, pages, responses, rules)
+    """Own-page verdict of each row of a batch: kept, dropped or undecided.
+
+    Keep the page facts as a table and pass that: with raw pages, every batch reads all of them.
+    """
+    stores = trim_stores(rows, aliases, facts_of(pages, rules), responses)
+    checks = fetch_and_check(rows, *stores, rules)
     j = salted_lookup(rows, checks, QUESTION, "id")
     fits = F.col("is_prod") & ~F.col("unavailable") & F.col("model_from_catalog").isNull()
     waits = F.col("needs").isNotNull()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfline.functions import keywords, text, urls, verdicts
 from shelfline.functions.base import bind
 from shelfline.operators import dataset, rows, search, stores, versions
-from shelfline.operators.classify import classify_page, fetch_and_check, rule_check
+from shelfline.operators.classify import classify_page, facts_of, fetch_and_check, rule_check
 from shelfline.plans import clean, collect, find, requests
 from shelfline.session import fresh_path, spread, stage
 from shelfline.sources import readers, sinks
@@ -816,7 +816,8 @@ def stream_verdicts_query(spark, d):
         "url",
     )
     out = fresh_path(spark, "verdicts")
-    q = stream_verdicts(rows_, lambda b: judge_rows(b, rules=RULES, **s), out, fresh_path(spark, "offsets"))
+    facts = stage(facts_of(s.pop("pages"), RULES), "facts")
+    q = stream_verdicts(rows_, lambda b: judge_rows(b, pages=facts, rules=RULES, **s), out, fresh_path(spark, "offsets"))
     q.awaitTermination()
     v = read_verdicts(spark, out)
     final = final_rows(v).select("product", "id", F.lit(True).alias("final"))
