@@ -10,7 +10,7 @@ FANOUT = 64
 MIN_ROWS = 1_000_000
 
 
-def hot_keys(df: DataFrame, on: list[str], min_rows: int = MIN_ROWS) -> list[int]:
+def hot_keys(df: DataFrame, on: list[str], min_rows: int | None = None) -> list[int]:
     """Hashes of the heaviest keys, at most `MAX_HOT` numbers.
 
     Which keys are treated as hot changes the speed of a lookup, never its result, so taking only
@@ -19,7 +19,7 @@ def hot_keys(df: DataFrame, on: list[str], min_rows: int = MIN_ROWS) -> list[int
     top = (
         df.groupBy(F.xxhash64(*on).alias("key"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") >= min_rows)
+        .filter(F.col("n") >= (MIN_ROWS if min_rows is None else min_rows))
         .orderBy(F.desc("n"), "key")
         .limit(MAX_HOT)
     )
@@ -31,7 +31,7 @@ def salted_lookup(
     right: DataFrame,
     on: list[str],
     spread_by: str,
-    min_rows: int = MIN_ROWS,
+    min_rows: int | None = None,
     fanout: int = FANOUT,
 ) -> DataFrame:
     """Left outer join to a table that is unique on `on`, with hot left keys split over `fanout` tasks.

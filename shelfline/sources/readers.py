@@ -81,7 +81,11 @@ def scan_page_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_page_files(spark: SparkSession, path: str) -> DataFrame:
-    """Page store kept as one file per page; the file name is the cache key."""
+    """Page store kept as one file per page; the file name is the cache key.
+
+    Hadoop file systems do not open names with a colon: rename such files, or pack them into a
+    table, before reading them here.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(path)
     name = F.element_at(F.split(F.col("path"), "/"), -1)
     key = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
