@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # White space as Unicode text tools see it; `\s` alone covers ASCII only.
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+# The same characters one by one, for trimming without a pattern.
+SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def col(c: Column | str) -> Column:
@@ -31,7 +33,7 @@ def terms_array(terms: list[str]) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Remove white space of any kind from both ends."""
-    return F.regexp_replace(F.regexp_replace(col(c), f"^{SPACE}+", ""), f"{SPACE}+\\z", "")
+    return F.btrim(col(c), F.lit(SPACES))
 
 
 def collapse_spaces(c: Column | str) -> Column:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from .base import SPACE
+from .base import SPACES
 
-_S = SPACE.replace("\\", "\\\\")
+_SPACES = "".join(f"\\u{ord(c):04x}" for c in SPACES)
 
 
 def _strip(x: str) -> str:
-    return f"regexp_replace(regexp_replace({x}, '^{_S}+', ''), '{_S}+\\\\z', '')"
+    return f"btrim({x}, '{_SPACES}')"
 
 
 _ANSWER = _strip("replace(lower(r), '\\'', '')")

@@ -11,7 +11,7 @@ from .. import vocab
 from ..functions.base import bind, col, is_true
 from ..functions.urls import drop_slash, marketplace_guard, pdf_guard, squeeze_url, url_blocklisted, url_has_path
 from ..functions.verdicts import ACCEPT, CATALOG, PASS, REJECT, catalog_model, verdict_page, verdict_url
-from .skew import salted_lookup
+from .skew import salted_join
 from .stores import CATALOG_PICK, PAGE_CHECK, QUESTION, URL_CHECK, lookup_verdicts, page_facts, resolve_alias
 
 
@@ -121,7 +121,7 @@ def fetch_and_check(
     links = resolve_alias(links, aliases, "__fetch", "new_url")
     links = links.join(facts.withColumnRenamed("url", "new_url"), "new_url", "left")
 
-    seen = salted_lookup(keys, links, ["__fetch"], "__who")
+    seen = salted_join(keys, links, ["__fetch"], "__who")
     # Asked about under the URL without its trailing slash; not fetched means nothing to ask.
     seen = seen.withColumn("new_url", F.coalesce("new_url", url)).withColumn("__ask", drop_slash("new_url"))
     seen = seen.withColumn("__rules", F.col("has_page") & rule_check("product_hit", "new_url", "brand", rules))

@@ -18,7 +18,7 @@ from ..functions.urls import (
 from ..functions.verdicts import catalog_model, verdict_brand, verdict_page
 from ..session import stage
 from .classify import Rules, fetch_and_check
-from .skew import salted_lookup
+from .skew import salted_join
 from .stores import BRAND_CHECK, CATALOG_PICK, PAGE_CHECK, QUESTION, lookup_verdicts
 
 MAX_RESTARTS = 3
@@ -42,7 +42,8 @@ def reachable_states(starts: DataFrame, responses: DataFrame, rules: Rules) -> D
 def gated_candidates(states: DataFrame, results: DataFrame, responses: DataFrame, rules: Rules) -> DataFrame:
     """Results of each state's query that pass the link gates; `brand_ok` is null while unanswered."""
     asked = states.withColumn("query", search_query("brand", "model", "product"))
-    c = asked.join(results, "query").withColumn("link", drop_slash("link"))
+    # A query with very many results is dealt out by link.
+    c = salted_join(results, asked, ["query"], "link", "inner").withColumn("link", drop_slash("link"))
     c = c.filter(
         url_has_path("link")
         & ~url_blocklisted("link", rules.url_terms, fold_case=False)
@@ -51,6 +52,7 @@ def gated_candidates(states: DataFrame, results: DataFrame, responses: DataFrame
     spoken = responses.filter(F.col("query_type") == BRAND_CHECK).select(
         "product", "brand", F.col("url").alias("__prefix"), F.col("response").alias("__said")
     )
+    # Left outer: a (brand, prefix) shared by very many candidates is split by adaptive execution.
     c = c.join(spoken, ["product", "brand", "__prefix"], "left")
     ok = F.when(brand_in_link("brand", "__prefix"), True).otherwise(verdict_brand("__said"))
     c = c.withColumn("brand_ok", ok).filter(F.coalesce("brand_ok", F.lit(True)))
@@ -62,7 +64,7 @@ def judge_candidates(candidates: DataFrame, checks: DataFrame) -> DataFrame:
 
     A missing answer is decisive too: what comes after it cannot be trusted yet.
     """
-    j = salted_lookup(candidates, checks, QUESTION, "model")
+    j = salted_join(candidates, checks, QUESTION, "model")
     catalog = F.col("model_from_catalog")
     kind = (
         F.when(F.col("unavailable") | ~F.coalesce("is_prod", F.lit(True)), NOTHING)

@@ -1,4 +1,4 @@
-"""Lookups from a table in which one key may hold a third of all rows."""
+"""Joins from a table in which one key may hold a third of all rows."""
 
 from __future__ import annotations
 
@@ -6,46 +6,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_HOT = 2_000
-FANOUT = 64
-MIN_ROWS = 1_000_000
+# Rows of one key that a task takes without trouble; also where a key starts to count as hot.
+ROWS_PER_SHARE = 1_000_000
 
 
-def hot_keys(df: DataFrame, on: list[str], min_rows: int | None = None) -> list[int]:
-    """Hashes of the heaviest keys, at most `MAX_HOT` numbers.
+def hot_keys(df: DataFrame, on: list[str], rows_per_share: int | None = None) -> list[tuple[int, int]]:
+    """Hash and number of shares of the heaviest keys, at most `MAX_HOT` pairs.
 
-    Which keys are treated as hot changes the speed of a lookup, never its result, so taking only
-    the heaviest ones drops no row. Counting combines inside each task before its shuffle.
+    Which keys are treated as hot changes the speed of a join, never its result, so taking only the
+    heaviest ones drops no row. Counting combines inside each task before its shuffle.
     """
+    per = ROWS_PER_SHARE if rows_per_share is None else rows_per_share
     top = (
         df.groupBy(F.xxhash64(*on).alias("key"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") >= (MIN_ROWS if min_rows is None else min_rows))
+        .filter(F.col("n") > per)
         .orderBy(F.desc("n"), "key")
         .limit(MAX_HOT)
     )
-    return [r.key for r in top.select("key").collect()]
+    return [(r.key, -(-r.n // per)) for r in top.collect()]
 
 
-def salted_lookup(
+def salted_join(
     left: DataFrame,
     right: DataFrame,
     on: list[str],
     spread_by: str,
-    min_rows: int | None = None,
-    fanout: int = FANOUT,
+    how: str = "left",
+    rows_per_share: int | None = None,
 ) -> DataFrame:
-    """Left outer join to a table that is unique on `on`, with hot left keys split over `fanout` tasks.
+    """Join in which hot keys of the left side are split over as many tasks as their rows need.
 
     Hot keys are measured first (`left` should be cheap to read twice). Without any, this is a plain
-    join. Otherwise rows of a hot key are dealt out by the hash of `spread_by`, the single right row
-    of that key is repeated once per share, and all other keys keep salt 0 on both sides.
+    join. Otherwise rows of a hot key are dealt out by the hash of `spread_by` and the right rows of
+    that key are repeated once per share; all other keys have one share. Repeats add up to no more
+    than the left rows divided by the rows of a share. Null keys, which match nothing, are spread
+    the same way. `how` is `left` or `inner`.
     """
-    hot = hot_keys(left, on, min_rows)
+    hot = hot_keys(left, on, rows_per_share)
     if not hot:
-        return left.join(right, on, "left")
-    is_hot = F.xxhash64(*on).isin(hot)
-    share = F.pmod(F.xxhash64(F.lit(17), F.col(spread_by)), F.lit(fanout)).cast("int")
-    shares = F.when(is_hot, F.sequence(F.lit(0), F.lit(fanout - 1))).otherwise(F.array(F.lit(0)))
-    lhs = left.withColumn("__salt", F.when(is_hot, share).otherwise(0))
-    rhs = right.withColumn("__salt", F.explode(shares))
-    return lhs.join(rhs, [*on, "__salt"], "left").drop("__salt")
+        return left.join(right, on, how)
+    # At most MAX_HOT pairs of numbers.
+    shares = F.broadcast(left.sparkSession.createDataFrame(hot, "__key BIGINT, __shares BIGINT"))
+
+    def marked(df: DataFrame) -> DataFrame:
+        keyed = df.withColumn("__key", F.xxhash64(*on)).join(shares, "__key", "left")
+        return keyed.withColumn("__shares", F.coalesce("__shares", F.lit(1)))
+
+    salt = F.pmod(F.xxhash64(F.lit(17), F.col(spread_by)), F.col("__shares"))
+    lhs = marked(left).withColumn("__salt", salt).drop("__key", "__shares")
+    rhs = marked(right).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__shares") - 1)))
+    return lhs.join(rhs.drop("__key", "__shares"), [*on, "__salt"], how).drop("__salt")

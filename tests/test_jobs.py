@@ -52,7 +52,7 @@ def test_hot_copies_change_nothing(spark, monkeypatch):
     t = rows(spark).unionByName(copies)
     run = lambda: sorted(map(str, clean.check_products(t, results, rules=RULES, **s).collect()))
     plain = run()
-    monkeypatch.setattr(skew, "MIN_ROWS", 20)
+    monkeypatch.setattr(skew, "ROWS_PER_SHARE", 20)
     assert run() == plain and len(plain) == 300
 
 

@@ -45,14 +45,16 @@ def test_numbering_equals_brute_force(table, sample, bits):
 
 
 @pytest.mark.parametrize("min_rows", [3, 100, 10**6])
-def test_salted_lookup_equals_join(spark, table, min_rows):
+def test_salted_join_equals_join(spark, table, min_rows):
     right = table.select("url").filter("url IS NOT NULL").distinct().withColumn("n", F.length("url"))
     right = right.filter(F.col("url") != "https://a/7")
     want = table.join(right, "url", "left").select("id", "url", "n")
-    got = skew.salted_lookup(table.select("id", "url"), right, ["url"], "id", min_rows=min_rows, fanout=5)
+    got = skew.salted_join(table.select("id", "url"), right, ["url"], "id", rows_per_share=min_rows)
     key = lambda r: (r.id, r.url, r.n)
     assert sorted(map(key, got.select("id", "url", "n").collect()), key=str) == sorted(map(key, want.collect()), key=str)
     assert bool(skew.hot_keys(table, ["url"], min_rows)) == (min_rows < 10**6)
+    inner = skew.salted_join(table.select("id", "url"), right, ["url"], "id", "inner", min_rows)
+    assert inner.count() == want.filter("n IS NOT NULL").count()
 
 
 def test_head(table, sample, spark):

@@ -50,8 +50,8 @@ def versioned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def alias_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Redirects of even pages to the URL without its query, after an older target of the same URL."""
-    p = table(spark, d, "pages").filter((F.col("page_id") % 2 == 0) & F.contains("url", F.lit("?")))
+    """Redirects of pages with a query to the URL without it, after an older target of the same URL."""
+    p = table(spark, d, "pages").filter(F.contains("url", F.lit("?")))
     now = p.select(F.col("page_id").alias("seq"), "url", F.substring_index("url", "?", 1).alias("new_url"))
     old = p.select(
         (F.col("page_id") - 1_000_000_000).alias("seq"),
@@ -66,10 +66,9 @@ def aliases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_store(spark: SparkSession, d: str) -> DataFrame:
-    """Pages by the URL they were found at; every nineteenth fetch failed."""
-    p = table(spark, d, "pages").filter(F.col("page_id") % 19 != 11)
-    moved = (F.col("page_id") % 2 == 0) & F.contains("url", F.lit("?"))
-    at = F.when(moved, F.substring_index("url", "?", 1)).otherwise(F.col("url"))
+    """Pages by the URL they were found at. Links to a place inside a page were not fetched."""
+    p = table(spark, d, "pages").filter(~F.endswith("url", F.lit("#top")))
+    at = F.substring_index("url", "?", 1)
     return p.groupBy(at.alias("url")).agg(F.min_by("html", "page_id").alias("html"))
 
 
@@ -138,8 +137,10 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
     h = F.col("h")
     named = lambda n: F.concat(F.lit("M"), (n % NAMED_MODELS).cast("string"))
 
-    def answers(kind: str, text: Column, when: Column) -> DataFrame:
-        return q.filter(when).select(F.lit(kind).alias("query_type"), "product", "brand", "url", text.alias("response"))
+    def answers(kind: str, text: Column, given: Column) -> DataFrame:
+        # A question whose answer failed is stored without one.
+        said = F.when(given, text).alias("response")
+        return q.select(F.lit(kind).alias("query_type"), "product", "brand", "url", said)
 
     link = (
         F.when(h % 7 == 0, F.lit("False\nreason: third party"))
@@ -157,18 +158,18 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
     )
     hits = search_hits(spark, d).select("product", "brand", link_prefix(drop_slash("link")).alias("url")).distinct()
     size = F.length("brand") + F.length("url")
-    brand = hits.filter(size % 11 != 7).select(
+    brand = hits.select(
         F.lit(BRAND_CHECK).alias("query_type"), "product", "brand", "url",
-        F.when(size % 4 == 0, F.lit("False")).otherwise(F.lit(" 'True'.")).alias("response"),
+        F.when(size % 11 == 7, None).when(size % 4 == 0, "False").otherwise(" 'True'.").alias("response"),
     )
     own = products(spark, d).select("product", "brand", squeeze_url("url").alias("link"), F.col("id").alias("h"))
     own = resolve_alias(own, aliases(spark, d), "link", "url").groupBy("product", "brand", "url").agg(
         F.min("h").alias("h")
     )
-    name = F.when(h % 11 == 0, F.lit("Title uninformative.")).otherwise(
+    name = F.when(h % 13 == 1, None).when(h % 11 == 0, F.lit("Title uninformative.")).otherwise(
         F.concat(F.lit(" Model 'X"), h.cast("string"), F.lit("' \nbecause of the title"))
     )
-    names = own.filter(h % 13 != 1).select(
+    names = own.select(
         F.lit(NAME_UPDATE).alias("query_type"), "product", "brand", "url", name.alias("response")
     )
     return (

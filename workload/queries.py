@@ -98,7 +98,7 @@ def scan_products(spark, d):
 @query
 def scan_url_aliases(spark, d):
     pairs = inputs.alias_pairs(spark, d)
-    bad = pairs.filter(F.col("seq") % 3 == 0).select(
+    bad = pairs.select(
         (F.col("seq") + 1_000_000_000).alias("seq"), "url", F.concat(F.lit("x|"), "new_url").alias("new_url")
     )
     lines = pairs.unionByName(bad).repartitionByRange("seq").sortWithinPartitions("seq").select("url", "new_url")
@@ -150,7 +150,7 @@ def write_version(spark, d):
     p = products(spark, d)
     first = p.withColumns({"major": F.lit(1), "minor": F.lit(0)})
     sinks.write_version(first, path)
-    sinks.write_version(first.withColumn("minor", F.lit(1)).filter(F.col("id") % 3 != 0), path)
+    sinks.write_version(first.withColumn("minor", F.lit(1)).filter(F.startswith("url", F.lit("https"))), path)
     return spark.read.parquet(path).select(
         "id", F.col("product").cast("string").alias("product"), "brand", "model", "url", "major", "minor"
     )
@@ -184,7 +184,7 @@ def write_pages_content(spark, d):
         F.md5("html").alias("html"),
         F.md5(text.extract_text("html")).alias("content"),
     )
-    sinks.write_pages_content(again.filter((F.col("product") != "de") & (F.col("id") % 2 == 0)), path)
+    sinks.write_pages_content(again.filter(F.col("product") != "de"), path)
     return spark.read.parquet(path).select("id", F.col("product").cast("string").alias("product"), "html", "content")
 
 
@@ -192,8 +192,9 @@ def write_pages_content(spark, d):
 def append_aliases(spark, d):
     path = fresh_path(spark, "aliases")
     fetched = stores.resolve_alias(products(spark, d).select("id", "url"), inputs.aliases(spark, d))
-    sinks.append_aliases(fetched.filter(F.col("id") % 4 == 0), path)
-    sinks.append_aliases(fetched.filter(F.col("id") % 4 != 0), path)
+    secure = F.startswith("url", F.lit("https"))
+    sinks.append_aliases(fetched.filter(secure), path)
+    sinks.append_aliases(fetched.filter(~secure), path)
     return spark.read.parquet(path)
 
 
@@ -202,9 +203,9 @@ def merge_responses(spark, d):
     path = fresh_path(spark, "answers")
     r = stored("responses", spark, d)
     key = ["query_type", *stores.QUESTION]
-    old = r.filter(F.length("url") % 2 == 0)
+    old = r.filter(F.startswith("url", F.lit("https")) & F.col("response").isNotNull())
     old.write.parquet(path)
-    fresh = r.withColumn("response", F.when(F.length("url") % 5 != 0, F.upper("response")))
+    fresh = r.withColumn("response", F.upper("response"))
     sinks.merge_responses(fresh.union(fresh), old, path, key)
     return spark.read.parquet(path)
 
@@ -573,8 +574,9 @@ def lookup_verdicts(spark, d):
 @query
 def exclude_known_brands(spark, d):
     p = products(spark, d)
-    existing = p.filter(F.col("id") % 3 == 0).withColumn("brand", F.initcap("brand"))
-    return rows.exclude_known_brands(p.filter(F.col("id") % 3 != 0), existing)
+    # Brands met on secure pages are known, in another case.
+    existing = p.filter(F.startswith("url", F.lit("https"))).withColumn("brand", F.initcap("brand"))
+    return rows.exclude_known_brands(p, existing)
 
 
 @query
@@ -590,7 +592,7 @@ def apply_updates(spark, d):
 @query
 def apply_model_names(spark, d):
     p = products(spark, d)
-    names = p.filter(F.col("id") % 2 == 0).select(
+    names = p.filter(F.startswith("url", F.lit("https"))).select(
         "product", "id", F.when(F.col("id") % 3 != 0, F.concat(F.lit("New "), "model")).alias("new_model")
     )
     return rows.apply_model_names(p, names)
@@ -744,7 +746,7 @@ def clean_dataset(spark, d):
     # The base collection 1.0 holds every row, an older cleaning of it some; 1.0 is chosen by hand.
     p = products(spark, d)
     base = p.withColumns({"major": F.lit(1), "minor": F.lit(0)})
-    v = base.unionByName(base.filter(F.col("id") % 2 == 0).withColumn("minor", F.lit(4)))
+    v = base.unionByName(base.filter(F.startswith("url", F.lit("https"))).withColumn("minor", F.lit(4)))
     done = clean.clean_dataset(
         v, v.select("product", "major", "minor").distinct(), stored("search_results", spark, d),
         rules=RULES, custom_minor=0, **inputs.stores(spark, d),
@@ -758,7 +760,7 @@ def _find_inputs(spark, d):
     cats = answers.select("product").distinct().withColumn(
         "idx", F.regexp_extract("product", "([0-9]+)$", 1).cast("long")
     )
-    known = rows.parse_product_lines(answers).filter(F.length("model") % 2 == 0)
+    known = rows.parse_product_lines(answers).filter(F.contains("brand", F.lit("#1")))
     known = known.select("product", "brand", "model", "url", F.lit(1).alias("major"), F.lit(0).alias("minor"))
     resp = answers.select(
         F.lit(stores.SITE_LIST).alias("query_type"), "product", F.lit("").alias("brand"), F.lit("").alias("url"), "response"
@@ -769,7 +771,7 @@ def _find_inputs(spark, d):
 @query
 def find_products(spark, d):
     cats, known, versions_, resp = _find_inputs(spark, d)
-    found = find.find_products(cats, known, versions_, resp, start=1, num=250, want=5)
+    found = find.find_products(cats, known, versions_, resp, want=9)
     return found.select("product", "brand", "model", "url", "major", "minor")
 
 
@@ -777,7 +779,7 @@ def find_products(spark, d):
 def ask_for_products(spark, d):
     """First half of `find_products`: who is asked for how many."""
     cats, known, versions_, _ = _find_inputs(spark, d)
-    asked = find.ask_for_products(cats, known, versions_, start=1, num=250, want=5)
+    asked = find.ask_for_products(cats, known, versions_, want=9)
     return asked.select(
         "query_type", "product",
         F.regexp_extract("request", "^Name ([0-9]+) ", 1).cast("int").alias("n_brands"),

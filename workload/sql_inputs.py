@@ -110,13 +110,11 @@ versioned AS (
   SELECT *, CAST(id % 2 + 1 AS INTEGER) AS major, CAST(id % 3 AS INTEGER) AS minor FROM products_v)"""
 
 ALIASES = """aliases AS (
-  SELECT url, string_split(url, '?')[1] AS new_url FROM pages WHERE page_id % 2 = 0 AND contains(url, '?'))"""
+  SELECT url, string_split(url, '?')[1] AS new_url FROM pages WHERE contains(url, '?'))"""
 
 STORE = """page_store AS (
   SELECT u AS url, arg_min(html, page_id) AS html FROM (
-    SELECT page_id, html, CASE WHEN page_id % 2 = 0 AND contains(url, '?') THEN string_split(url, '?')[1]
-      ELSE url END AS u
-    FROM pages WHERE page_id % 19 <> 11)
+    SELECT page_id, html, string_split(url, '?')[1] AS u FROM pages WHERE url NOT LIKE '%#top')
   GROUP BY u)"""
 
 FACTS = f"""texts AS (SELECT url, lower({visible('html')}) AS t FROM page_store),
@@ -151,26 +149,28 @@ own_urls AS (
   SELECT product, brand, coalesce(a.new_url, p.url) AS url, min(id) AS h
   FROM products_v p LEFT JOIN aliases a ON a.url = {squeeze('p.url')} GROUP BY ALL),
 responses AS (
-  SELECT 'check_url' AS query_type, product, brand, url, CASE h % 7 WHEN 0 THEN 'False' || chr(10) || 'reason: third party'
+  SELECT 'check_url' AS query_type, product, brand, url, CASE WHEN h % 23 <> 5 THEN CASE h % 7 WHEN 0 THEN 'False' || chr(10) || 'reason: third party'
     WHEN 1 THEN 'Catalog' || chr(10) || 'It''s a lineup' WHEN 2 THEN 'Unsure'
-    ELSE 'True ' || chr(10) || 'It''s official' END AS response
-  FROM asked WHERE h % 23 <> 5
+    ELSE 'True ' || chr(10) || 'It''s official' END END AS response
+  FROM asked
   UNION ALL
-  SELECT 'find_in_catalog', product, brand, url, CASE WHEN h % 5 = 4 THEN ' '''' ' ELSE '''M' || (h % 6) || '''.' END
-  FROM asked WHERE h % 7 = 1 AND h % 29 <> 1
+  SELECT 'find_in_catalog', product, brand, url, CASE WHEN h % 7 = 1 AND h % 29 <> 1 THEN
+    CASE WHEN h % 5 = 4 THEN ' '''' ' ELSE '''M' || (h % 6) || '''.' END END
+  FROM asked
   UNION ALL
-  SELECT 'check_product_page', product, brand, url, CASE h % 5 WHEN 0 THEN 'True'
+  SELECT 'check_product_page', product, brand, url, CASE WHEN h % 31 <> 3 THEN CASE h % 5 WHEN 0 THEN 'True'
     WHEN 1 THEN 'False' || chr(10) || 'M' || (h % 6) WHEN 2 THEN 'False.'
-    WHEN 3 THEN 'TRUE' || chr(10) || 'looks official' ELSE 'false' || chr(10) || '''M' || ((h + 1) % 6) || '''' END
-  FROM asked WHERE h % 31 <> 3
+    WHEN 3 THEN 'TRUE' || chr(10) || 'looks official' ELSE 'false' || chr(10) || '''M' || ((h + 1) % 6) || '''' END END
+  FROM asked
   UNION ALL
   SELECT 'check_url_brand', product, brand, url,
-    CASE WHEN (length(brand) + length(url)) % 4 = 0 THEN 'False' ELSE ' ''True''.' END
-  FROM brand_keys WHERE (length(brand) + length(url)) % 11 <> 7
+    CASE WHEN (length(brand) + length(url)) % 11 = 7 THEN NULL
+      WHEN (length(brand) + length(url)) % 4 = 0 THEN 'False' ELSE ' ''True''.' END
+  FROM brand_keys
   UNION ALL
-  SELECT 'update_model_name', product, brand, url, CASE WHEN h % 11 = 0 THEN 'Title uninformative.'
+  SELECT 'update_model_name', product, brand, url, CASE WHEN h % 13 = 1 THEN NULL WHEN h % 11 = 0 THEN 'Title uninformative.'
     ELSE ' Model ''X' || h || ''' ' || chr(10) || 'because of the title' END
-  FROM own_urls WHERE h % 13 <> 1)"""
+  FROM own_urls)"""
 
 # Everything the checks read.
 WORLD = ",\n".join([PRODUCTS, ALIASES, STORE, FACTS, HITS, ASKED, RESPONSES])
@@ -184,12 +184,12 @@ VERDICTS = f"""url_v AS (
   FROM responses WHERE query_type = 'check_url'),
 pick_v AS (
   SELECT product, brand, url, nullif(CASE WHEN {_R} LIKE '%.' THEN left({_R}, length({_R}) - 1) ELSE {_R} END, '') AS m
-  FROM responses WHERE query_type = 'find_in_catalog'),
+  FROM responses WHERE query_type = 'find_in_catalog' AND response IS NOT NULL),
 page_v AS (
   SELECT product, brand, url, CASE WHEN {_HEAD} IN ('true', 'true.') THEN 'accept'
     WHEN {_HEAD} IN ('false', 'false.') AND {_LINE2} IS NOT NULL THEN 'catalog' ELSE 'reject' END AS v,
     CASE WHEN {_HEAD} IN ('false', 'false.') THEN {_LINE2} END AS m
-  FROM responses WHERE query_type = 'check_product_page')"""
+  FROM responses WHERE query_type = 'check_product_page' AND response IS NOT NULL)"""
 
 
 def checks(keys: str, name: str = "checks") -> str:
