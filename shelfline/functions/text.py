@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from .base import SPACE, bind, col, collapse_spaces, strip
 
 # What is not visible text. One left-to-right pass over alternatives, so that a tag inside a
-# comment or a closing tag inside a script is never taken for markup of its own. An element that
-# is not closed runs to the end of the page.
+# comment or a closing tag inside a script is never taken for markup of its own. Whatever is not
+# closed runs to the end of the page, which also keeps broken pages linear: no opening is tried twice.
 MARKUP = (
     r"(?is)<!--.*?(?:-->|\z)"
-    r"|<script\b[^>]*>.*?(?:</script[^>]*>|\z)"
-    r"|<style\b[^>]*>.*?(?:</style[^>]*>|\z)"
-    r"|<template\b[^>]*>.*?(?:</template[^>]*>|\z)"
-    r"|<[!?/a-z][^>]*>"
+    r"|<script\b[^>]*>.*?(?:</script[^>]*(?:>|\z)|\z)"
+    r"|<style\b[^>]*>.*?(?:</style[^>]*(?:>|\z)|\z)"
+    r"|<template\b[^>]*>.*?(?:</template[^>]*(?:>|\z)|\z)"
+    r"|<[!?/a-z][^>]*(?:>|\z)"
 )
-TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
+TITLE = r"(?is)<title\b[^>]*(?:>|\z)(.*?)(?:</title|\z)"
 
 # Named character references decoded besides the numeric ones.
 ENTITIES = {

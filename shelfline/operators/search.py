@@ -19,7 +19,7 @@ from ..functions.verdicts import catalog_model, verdict_brand, verdict_page
 from ..session import stage
 from .classify import Rules, fetch_and_check
 from .skew import salted_join
-from .stores import BRAND_CHECK, CATALOG_PICK, PAGE_CHECK, QUESTION, lookup_verdicts
+from .stores import BRAND_CHECK, CATALOG_PICK, PAGE_CHECK, QUESTION
 
 MAX_RESTARTS = 3
 STATE = ["product", "brand", "model"]
@@ -32,11 +32,14 @@ def reachable_states(starts: DataFrame, responses: DataFrame, rules: Rules) -> D
     More than the searches will visit, but found without following them, and no larger than the
     starts plus the stored catalog answers.
     """
-    answers = lookup_verdicts(responses, [CATALOG_PICK, PAGE_CHECK])
-    named = F.array(catalog_model(CATALOG_PICK), verdict_page(PAGE_CHECK, rules.strict)["model"])
-    models = answers.select("product", "brand", F.explode(named).alias("model")).filter(F.col("model").isNotNull())
+    kind = F.col("query_type")
+    model = F.when(kind == CATALOG_PICK, catalog_model("response")).when(
+        kind == PAGE_CHECK, verdict_page("response", rules.strict)["model"]
+    )
+    answers = responses.filter(kind.isin(CATALOG_PICK, PAGE_CHECK))
+    models = answers.select("product", "brand", model.alias("model")).distinct().filter(F.col("model").isNotNull())
     pairs = starts.select("product", "brand").distinct()
-    return starts.select(*STATE).union(models.distinct().join(pairs, ["product", "brand"], "left_semi")).distinct()
+    return starts.select(*STATE).union(models.join(pairs, ["product", "brand"], "left_semi")).distinct()
 
 
 def gated_candidates(states: DataFrame, results: DataFrame, responses: DataFrame, rules: Rules) -> DataFrame:
@@ -117,9 +120,10 @@ def follow(starts: DataFrame, expanded: DataFrame, restarts: int = MAX_RESTARTS)
     for depth in range(restarts + 1):
         choice = "step" if depth < restarts else "last"
         hop = expanded.select("product", "brand", F.col("model").alias("__at"), F.col(choice).alias("__hop"))
-        # Only searches that are still moving look anything up.
+        # Searches that have ended look up a name no model has, each its own, so that they spread out.
         moving = F.col("end").isNull()
-        s = s.withColumn("__at", F.when(moving, F.col("now"))).join(hop, ["product", "brand", "__at"], "left")
+        at = F.when(moving, F.col("now")).otherwise(F.concat(F.lit("\x00"), "model"))
+        s = s.withColumn("__at", at).join(hop, ["product", "brand", "__at"], "left")
         jumps = moving & (F.coalesce("__hop.kind", F.lit(NOTHING)) == RESTART)
         s = s.select(
             *STATE,

@@ -13,5 +13,5 @@ CAPTURES = "url STRING, capture_id BIGINT, ts TIMESTAMP, status STRING, mime STR
 PAGE_FACTS = "url STRING, has_page BOOLEAN, product_hit BOOLEAN, unavailable BOOLEAN"
 # Answers are keyed by everything that went into the question, so two rows never share one by accident.
 RESPONSES = "query_type STRING, product STRING, brand STRING, url STRING, response STRING"
-SEARCH_BODY = "error STRING, items ARRAY<STRUCT<title: STRING, link: STRING>>"
+SEARCH_BODY = "error STRING, items ARRAY<STRUCT<title: STRING, link: STRING>>, _corrupt_record STRING"
 SEARCH_RESULTS = "query STRING, rank INT, title STRING, link STRING"

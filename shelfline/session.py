@@ -30,7 +30,7 @@ def build_session(app: str = "shelfline", master: str | None = None, **conf) ->
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of `spark.checkpoint.dir`; a temporary one only in local mode when unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

@@ -97,12 +97,15 @@ def scan_responses(spark: SparkSession, path: str, query_type: str | None = None
     return df.filter(F.col("query_type") == query_type) if query_type else df
 
 
+def _usable_bodies(stored: DataFrame) -> DataFrame:
+    """Parsed bodies, without those that report an error or are no JSON."""
+    parsed = stored.select("query", F.from_json("body", schemas.SEARCH_BODY).alias("b"))
+    return parsed.filter(F.col("b").isNotNull() & F.col("b.error").isNull() & F.col("b._corrupt_record").isNull())
+
+
 def scan_search_results(stored: DataFrame) -> DataFrame:
     """Ranked links of `(query, body)` rows; a body with an error counts as not stored."""
-    parsed = stored.select("query", F.from_json("body", schemas.SEARCH_BODY).alias("b"))
-    items = parsed.filter(F.col("b").isNotNull() & F.col("b.error").isNull()).select(
-        "query", F.posexplode("b.items").alias("pos", "item")
-    )
+    items = _usable_bodies(stored).select("query", F.posexplode("b.items").alias("pos", "item"))
     return items.select(
         "query",
         (F.col("pos") + 1).alias("rank"),
@@ -113,8 +116,7 @@ def scan_search_results(stored: DataFrame) -> DataFrame:
 
 def usable_searches(stored: DataFrame) -> DataFrame:
     """Queries whose stored body can be used, also when it lists nothing."""
-    parsed = stored.select("query", F.from_json("body", schemas.SEARCH_BODY).alias("b"))
-    return parsed.filter(F.col("b").isNotNull() & F.col("b.error").isNull()).select("query").distinct()
+    return _usable_bodies(stored).select("query").distinct()
 
 
 def capture_asof(

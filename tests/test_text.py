@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from shelfline.functions import keywords, text, verdicts
@@ -12,6 +14,7 @@ def test_extract_text(values):
         "<!DOCTYPE html><style>p{}</style><template><p>no</p></template>y": "y",
         "open<script>never closed <p>": "open",
         "<p>unclosed": "unclosed",
+        "cut off <a href=": "cut off ",
         "1 < 2 and 3 > 2": "1 < 2 and 3 > 2",
         "&amp;lt; &lt;b&gt; &#65;&#x42; &#x1F600; &nbsp;|": "&lt; <b> AB \U0001f600  |",
         "&unknown; & &; &#0; &#1114112; AT&T": "&unknown; & &; � � AT&T",
@@ -22,9 +25,18 @@ def test_extract_text(values):
     assert values(text.extract_text("x"), [None]) == [None]
 
 
+def test_broken_pages_stay_linear(values):
+    n = 300_000
+    pages = ["<a" * n, "x<script>" + "</script" * n, "x<!--" + "-" * n, "<title " * n, "x" + "<script" * n, "&" * n, "y<style>" + "p" * n]
+    start = time.time()
+    assert values(F.length(text.extract_text("x")), pages) == [0, 1, 1, 0, 1, n, 1]
+    assert values(text.extract_title("x"), pages[:4]) == [None] * 4
+    assert time.time() - start < 60
+
+
 def test_title(values):
-    cases = ["<TITLE lang=x>\n A &amp; B </TITLE><title>2</title>", "<title></title>", "<p>none", "<titles>x</titles>", None]
-    assert values(text.extract_title("x"), cases) == ["\n A & B ", None, None, None, None]
+    cases = ["<TITLE lang=x>\n A &amp; B </TITLE><title>2</title>", "<title></title>", "<p>none", "<titles>x</titles>", "<title>open", None]
+    assert values(text.extract_title("x"), cases) == ["\n A & B ", None, None, None, "open", None]
 
 
 def test_clean_title(values):
@@ -103,4 +115,3 @@ def test_vocabulary_file(spark, tmp_path):
     f = tmp_path / "terms.txt"
     f.write_text("ebay\n\n etsy \nebay\n")
     assert terms_of(load_terms(spark, str(f))) == ["ebay", "etsy"]
-    assert F is not None

@@ -49,10 +49,10 @@ def answer(r: str, lower: bool = True) -> str:
 
 MARKUP = (
     r"(?is)<!--.*?(?:-->|\z)"
-    r"|<script\b[^>]*>.*?(?:</script[^>]*>|\z)"
-    r"|<style\b[^>]*>.*?(?:</style[^>]*>|\z)"
-    r"|<template\b[^>]*>.*?(?:</template[^>]*>|\z)"
-    r"|<[!?/a-z][^>]*>"
+    r"|<script\b[^>]*>.*?(?:</script[^>]*(?:>|\z)|\z)"
+    r"|<style\b[^>]*>.*?(?:</style[^>]*(?:>|\z)|\z)"
+    r"|<template\b[^>]*>.*?(?:</template[^>]*(?:>|\z)|\z)"
+    r"|<[!?/a-z][^>]*(?:>|\z)"
 )
 
 
