@@ -26,9 +26,12 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def terms_array(terms: list[str]) -> Column:
+    """Terms as one array literal: splitting a constant is done once, while planning."""
     if not terms:
         return F.array().cast("array<string>")
-    return F.array(*[F.lit(t) for t in terms])
+    if any("\n" in t for t in terms):
+        raise ValueError("a term cannot span lines")
+    return F.split(F.lit("\n".join(terms)), "\n")
 
 
 def strip(c: Column | str) -> Column:

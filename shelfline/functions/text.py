@@ -40,22 +40,29 @@ _REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,30});"
 def _code_point(name: Column) -> Column:
     """The character of a numeric reference; unusable numbers give the replacement character."""
     hexed = F.lower(F.substring(name, 2, 1)) == "x"
-    n = F.when(hexed, F.conv(F.substring(name, 3, 8), 16, 10)).otherwise(F.substring(name, 2, 8)).cast("long")
-    usable = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
-    return F.when(usable, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(F.lit("�"))
+    number = F.when(hexed, F.conv(F.substring(name, 3, 8), 16, 10)).otherwise(F.substring(name, 2, 8)).cast("long")
+
+    def char(n: Column) -> Column:
+        usable = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        return F.when(usable, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(F.lit("�"))
+
+    return bind(number, char)
 
 
 def decode_entities(c: Column | str) -> Column:
     """Decode character references in one pass, so `&amp;lt;` becomes `&lt;` and not `<`."""
     c = col(c)
-    table = F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv])
+    # One map literal, built while planning.
+    table = F.str_to_map(F.lit("\n".join(f"{k}\t{v}" for k, v in ENTITIES.items())), F.lit("\n"), F.lit("\t"))
 
     def piece(p: Column) -> Column:
-        name = F.regexp_extract(p, _REFERENCE, 1)
-        ch = F.when(F.startswith(name, F.lit("#")), _code_point(name)).otherwise(F.try_element_at(table, name))
-        return F.when((name == "") | ch.isNull(), F.concat(F.lit("&"), p)).otherwise(
-            F.concat(ch, F.substring(p, F.length(name) + 2, F.length(p)))
-        )
+        def named(name: Column) -> Column:
+            known = F.when(F.startswith(name, F.lit("#")), _code_point(name)).otherwise(F.try_element_at(table, name))
+            rest = F.substring(p, F.length(name) + 2, F.length(p))
+            return F.when(name != "", F.concat(known, rest))
+
+        # Null where the ampersand starts nothing known: then it stands for itself.
+        return F.coalesce(bind(F.regexp_extract(p, _REFERENCE, 1), named), F.concat(F.lit("&"), p))
 
     def whole(parts: Column) -> Column:
         rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece)
