@@ -8,11 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "shelfline", master: str | None = None, **conf) -> SparkSession:
+SHUFFLE_TARGET = 128 << 20
+
+
+def build_session(
+    app: str = "shelfline", master: str | None = None, shuffle_bytes: int | None = None, **conf
+) -> SparkSession:
     """A session with the settings the operators are tested under.
 
-    Nothing here sizes the cluster: shuffle partitions are left to adaptive execution, which
-    coalesces small ones and splits skewed join partitions.
+    Adaptive execution merges shuffle partitions that turn out small and splits skewed ones, but
+    never makes more than it starts with. Give `shuffle_bytes`, the size of the largest shuffle
+    (all narrow columns; HTML does not shuffle), to start with partitions that fit a task.
     """
     b = SparkSession.builder.appName(app)
     if master:
@@ -23,6 +29,11 @@ def build_session(app: str = "shelfline", master: str | None = None, **conf) ->
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
     )
+    # Page bodies are long: a batch of the default number of rows could take a task's memory.
+    b = b.config("spark.sql.parquet.columnarReaderBatchSize", "1024")
+    if shuffle_bytes:
+        first = max(1, -(-shuffle_bytes // SHUFFLE_TARGET))
+        b = b.config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(first))
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     return b.getOrCreate()

@@ -1,7 +1,10 @@
+import re
+
 from pyspark.sql import functions as F
 
 from shelfline.operators import skew
-from shelfline.operators.classify import Rules, facts_of
+from shelfline.operators.classify import Rules, facts_of, fetch_and_check
+from shelfline.operators.search import search_refine
 from shelfline.plans import clean, collect, requests
 from shelfline.streaming.verdicts import final_rows, judge_rows, read_verdicts, stream_verdicts
 
@@ -31,6 +34,37 @@ def rows(spark):
          (4, "tent", "acme", "m5", None), (5, "tent", "acme", "m6", "https://gone.com/x")], ROWS)
 
 
+def shuffled_columns(df):
+    """What each exchange of the plan moves."""
+    text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", text)
+
+
+def test_page_bodies_are_not_shuffled(spark, tmp_path):
+    s, results = stores(spark)
+    path = str(tmp_path / "pages")
+    s["pages"].write.parquet(path)
+    s["pages"] = spark.read.parquet(path)
+    t = rows(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [
+            fetch_and_check(t, rules=RULES, **s),
+            judge_rows(t, rules=RULES, **s),
+            collect.choose_pages(t, s["aliases"], s["pages"]),
+            collect.refresh_model_names(t, **s),
+            search_refine(t, results, rules=RULES, **s),
+        ]
+        for df in plans:
+            moved = shuffled_columns(df)
+            assert moved and not any("html" in m for m in moved)
+        # Only the chosen pages meet their bodies.
+        whole = collect.collect_pages(t, s["aliases"], s["pages"])
+        assert sum("html" in m for m in shuffled_columns(whole)) == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_clean_dataset(spark):
     s, results = stores(spark)
     v = rows(spark).withColumns({"major": F.lit(2), "minor": F.lit(0)})
