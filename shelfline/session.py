@@ -46,17 +46,18 @@ def shared_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    path = tempfile.mkdtemp(prefix="shelfline-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shelfline-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new place in the shared folder for an intermediate table, removed when the application ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
+    """A new place for an intermediate table, in a folder of this application that goes when it ends."""
+    home = f"{shared_dir(spark)}/shelfline-{spark.sparkContext.applicationId}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(home)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.mkdirs(place):
+        fs.deleteOnExit(place)
+    return f"{home}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
