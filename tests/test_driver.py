@@ -26,7 +26,8 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.QUERIES) == set(entry.ORACLES)
+    assert set(entry.QUERIES) <= set(entry.queries())
 
 
 def test_entry(spark):
@@ -34,7 +35,7 @@ def test_entry(spark):
     assert df.columns == ["product", "n_pages", "n_by_rules", "n_unavailable", "n_live"] and df.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.QUERIES))
 def test_query_equals_sql(spark, con, name):
     df = entry.queries()[name](spark, DATA)
     plan = df._jdf.queryExecution().executedPlan().toString()
