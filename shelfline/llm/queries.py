@@ -7,17 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfline.llm.token_counts import count_tokens
+from shelfline.llm.wavelet import documents_of, write_shards
+from shelfline.session import fresh_path
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op3_wavelet_matrix(spark: SparkSession, d: str) -> DataFrame:
+    path = fresh_path(spark, "shards")
+    write_shards(table(spark, d, "documents"), path, end_id=2)
+    return documents_of(spark, path)
+
+
 def op5_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return count_tokens(table(spark, d, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_wavelet_matrix": op3_wavelet_matrix,
     "op5_token_counts": op5_token_counts,
 }
 
