@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfline.llm.packing import pack
 from shelfline.llm.token_counts import count_tokens
 from shelfline.llm.wavelet import documents_of, write_shards
 from shelfline.session import fresh_path
@@ -21,12 +22,17 @@ def op3_wavelet_matrix(spark: SparkSession, d: str) -> DataFrame:
     return documents_of(spark, path)
 
 
+def op4_mixture_packing(spark: SparkSession, d: str) -> DataFrame:
+    return pack(table(spark, d, "documents"), end_id=1)
+
+
 def op5_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return count_tokens(table(spark, d, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_wavelet_matrix": op3_wavelet_matrix,
+    "op4_mixture_packing": op4_mixture_packing,
     "op5_token_counts": op5_token_counts,
 }
 
