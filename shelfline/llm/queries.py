@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfline.llm import decontaminate
+from shelfline.llm.decontaminate import leak_report
 from shelfline.llm.packing import pack
 from shelfline.llm.token_counts import count_tokens
 from shelfline.llm.wavelet import documents_of, write_shards
@@ -30,10 +32,17 @@ def op5_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return count_tokens(table(spark, d, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return leak_report(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_wavelet_matrix": op3_wavelet_matrix,
     "op4_mixture_packing": op4_mixture_packing,
     "op5_token_counts": op5_token_counts,
+    "op8_decontamination": op8_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_decontamination": decontaminate.SQL,
+}
