@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfline.llm import decontaminate
 from shelfline.llm.decontaminate import leak_report
 from shelfline.llm.packing import pack
+from shelfline.llm.quality import quality_report
 from shelfline.llm.token_counts import count_tokens
 from shelfline.llm.wavelet import documents_of, write_shards
 from shelfline.session import fresh_path
@@ -32,6 +33,10 @@ def op5_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return count_tokens(table(spark, d, "documents"))
 
 
+def op6_perplexity_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality_report(table(spark, d, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return leak_report(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -40,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_wavelet_matrix": op3_wavelet_matrix,
     "op4_mixture_packing": op4_mixture_packing,
     "op5_token_counts": op5_token_counts,
+    "op6_perplexity_quality": op6_perplexity_quality,
     "op8_decontamination": op8_decontamination,
 }
 
