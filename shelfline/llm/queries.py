@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfline.llm import decontaminate
 from shelfline.llm.decontaminate import leak_report
+from shelfline.llm.langid import language_report
 from shelfline.llm.packing import pack
 from shelfline.llm.quality import quality_report
 from shelfline.llm.token_counts import count_tokens
@@ -19,6 +20,10 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op2_language_filters(spark: SparkSession, d: str) -> DataFrame:
+    return language_report(table(spark, d, "documents"))
+
+
 def op3_wavelet_matrix(spark: SparkSession, d: str) -> DataFrame:
     path = fresh_path(spark, "shards")
     write_shards(table(spark, d, "documents"), path, end_id=2)
@@ -42,6 +47,7 @@ def op8_decontamination(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_filters": op2_language_filters,
     "op3_wavelet_matrix": op3_wavelet_matrix,
     "op4_mixture_packing": op4_mixture_packing,
     "op5_token_counts": op5_token_counts,
