@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfline.llm import decontaminate
+from shelfline.llm import decontaminate, lines
 from shelfline.llm.decontaminate import leak_report
 from shelfline.llm.langid import language_report
+from shelfline.llm.lines import line_report
 from shelfline.llm.packing import pack
 from shelfline.llm.quality import quality_report
 from shelfline.llm.token_counts import count_tokens
@@ -46,6 +47,10 @@ def op8_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return leak_report(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def op9_line_winnowing(spark: SparkSession, d: str) -> DataFrame:
+    return line_report(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_filters": op2_language_filters,
     "op3_wavelet_matrix": op3_wavelet_matrix,
@@ -53,8 +58,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_perplexity_quality": op6_perplexity_quality,
     "op8_decontamination": op8_decontamination,
+    "op9_line_winnowing": op9_line_winnowing,
 }
 
 ORACLES: dict[str, str] = {
     "op8_decontamination": decontaminate.SQL,
+    "op9_line_winnowing": lines.SQL,
 }
