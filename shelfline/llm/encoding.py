@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 700_000
 BATCH_BYTES = 4 << 20
 JOINED_WORDS = 256
 #: Normalizer steps that treat each word on its own.

@@ -12,6 +12,7 @@ from shelfline.llm.langid import language_report
 from shelfline.llm.lines import line_report
 from shelfline.llm.packing import pack
 from shelfline.llm.quality import quality_report
+from shelfline.llm.simhash import near_duplicates
 from shelfline.llm.token_counts import count_tokens
 from shelfline.llm.wavelet import documents_of, write_shards
 from shelfline.session import fresh_path
@@ -21,6 +22,10 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op1_simhash_vantage(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates(table(spark, d, "documents"))
+
+
 def op2_language_filters(spark: SparkSession, d: str) -> DataFrame:
     return language_report(table(spark, d, "documents"))
 
@@ -52,6 +57,7 @@ def op9_line_winnowing(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_vantage": op1_simhash_vantage,
     "op2_language_filters": op2_language_filters,
     "op3_wavelet_matrix": op3_wavelet_matrix,
     "op4_mixture_packing": op4_mixture_packing,
