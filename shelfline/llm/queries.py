@@ -13,6 +13,7 @@ from shelfline.llm.lines import line_report
 from shelfline.llm.packing import pack
 from shelfline.llm.quality import quality_report
 from shelfline.llm.simhash import near_duplicates
+from shelfline.llm.substrings import without_repeats
 from shelfline.llm.token_counts import count_tokens
 from shelfline.llm.wavelet import documents_of, write_shards
 from shelfline.session import fresh_path
@@ -48,6 +49,10 @@ def op6_perplexity_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality_report(table(spark, d, "documents"))
 
 
+def op7_prefix_free_parsing(spark: SparkSession, d: str) -> DataFrame:
+    return without_repeats(table(spark, d, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return leak_report(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixture_packing": op4_mixture_packing,
     "op5_token_counts": op5_token_counts,
     "op6_perplexity_quality": op6_perplexity_quality,
+    "op7_prefix_free_parsing": op7_prefix_free_parsing,
     "op8_decontamination": op8_decontamination,
     "op9_line_winnowing": op9_line_winnowing,
 }
