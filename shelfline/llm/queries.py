@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfline.llm import decontaminate, lines
 from shelfline.llm.decontaminate import leak_report
+from shelfline.llm.html import article_report
 from shelfline.llm.langid import language_report
 from shelfline.llm.lines import line_report
 from shelfline.llm.packing import pack
@@ -61,6 +62,10 @@ def op9_line_winnowing(spark: SparkSession, d: str) -> DataFrame:
     return line_report(table(spark, d, "documents"))
 
 
+def op10_best_region(spark: SparkSession, d: str) -> DataFrame:
+    return article_report(table(spark, d, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_vantage": op1_simhash_vantage,
     "op2_language_filters": op2_language_filters,
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_prefix_free_parsing": op7_prefix_free_parsing,
     "op8_decontamination": op8_decontamination,
     "op9_line_winnowing": op9_line_winnowing,
+    "op10_best_region": op10_best_region,
 }
 
 ORACLES: dict[str, str] = {
