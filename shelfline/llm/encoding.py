@@ -33,7 +33,7 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def byte_slices(sizes: np.ndarray, most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+def byte_slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Cut positions `0..len(sizes)` into runs of about `most` bytes; a longer item is a run of its own."""
     if len(sizes) == 0:
         return
@@ -203,7 +203,7 @@ def encoded(name: str, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray,
     """Runs of texts of about `BATCH_BYTES`: first, end, ids, ids in each. A long text's parts are put together."""
     enc = encoder(name)
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
-    for a, b in byte_slices(sizes):
+    for a, b in byte_slices(sizes, BATCH_BYTES):
         if sizes[a] > BATCH_BYTES and isinstance(enc, WordEncoder):
             parts = [enc.encode(pa.array([p], pa.string()))[0] for p in split_text(texts[a].as_py(), BATCH_BYTES // 4)]
             ids = np.concatenate(parts)
@@ -217,7 +217,7 @@ def counted(name: str, texts: pa.Array) -> np.ndarray:
     enc = encoder(name)
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
     out = np.zeros(len(texts), np.int64)
-    for a, b in byte_slices(sizes):
+    for a, b in byte_slices(sizes, BATCH_BYTES):
         if sizes[a] > BATCH_BYTES and isinstance(enc, WordEncoder):
             out[a] = sum(int(enc.lengths(pa.array([p], pa.string()))[0]) for p in split_text(texts[a].as_py(), BATCH_BYTES // 4))
         else:
