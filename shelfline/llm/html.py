@@ -106,7 +106,8 @@ def tokens(page: str) -> Iterable[tuple[str, str, int, bool]]:
             continue
         if name in BLOCKS:
             block += 1
-        yield "tag", ("/" if m["end"] else "") + name, block, outside
+        if name in VOID or m["end"]:
+            yield "tag", ("/" if m["end"] else "") + name, block, outside
         if name in VOID:
             continue
         if m["end"]:
@@ -127,6 +128,7 @@ def tokens(page: str) -> Iterable[tuple[str, str, int, bool]]:
                     del stack[top:]
                     outside = bool(stack) and stack[-1][1]
             mark = outside or _marked(name, m["attrs"] or "", bool(depth["article"] or depth["main"]))
+            yield "tag", name, block, mark
             stack.append((name, mark))
             depth[name] += 1
 
@@ -150,7 +152,7 @@ def weights_of(pages: list[str]) -> dict[str, float]:
             out[name] = min(2.0, max(0.5, odds))
         elif name.startswith("<"):
             # A tag alone never speaks for an article: what stands in it does.
-            out[name] = max(-3.0, min(-0.05, odds - 1.0)) if odds < 1 else -0.05
+            out[name] = max(-1.0, min(-0.05, odds - 1.0))
         else:
             out[name] = max(-1.0, min(1.0, odds))
     return out
