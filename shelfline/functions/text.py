@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,59 +12,74 @@ from .base import SPACE, bind, col, collapse_spaces, strip
 # What is not visible text. One left-to-right pass over alternatives, so that a tag inside a
 # comment or a closing tag inside a script is never taken for markup of its own. Whatever is not
 # closed runs to the end of the page, which also keeps broken pages linear: no opening is tried twice.
-MARKUP = (
-    r"(?is)<!--.*?(?:-->|\z)"
-    r"|<script\b[^>]*>.*?(?:</script[^>]*(?:>|\z)|\z)"
-    r"|<style\b[^>]*>.*?(?:</style[^>]*(?:>|\z)|\z)"
-    r"|<template\b[^>]*>.*?(?:</template[^>]*(?:>|\z)|\z)"
-    r"|<[!?/a-z][^>]*(?:>|\z)"
+# Names end at white space, a slash or the end of the tag: `<style-guide>` is an element of its own.
+# Quoted values may hold `>`; a tag whose quotes do not close ends at the first one.
+_ATTRIBUTES = r"""[^"'>]*+(?:"[^"]*+"[^"'>]*+|'[^']*+'[^"'>]*+)*+"""
+_HIDDEN = "|".join(
+    rf"<{name}(?=[\s/>]){_ATTRIBUTES}>.*?(?:</{name}(?=[\s/>])[^>]*(?:>|\z)|\z)" for name in ("script", "style", "template")
 )
-TITLE = r"(?is)<title\b[^>]*(?:>|\z)(.*?)(?:</title|\z)"
-
-# Named character references decoded besides the numeric ones.
-ENTITIES = {
-    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ",
-    "copy": "©", "reg": "®", "trade": "™", "deg": "°", "middot": "·", "bull": "•",
-    "ndash": "–", "mdash": "—", "hellip": "…", "laquo": "«", "raquo": "»",
-    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "times": "×",
-    "cent": "¢", "pound": "£", "yen": "¥", "euro": "€", "sect": "§", "para": "¶",
-    "frac12": "½", "frac14": "¼", "plusmn": "±", "micro": "µ", "iexcl": "¡", "iquest": "¿",
-    "agrave": "à", "aacute": "á", "acirc": "â", "atilde": "ã", "auml": "ä", "aring": "å",
-    "aelig": "æ", "ccedil": "ç", "egrave": "è", "eacute": "é", "ecirc": "ê", "euml": "ë",
-    "igrave": "ì", "iacute": "í", "icirc": "î", "iuml": "ï", "ntilde": "ñ", "ograve": "ò",
-    "oacute": "ó", "ocirc": "ô", "otilde": "õ", "ouml": "ö", "oslash": "ø", "ugrave": "ù",
-    "uacute": "ú", "ucirc": "û", "uuml": "ü", "szlig": "ß", "Auml": "Ä", "Ouml": "Ö",
-    "Uuml": "Ü", "Eacute": "É", "Ccedil": "Ç", "Ntilde": "Ñ",
-}
-_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,30});"
-
-
-def _code_point(name: Column) -> Column:
-    """The character of a numeric reference; unusable numbers give the replacement character."""
-    hexed = F.lower(F.substring(name, 2, 1)) == "x"
-    number = F.when(hexed, F.conv(F.substring(name, 3, 8), 16, 10)).otherwise(F.substring(name, 2, 8)).cast("long")
+MARKUP = rf"(?is)<!--.*?(?:-->|\z)|{_HIDDEN}|<[!?/a-z]{_ATTRIBUTES}>|<[!?/a-z][^>]*(?:>|\z)"
+TITLE = r"(?is)<title(?=[\s/>])[^>]*(?:>|\z)(.*?)(?:</title|\z)"
+
+# Named references as HTML defines them, with the few that may stand without a semicolon.
+_NAMES = {k.removesuffix(";"): v for k, v in html5.items() if k.endswith(";")}
+_BARE = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+# Frequent ones first: a lookup goes through the names in order.
+_COMMON = ["amp", "nbsp", "quot", "lt", "gt", "copy", "middot", "eacute", "auml", "ouml", "uuml"]
+_NAMES = {k: _NAMES[k] for k in _COMMON} | _NAMES
+_NAMED = r"^([a-zA-Z][a-zA-Z0-9]*+);"
+_BARE_NAMED = "^(" + "|".join(_BARE) + ")"
+_NUMBER = r"^#([0-9]++|[xX][0-9a-fA-F]++);?"
+# Numbers 128 to 159 mean what they are in Windows-1252, where it has a character.
+_WINDOWS = {n: bytes([n]).decode("cp1252") for n in range(128, 160) if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
+def _table(pairs: dict[str, str]) -> Column:
+    """One map literal, built while planning."""
+    return F.str_to_map(F.lit("\x1e".join(f"{k}\x1f{v}" for k, v in pairs.items())), F.lit("\x1e"), F.lit("\x1f"))
+
+
+def _code_point(digits: Column) -> Column:
+    """The character of a numeric reference, `digits` as in `65` or `x41`; unusable numbers give the replacement character."""
+    windows = _table({str(k): v for k, v in _WINDOWS.items()})
+    hexed = F.lower(F.substring(digits, 1, 1)) == "x"
+    plain = F.regexp_replace(digits, "^[xX]?0*", "")
+    # More than seven digits are beyond all characters, however many they are.
+    number = F.when(F.length(plain) > 7, F.lit(0x110000).cast("long")).otherwise(
+        F.when(hexed, F.conv(plain, 16, 10)).otherwise(plain).try_cast("long")
+    )
 
     def char(n: Column) -> Column:
         usable = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
-        return F.when(usable, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(F.lit("�"))
+        plain_char = F.when(usable, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+        return F.coalesce(F.when(n.between(128, 159), F.try_element_at(windows, n.cast("string"))), plain_char)
 
-    return bind(number, char)
+    return bind(F.coalesce(number, F.lit(0)), char)
 
 
 def decode_entities(c: Column | str) -> Column:
     """Decode character references in one pass, so `&amp;lt;` becomes `&lt;` and not `<`."""
     c = col(c)
-    # One map literal, built while planning.
-    table = F.str_to_map(F.lit("\n".join(f"{k}\t{v}" for k, v in ENTITIES.items())), F.lit("\n"), F.lit("\t"))
+    table, bare = _table(_NAMES), _table({k: html5[k] for k in _BARE})
 
     def piece(p: Column) -> Column:
-        def named(name: Column) -> Column:
-            known = F.when(F.startswith(name, F.lit("#")), _code_point(name)).otherwise(F.try_element_at(table, name))
-            rest = F.substring(p, F.length(name) + 2, F.length(p))
-            return F.when(name != "", F.concat(known, rest))
+        def after(n: Column) -> Column:
+            return F.substring(p, n + 1, F.length(p))
+
+        def numeric(m: Column) -> Column:
+            return F.when(m != "", F.concat(_code_point(F.regexp_extract(p, _NUMBER, 1)), after(F.length(m))))
+
+        def named(m: Column) -> Column:
+            return F.when(m != "", F.concat(F.try_element_at(table, m), after(F.length(m) + 1)))
+
+        def unclosed(m: Column) -> Column:
+            return F.when(m != "", F.concat(F.try_element_at(bare, m), after(F.length(m))))
 
         # Null where the ampersand starts nothing known: then it stands for itself.
-        return F.coalesce(bind(F.regexp_extract(p, _REFERENCE, 1), named), F.concat(F.lit("&"), p))
+        return F.coalesce(
+            bind(F.regexp_extract(p, _NUMBER, 0), numeric), bind(F.regexp_extract(p, _NAMED, 1), named),
+            bind(F.regexp_extract(p, _BARE_NAMED, 1), unclosed), F.concat(F.lit("&"), p),
+        )
 
     def whole(parts: Column) -> Column:
         rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece)

@@ -11,8 +11,8 @@ from .. import vocab
 from ..functions.base import bind, col, is_true
 from ..functions.urls import drop_slash, marketplace_guard, pdf_guard, squeeze_url, url_blocklisted, url_has_path
 from ..functions.verdicts import ACCEPT, CATALOG, PASS, REJECT, catalog_model, verdict_page, verdict_url
-from .skew import salted_join
-from .stores import CATALOG_PICK, PAGE_CHECK, QUESTION, URL_CHECK, lookup_verdicts, page_facts, resolve_alias
+from .skew import skewed_join
+from .stores import CATALOG_PICK, PAGE_CHECK, QUESTION, URL_CHECK, page_facts, resolve_alias
 
 
 @dataclass(frozen=True)
@@ -51,17 +51,44 @@ def classify_page(
     `is_prod` is null while an answer is missing that the decision depends on, and `needs` then
     names the kind of question to ask. Answers that do not matter are not looked at.
     """
+    listed = col(catalog_answer).isNotNull()
+    page = verdict_page(page_answer, strict)
+    return classify_parsed(by_rules, unavailable, verdict_url(url_answer), listed, catalog_model(catalog_answer), page)
+
+
+def classify_parsed(
+    by_rules: Column | str, unavailable: Column | str, link: Column | str, listed: Column | str, picked: Column | str,
+    page: Column | str,
+) -> Column:
+    """`classify_page` of answers as `parsed_answers` keeps them."""
     parsed = F.struct(
         is_true(col(by_rules)).alias("ok"),
         is_true(col(unavailable)).alias("gone"),
-        verdict_url(url_answer).alias("link"),
-        col(catalog_answer).isNotNull().alias("listed"),
-        catalog_model(catalog_answer).alias("picked"),
-        verdict_page(page_answer, strict).alias("page"),
+        col(link).alias("link"),
+        is_true(col(listed)).alias("listed"),
+        col(picked).alias("picked"),
+        col(page).alias("page"),
     )
     return bind(parsed, lambda x: bind(_route(x), _decide))
 
 
+def parsed_answers(responses: DataFrame, strict: bool = True) -> DataFrame:
+    """One row per `(product, brand, url)` with what its answers say: `link, listed, picked, page`.
+
+    Answers are read where the store is scanned; their text goes no further.
+    """
+    kind, said = F.col("query_type"), F.col("response")
+    known = responses.filter(kind.isin(URL_CHECK, CATALOG_PICK, PAGE_CHECK)).select(
+        *QUESTION,
+        F.when(kind == URL_CHECK, verdict_url("response")).alias("link"),
+        F.when((kind == CATALOG_PICK) & said.isNotNull(), True).alias("listed"),
+        F.when(kind == CATALOG_PICK, catalog_model("response")).alias("picked"),
+        F.when((kind == PAGE_CHECK) & said.isNotNull(), verdict_page("response", strict)).alias("page"),
+    )
+    # The store holds one answer per question; `min` only makes the row well defined.
+    return known.groupBy(*QUESTION).agg(*[F.min(c).alias(c) for c in ("link", "listed", "picked", "page")])
+
+
 def _route(x: Column) -> Column:
     """Which answer decides: the link's, the one picked from a listing, or the page's."""
     live = x["ok"] & ~x["gone"]
@@ -110,24 +137,22 @@ def fetch_and_check(
     `pages` is the page store, or the facts kept of it (`facts_of`). Returns the key with `new_url`,
     the classification and `needs`. What depends on the URL alone
     (redirect, page, keyword facts) is worked out once per distinct URL, then brought back to the
-    keys by a lookup that splits URLs shared by very many keys.
+    keys by a lookup that splits URLs shared by very many keys. A missing product or brand is a key like any other.
     """
     url = squeeze_url("url")
     keys = keys.select(*QUESTION).distinct().withColumn("__fetch", F.when(~pdf_guard(url), url))
-    keys = keys.withColumn("__who", F.concat_ws("\x1f", "product", "brand"))
 
     facts = facts_of(pages, rules)
     links = keys.select(F.col("__fetch")).filter(F.col("__fetch").isNotNull()).distinct()
     links = resolve_alias(links, aliases, "__fetch", "new_url")
     links = links.join(facts.withColumnRenamed("url", "new_url"), "new_url", "left")
 
-    seen = salted_join(keys, links, ["__fetch"], "__who")
+    seen = skewed_join(keys, links, ["__fetch"])
     # Asked about under the URL without its trailing slash; not fetched means nothing to ask.
     seen = seen.withColumn("new_url", F.coalesce("new_url", url)).withColumn("__ask", drop_slash("new_url"))
     seen = seen.withColumn("__rules", F.col("has_page") & rule_check("product_hit", "new_url", "brand", rules))
 
-    kinds = [URL_CHECK, CATALOG_PICK, PAGE_CHECK]
-    answers = lookup_verdicts(responses, kinds).withColumnRenamed("url", "__ask")
-    judged = seen.join(answers, ["product", "brand", "__ask"], "left")
-    c = classify_page("__rules", "unavailable", *kinds, strict=rules.strict)
+    answers = parsed_answers(responses, rules.strict).withColumnRenamed("url", "__ask")
+    judged = skewed_join(seen, answers, ["product", "brand", "__ask"])
+    c = classify_parsed("__rules", "unavailable", "link", "listed", "picked", "page")
     return judged.select(*QUESTION, "new_url", c.alias("c")).select(*QUESTION, "new_url", "c.*")

@@ -25,7 +25,7 @@ def brand_quota(existing: DataFrame, products: DataFrame, want: int = 20) -> Dat
     names = names.groupBy("product").agg(F.array_sort(F.collect_list("b")).alias("names"))
     all_ = products.select("product").distinct().join(counts, "product", "left").join(names, "product", "left")
     n = F.coalesce("n", F.lit(0))
-    text = F.concat(F.lit("Exclude brands: "), F.array_join("names", ", "), F.lit(". "))
+    text = F.concat(F.lit("Leave out what is known: "), F.array_join("names", ", "), F.lit(". "))
     return all_.select(
         "product",
         n.alias("n_existing"),

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .skew import null_safe_join
+
 
 def first_n_per(df: DataFrame, keys: list[str], order: list[Column | str], n: int = 1) -> DataFrame:
     """The first `n` rows of each group.
@@ -25,14 +27,15 @@ def number_within(
 
     `bucket` cuts a group into consecutive runs of bounded size (file splits, or ranges of ids) and
     sorts like the group does. Rows are counted per bucket, the counts are summed up along the
-    group, and rows are numbered inside their bucket only. `keys` must not be null.
+    group, and rows are numbered inside their bucket only. A missing key or bucket is one like any other.
     """
     spot = keys + bucket
     sizes = df.groupBy(*spot).agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy(*keys).orderBy(*bucket).rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select(*spot, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     inside = df.withColumn("__rn", F.row_number().over(W.partitionBy(*spot).orderBy(*order)))
-    return inside.join(starts, spot).withColumn(out, F.col("__start") + F.col("__rn") - 1).drop("__start", "__rn")
+    placed = null_safe_join(inside, starts, spot, "inner")
+    return placed.withColumn(out, F.col("__start") + F.col("__rn") - 1).drop("__start", "__rn")
 
 
 def id_bucket(id_col: str, bits: int = 20) -> Column:

@@ -21,16 +21,12 @@ def category_slice(categories: DataFrame, start: int = 0, num: int | None = None
 
 
 def head_per_category(rows: DataFrame, n: int | None = None) -> DataFrame:
-    """The first `n` rows of every category, all if null.
+    """The first `n` rows of every category by id, all if null; rows without category or id count, too.
 
-    A small `n` is a rank filter, trimmed in each task before the shuffle. Past the size for which
-    Spark trims early, rows are numbered bucket by bucket, so no task sorts a whole category.
+    Rows are numbered bucket by bucket, so no task sorts a whole category, whatever `n` is.
     """
     if n is None:
         return rows
-    limit = int(rows.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if n <= limit:
-        return first_n_per(rows, ["product"], ["id"], n)
     numbered = number_within(
         rows.withColumn("__bucket", id_bucket("id")), ["product"], ["__bucket"], ["id"], "__pos"
     )

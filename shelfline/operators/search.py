@@ -18,7 +18,7 @@ from ..functions.urls import (
 from ..functions.verdicts import catalog_model, verdict_brand, verdict_page
 from ..session import stage
 from .classify import Rules, fetch_and_check
-from .skew import salted_join
+from .skew import null_safe_join, skewed_join
 from .stores import BRAND_CHECK, CATALOG_PICK, PAGE_CHECK, QUESTION
 
 MAX_RESTARTS = 3
@@ -39,14 +39,14 @@ def reachable_states(starts: DataFrame, responses: DataFrame, rules: Rules) -> D
     answers = responses.filter(kind.isin(CATALOG_PICK, PAGE_CHECK))
     models = answers.select("product", "brand", model.alias("model")).distinct().filter(F.col("model").isNotNull())
     pairs = starts.select("product", "brand").distinct()
-    return starts.select(*STATE).union(models.join(pairs, ["product", "brand"], "left_semi")).distinct()
+    return starts.select(*STATE).union(null_safe_join(models, pairs, ["product", "brand"], "left_semi")).distinct()
 
 
 def gated_candidates(states: DataFrame, results: DataFrame, responses: DataFrame, rules: Rules) -> DataFrame:
     """Results of each state's query that pass the link gates; `brand_ok` is null while unanswered."""
     asked = states.withColumn("query", search_query("brand", "model", "product"))
-    # A query with very many results is dealt out by link.
-    c = salted_join(results, asked, ["query"], "link", "inner").withColumn("link", drop_slash("link"))
+    # A query with very many results is split.
+    c = skewed_join(results, asked, ["query"], "inner").withColumn("link", drop_slash("link"))
     c = c.filter(
         url_has_path("link")
         & ~url_blocklisted("link", rules.url_terms, fold_case=False)
@@ -55,8 +55,7 @@ def gated_candidates(states: DataFrame, results: DataFrame, responses: DataFrame
     spoken = responses.filter(F.col("query_type") == BRAND_CHECK).select(
         "product", "brand", F.col("url").alias("__prefix"), F.col("response").alias("__said")
     )
-    # Left outer: a (brand, prefix) shared by very many candidates is split by adaptive execution.
-    c = c.join(spoken, ["product", "brand", "__prefix"], "left")
+    c = skewed_join(c, spoken, ["product", "brand", "__prefix"], stored=True)
     ok = F.when(brand_in_link("brand", "__prefix"), True).otherwise(verdict_brand("__said"))
     c = c.withColumn("brand_ok", ok).filter(F.coalesce("brand_ok", F.lit(True)))
     return c.select(*STATE, "rank", "title", F.col("link").alias("url"), "brand_ok", F.col("__prefix").alias("prefix"))
@@ -67,7 +66,7 @@ def judge_candidates(candidates: DataFrame, checks: DataFrame) -> DataFrame:
 
     A missing answer is decisive too: what comes after it cannot be trusted yet.
     """
-    j = salted_join(candidates, checks, QUESTION, "model")
+    j = skewed_join(candidates, checks, QUESTION)
     catalog = F.col("model_from_catalog")
     kind = (
         F.when(F.col("unavailable") | ~F.coalesce("is_prod", F.lit(True)), NOTHING)
@@ -122,8 +121,8 @@ def follow(starts: DataFrame, expanded: DataFrame, restarts: int = MAX_RESTARTS)
         hop = expanded.select("product", "brand", F.col("model").alias("__at"), F.col(choice).alias("__hop"))
         # Searches that have ended look up a name no model has, each its own, so that they spread out.
         moving = F.col("end").isNull()
-        at = F.when(moving, F.col("now")).otherwise(F.concat(F.lit("\x00"), "model"))
-        s = s.withColumn("__at", at).join(hop, ["product", "brand", "__at"], "left")
+        at = F.when(moving, F.col("now")).otherwise(F.concat(F.lit("\x00"), F.coalesce("model", F.lit(""))))
+        s = skewed_join(s.withColumn("__at", at), hop, ["product", "brand", "__at"], stored=True)
         jumps = moving & (F.coalesce("__hop.kind", F.lit(NOTHING)) == RESTART)
         s = s.select(
             *STATE,

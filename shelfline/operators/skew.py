@@ -2,58 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT = 2_000
-# Rows of one key that a task takes without trouble; also where a key starts to count as hot.
-ROWS_PER_SHARE = 1_000_000
+from ..session import stage
 
 
-def hot_keys(df: DataFrame, on: list[str], rows_per_share: int | None = None) -> list[tuple[int, int]]:
-    """Hash and number of shares of the heaviest keys, at most `MAX_HOT` pairs.
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """A join by the columns `on` in which a missing value equals a missing value."""
+    mine = {k: f"__right_{k}" for k in on}
+    renamed = right.withColumnsRenamed(mine)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(r)) for k, r in mine.items()])
+    return left.join(renamed, same, how).drop(*mine.values())
 
-    Which keys are treated as hot changes the speed of a join, never its result, so taking only the
-    heaviest ones drops no row. Counting combines inside each task before its shuffle.
-    """
-    per = ROWS_PER_SHARE if rows_per_share is None else rows_per_share
-    top = (
-        df.groupBy(F.xxhash64(*on).alias("key"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > per)
-        .orderBy(F.desc("n"), "key")
-        .limit(MAX_HOT)
-    )
-    return [(r.key, -(-r.n // per)) for r in top.collect()]
-
-
-def salted_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: list[str],
-    spread_by: str,
-    how: str = "left",
-    rows_per_share: int | None = None,
-) -> DataFrame:
-    """Join in which hot keys of the left side are split over as many tasks as their rows need.
-
-    Hot keys are measured first (`left` should be cheap to read twice). Without any, this is a plain
-    join. Otherwise rows of a hot key are dealt out by the hash of `spread_by` and the right rows of
-    that key are repeated once per share; all other keys have one share. Repeats add up to no more
-    than the left rows divided by the rows of a share. Null keys, which match nothing, are spread
-    the same way. `how` is `left` or `inner`.
+
+def skewed_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", stored: bool = False) -> DataFrame:
+    """A null-safe join that adaptive execution can split, whatever share of `left` one key has.
+
+    It splits a partition of the left side if both sides are plain scans or projections below their shuffle.
+    So a right side that is not `stored` already is written first; without that, an aggregate or a distinct under
+    the join would keep a hot key in one task. `right` has one row for each key, and `how` is `left` or `inner`.
     """
-    hot = hot_keys(left, on, rows_per_share)
-    if not hot:
-        return left.join(right, on, how)
-    # At most MAX_HOT pairs of numbers.
-    shares = F.broadcast(left.sparkSession.createDataFrame(hot, "__key BIGINT, __shares BIGINT"))
-
-    def marked(df: DataFrame) -> DataFrame:
-        keyed = df.withColumn("__key", F.xxhash64(*on)).join(shares, "__key", "left")
-        return keyed.withColumn("__shares", F.coalesce("__shares", F.lit(1)))
-
-    salt = F.pmod(F.xxhash64(F.lit(17), F.col(spread_by)), F.col("__shares"))
-    lhs = marked(left).withColumn("__salt", salt).drop("__key", "__shares")
-    rhs = marked(right).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__shares") - 1)))
-    return lhs.join(rhs.drop("__key", "__shares"), [*on, "__salt"], how).drop("__salt")
+    return null_safe_join(left, right if stored else stage(right, "side"), on, how)

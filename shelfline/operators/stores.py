@@ -9,6 +9,7 @@ from ..functions.base import bind
 from ..functions.keywords import any_term, is_unavailable
 from ..functions.text import extract_text
 from ..functions.urls import drop_slash, pdf_guard, squeeze_url
+from .skew import null_safe_join
 
 QUESTION = ["product", "brand", "url"]
 
@@ -56,17 +57,22 @@ def page_facts(
     return out.select("url", F.lit(True).alias("has_page"), "f.product_hit", "f.unavailable")
 
 
-def pending_fetch(rows: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
-    """Distinct URLs still to be fetched."""
-    wanted = rows.select(F.col(url).alias("url")).filter(~pdf_guard("url")).distinct()
-    return wanted.join(pages.select("url"), "url", "left_anti")
+def pending_fetch(rows: DataFrame, pages: DataFrame, aliases: DataFrame, url: str = "url") -> DataFrame:
+    """Distinct URLs still to be fetched, without spaces and after redirects, as the checks look them up.
+
+    A stored page without HTML was not fetched.
+    """
+    link = squeeze_url(url)
+    wanted = rows.select(link.alias("url")).filter(~pdf_guard("url")).distinct()
+    wanted = resolve_alias(wanted, aliases).select(F.col("new_url").alias("url")).distinct()
+    return wanted.join(pages.filter(F.col("html").isNotNull()).select("url"), "url", "left_anti")
 
 
 def pending_requests(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """Questions without a stored answer."""
     key = ["query_type", *QUESTION]
     answered = responses.filter(F.col("response").isNotNull()).select(*key)
-    return requests.join(answered, key, "left_anti")
+    return null_safe_join(requests, answered, key, "left_anti")
 
 
 def pending_searches(queries: DataFrame, usable: DataFrame) -> DataFrame:
@@ -88,7 +94,7 @@ def trim_stores(
     keys = resolve_alias(links, moved).select("product", "brand", F.col("new_url").alias("url")).distinct()
     seen = facts.join(keys.select("url").distinct(), "url", "left_semi")
     asked = keys.withColumn("url", drop_slash("url"))
-    return moved, seen, responses.join(asked, QUESTION, "left_semi")
+    return moved, seen, null_safe_join(responses, asked, QUESTION, "left_semi")
 
 
 def lookup_verdicts(responses: DataFrame, kinds: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The whole file name: leftovers such as `temp_products_v1.2.csv` are no version.
+VERSION_KEY = "product STRING, major INT, minor INT"
 VERSION_FILE = r"^products_v([0-9]+)\.([0-9]+)\.csv$"
 
 
@@ -21,19 +22,20 @@ def list_versions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def parse_versions(listing: DataFrame) -> DataFrame:
-    """`(product, path, major, minor)` of the `(product, path)` rows that name a version."""
+    """The rows whose `path` names a version, with its `major` and `minor`."""
     name = F.substring_index(F.col("path"), "/", -1)
     major = F.regexp_extract(name, VERSION_FILE, 1)
     minor = F.regexp_extract(name, VERSION_FILE, 2)
-    return listing.filter(F.rlike(name, F.lit(VERSION_FILE))).select(
-        "product", "path", major.cast("int").alias("major"), minor.cast("int").alias("minor")
+    return listing.filter(F.rlike(name, F.lit(VERSION_FILE))).withColumns(
+        {"major": major.cast("int"), "minor": minor.cast("int")}
     )
 
 
 def list_table_versions(spark: SparkSession, root: str) -> DataFrame | None:
     """Versions of a table written by `write_version`; None before the first write."""
     try:
-        return spark.read.parquet(root).select("product", "major", "minor").distinct()
+        # With a schema, a category named 007 stays text.
+        return spark.read.schema(VERSION_KEY).parquet(root).distinct()
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None

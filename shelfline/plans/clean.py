@@ -12,7 +12,7 @@ from ..operators.rows import apply_updates, dedupe_url, head_per_category
 from ..operators.search import (
     STATE, expand_states, follow, gated_candidates, judge_candidates, reachable_states,
 )
-from ..operators.skew import salted_join
+from ..operators.skew import skewed_join
 from ..operators.stores import QUESTION
 from ..operators.versions import latest_version, next_version, select_version, source_version
 from ..session import stage
@@ -46,7 +46,7 @@ def check_products(
     checks = stage(fetch_and_check(keys, aliases, pages, responses, rules), "checks")
     expanded = stage(expand_states(judge_candidates(candidates, checks)), "expanded")
 
-    own = salted_join(rows.select("id", *STATE, "url"), checks, QUESTION, "id")
+    own = skewed_join(rows.select("id", *STATE, "url"), checks, QUESTION, stored=True)
     catalog = F.col("model_from_catalog")
     # A row without URL has no check to look up.
     is_prod = F.when(pdf_guard("url"), False).otherwise(F.col("is_prod"))
@@ -68,7 +68,7 @@ def check_products(
     def looked_up(df: DataFrame, model: str, as_: str) -> DataFrame:
         end = F.struct("found", "link", "found_model", "ask_type", "ask_url").alias(as_)
         right = ends.select("product", "brand", F.col("model").alias(model), end)
-        return salted_join(df, right, ["product", "brand", model], "id")
+        return skewed_join(df, right, ["product", "brand", model], stored=True)
 
     both = looked_up(looked_up(own, "model", "first"), "catalog", "second")
     return both.select(*_decide())

@@ -10,20 +10,22 @@ from ..functions.text import clean_title, extract_text, extract_title
 from ..functions.urls import squeeze_url
 from ..functions.verdicts import fresh_model_name
 from ..operators.rows import apply_model_names, first_page_per_brand
-from ..operators.skew import salted_join
+from ..operators.skew import skewed_join
+from ..session import stage
 from ..operators.stores import NAME_UPDATE, QUESTION, resolve_alias
 
 
 def _resolved(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     links = rows.select(squeeze_url("url").alias("__fetch")).distinct()
     links = resolve_alias(links, aliases, "__fetch", "new_url")
-    return salted_join(rows.withColumn("__fetch", squeeze_url("url")), links, ["__fetch"], "id").drop("__fetch")
+    return skewed_join(rows.withColumn("__fetch", squeeze_url("url")), links, ["__fetch"]).drop("__fetch")
 
 
 def choose_pages(rows: DataFrame, aliases: DataFrame, pages: DataFrame) -> DataFrame:
-    """Per brand, the first row with a page. Of the page store only the URLs are read."""
-    there = pages.select(F.col("url").alias("new_url"), F.lit(True).alias("has_page"))
-    return first_page_per_brand(salted_join(_resolved(rows, aliases), there, ["new_url"], "id"))
+    """Per brand, the first row with a page. Of the page store only the URLs move, and whether there is a page."""
+    there = pages.filter(F.col("html").isNotNull() & F.col("url").isNotNull())
+    there = there.select(F.col("url").alias("new_url"), F.lit(True).alias("has_page"))
+    return first_page_per_brand(skewed_join(_resolved(rows, aliases), there, ["new_url"], stored=True))
 
 
 def collect_pages(rows: DataFrame, aliases: DataFrame, pages: DataFrame) -> DataFrame:
@@ -49,7 +51,10 @@ def page_titles(pages: DataFrame) -> DataFrame:
 def name_questions(rows: DataFrame, aliases: DataFrame, pages: DataFrame) -> DataFrame:
     """Rows with the key of their naming question; rows without page or title have none."""
     titles = page_titles(pages).withColumnRenamed("url", "new_url")
-    found = salted_join(_resolved(rows, aliases), titles, ["new_url"], "id").filter(F.col("title").isNotNull())
+    resolved = stage(_resolved(rows, aliases), "resolved")
+    # Titles are made where the pages are read, once; those of wanted pages travel on.
+    wanted = titles.join(resolved.select("new_url").distinct(), "new_url", "left_semi")
+    found = skewed_join(resolved, wanted, ["new_url"]).filter(F.col("title").isNotNull())
     return found.withColumn("query_type", F.lit(NAME_UPDATE))
 
 
@@ -59,5 +64,5 @@ def refresh_model_names(rows: DataFrame, aliases: DataFrame, pages: DataFrame, r
     names = responses.filter(F.col("query_type") == NAME_UPDATE).select(
         *QUESTION, fresh_model_name("response").alias("new_model")
     )
-    told = salted_join(asked, names, QUESTION, "id").filter(F.col("new_model").isNotNull())
+    told = skewed_join(asked, names, QUESTION).filter(F.col("new_model").isNotNull())
     return apply_model_names(rows, told)

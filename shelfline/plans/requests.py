@@ -18,10 +18,14 @@ def _say(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p, F.lit("")) for p in parts])
 
 
-def request_text(budget: int = 16_385) -> Column:
-    """Question text from columns `query_type, product, brand, model, url, title, text`."""
+def request_text(budget: int | None = None) -> Column:
+    """Question text from columns `query_type, product, brand, model, url, title, text`.
+
+    Pages are quoted whole. A `budget` of words is for asking again what a service refused as too long.
+    """
     product, brand, model = F.col("product"), F.col("brand"), F.col("model")
-    url, title, text = F.col("url"), F.col("title"), truncate_to_budget("text", budget)
+    url, title = F.col("url"), F.col("title")
+    text = F.col("text") if budget is None else truncate_to_budget("text", budget)
     link = _say(
         "Judge this link: ", url_core(url), "\nDoes it lead to the maker's own page about one ", product,
         "? Start with True if so, False if it surely belongs to a third party or is no ", product,
@@ -51,7 +55,7 @@ def request_text(budget: int = 16_385) -> Column:
     )
 
 
-def build_requests(questions: DataFrame, pages: DataFrame, budget: int = 16_385) -> DataFrame:
+def build_requests(questions: DataFrame, pages: DataFrame, budget: int | None = None) -> DataFrame:
     """Requests for `(query_type, product, brand, model, url)` rows.
 
     Page text joins only the kinds of question that quote it, and after everything else has been

@@ -18,7 +18,7 @@ def build_session(
 
     Adaptive execution merges shuffle partitions that turn out small and splits skewed ones, but
     never makes more than it starts with. Give `shuffle_bytes`, the size of the largest shuffle
-    (all narrow columns; HTML does not shuffle), to start with partitions that fit a task.
+    to start with partitions that fit a task.
     """
     b = SparkSession.builder.appName(app)
     if master:
@@ -74,17 +74,3 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """Give a bare file scan enough tasks for heavy text work.
-
-    A table of one small file is read by a single task. Only in that case are its rows spread by
-    hash; a scan that already has a task per core (any large table) is returned untouched, so page
-    bodies are never shuffled at scale. Pass scans only: counting the tasks of a plan with
-    shuffles would run it.
-    """
-    want = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= want:
-        return scan
-    return scan.repartition(want, *keys)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.base import strip
 from ..operators.ranking import number_within
+from ..operators.versions import parse_versions
 
 # A line's place: its file, the split of the file it came in, and its order within the split.
 _SPOT = ["__path", "__block"]
@@ -42,11 +43,15 @@ def scan_categories(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_products(spark: SparkSession, root: str, file: str = "*.csv") -> DataFrame:
-    """Product rows of every category folder in one scan; `id` is the row's place in its category."""
+    """Product rows of every category folder in one scan; `id` is the row's place in its category.
+
+    Quoted fields may hold line feeds, so a file is read by one task.
+    """
     df = (
         spark.read.schema(schemas.PRODUCT_CSV)
         .option("header", True)
         .option("escape", '"')
+        .option("multiLine", True)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", file)
         .csv(root)
@@ -57,6 +62,22 @@ def scan_products(spark: SparkSession, root: str, file: str = "*.csv") -> DataFr
     )
 
 
+def scan_versioned_products(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of all `products_v{major}.{minor}.csv` files: `product, major, minor, brand, model, url, id`.
+
+    `id` is the row's place in its file.
+    """
+    df = (
+        spark.read.schema(schemas.PRODUCT_CSV)
+        .options(header=True, escape='"', multiLine=True, recursiveFileLookup=True, pathGlobFilter="products_v*.csv")
+        .csv(root)
+    )
+    rows = parse_versions(_placed(df, "Brand", "Model", "URL", parent_folder("_metadata.file_path").alias("product"), F.col("_metadata.file_path").alias("path")))
+    return number_within(rows, ["product", "major", "minor"], _SPOT, ["__line"], "id").select(
+        "product", "major", "minor", F.col("Brand").alias("brand"), F.col("Model").alias("model"), F.col("URL").alias("url"), "id"
+    )
+
+
 def scan_url_aliases(spark: SparkSession, path: str) -> DataFrame:
     """Redirects from `url|new_url` lines below a heading; other shapes are ignored, the last one wins."""
     lines = _placed(spark.read.text(path), "value")
@@ -76,6 +97,12 @@ def reduce_aliases(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("url").agg(F.max_by("new_url", "seq").alias("new_url"))
 
 
+def scan_alias_store(spark: SparkSession, path: str) -> DataFrame:
+    """Redirects written by `append_aliases`: the last target of each URL."""
+    stored = spark.read.schema("url STRING, new_url STRING, batch BIGINT, line BIGINT").parquet(path)
+    return reduce_aliases(stored.select("url", "new_url", F.struct("batch", "line").alias("seq")))
+
+
 def scan_page_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.PAGES).parquet(path)
 

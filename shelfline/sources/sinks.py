@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import null_safe_join
 from ..operators.versions import list_table_versions
 
 
@@ -97,13 +100,20 @@ def changed_aliases(fetched: DataFrame) -> DataFrame:
 
 
 def append_aliases(fetched: DataFrame, path: str) -> None:
-    changed_aliases(fetched).write.mode("append").parquet(path)
+    """Add redirects to the store at `path`, each batch after those before it.
+
+    `scan_alias_store` reads them back with the last target of each URL.
+    """
+    numbered = changed_aliases(fetched).select(
+        "url", "new_url", F.lit(time.time_ns()).alias("batch"), F.monotonically_increasing_id().alias("line")
+    )
+    numbered.write.mode("append").parquet(path)
 
 
 def new_responses(fresh: DataFrame, store: DataFrame, key: list[str]) -> DataFrame:
-    """Successful fresh answers whose key the store lacks, one per key."""
+    """Successful fresh answers whose key the store lacks, one per key; a missing part of a key equals itself."""
     ok = fresh.filter(F.col("response").isNotNull())
-    absent = ok.join(store.select(*key), key, "left_anti")
+    absent = null_safe_join(ok, store.select(*key), key, "left_anti")
     rest = [c for c in fresh.columns if c not in key]
     one = absent.groupBy(*key).agg(F.min(F.struct(*rest)).alias("r"))
     return one.select(*key, *[F.col(f"r.{c}").alias(c) for c in rest]).select(*fresh.columns)

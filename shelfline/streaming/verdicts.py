@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.classify import Rules, facts_of, fetch_and_check
 from ..operators.rows import dedupe_url
-from ..operators.skew import salted_join
+from ..operators.skew import skewed_join
 from ..operators.stores import QUESTION, trim_stores
 
 OUTPUT = "id BIGINT, product STRING, brand STRING, model STRING, url STRING, new_url STRING, outcome STRING"
@@ -25,7 +25,7 @@ def judge_rows(
     """
     stores = trim_stores(rows, aliases, facts_of(pages, rules), responses)
     checks = fetch_and_check(rows, *stores, rules)
-    j = salted_join(rows, checks, QUESTION, "id")
+    j = skewed_join(rows, checks, QUESTION)
     fits = F.col("is_prod") & ~F.col("unavailable") & F.col("model_from_catalog").isNull()
     waits = F.col("needs").isNotNull()
     outcome = F.when(F.coalesce(fits, F.lit(False)), "kept").when(waits, "undecided").otherwise("dropped")

@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from shelfline.operators import versions
+from shelfline.operators import stores, versions
 from shelfline.plans import find
 from shelfline.sources import readers, sinks
 
@@ -126,7 +126,7 @@ def test_write_version_refuses_to_overwrite(spark, tmp_path):
     sinks.write_version(rows.withColumn("minor", F.lit(1)), root)
     back = spark.read.parquet(root)
     assert back.count() == 4
-    latest = versions.latest_version(versions.list_table_versions(spark, root), back)
+    latest = versions.latest_version(versions.versions.list_table_versions(spark, root), back)
     assert versions.select_version(back, versions.source_version(latest)).count() == 2
     done = spark.createDataFrame([("a",)], "product STRING")
     assert {r.product for r in versions.publish_latest(back, latest, done).collect()} == {"b"}
@@ -171,7 +171,45 @@ def test_stores_grow_by_what_is_new(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("s", "a", "S"), ("t", "a", "old"), ("t", "b", "A")]
     moved = spark.createDataFrame([("a", "a"), ("b", "c"), ("d", None)], "url STRING, new_url STRING")
     sinks.append_aliases(moved, str(tmp_path / "al"))
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "al")).collect()] == [("b", "c")]
+    sinks.append_aliases(spark.createDataFrame([("b", "e"), ("f", "g")], "url STRING, new_url STRING"), str(tmp_path / "al"))
+    known = readers.scan_alias_store(spark, str(tmp_path / "al"))
+    assert sorted(map(tuple, known.collect())) == [("b", "e"), ("f", "g")]
+    once = stores.resolve_alias(spark.createDataFrame([("b",), ("x",)], "url STRING"), known)
+    assert sorted((r.url, r.new_url) for r in once.collect()) == [("b", "e"), ("x", "x")]
+
+
+def test_null_keys_are_stored_once(spark, tmp_path):
+    key, ddl = ["query_type", "brand"], "query_type STRING, brand STRING, response STRING"
+    fresh, path = spark.createDataFrame([("t", None, "x")], ddl), str(tmp_path / "n")
+    spark.createDataFrame([], ddl).write.parquet(path)
+    for _ in range(2):
+        sinks.merge_responses(fresh, spark.createDataFrame(spark.read.parquet(path).collect(), ddl), path, key)
+    assert spark.read.parquet(path).count() == 1
+
+
+def test_pending_fetch_follows_what_the_checks_look_up(spark):
+    pages = spark.createDataFrame([("https://a/new", "x"), ("https://a/b", "x"), ("https://a/failed", None)], "url STRING, html STRING")
+    aliases = spark.createDataFrame([("https://a/old", "https://a/new"), ("https://a/moved", "https://a/elsewhere")], "url STRING, new_url STRING")
+    rows = spark.createDataFrame([(u,) for u in ("https://a/old", "https:// a/b", "https://a/failed", "https://a/moved", "x.pdf", None)], "url STRING")
+    assert sorted(r.url for r in stores.pending_fetch(rows, pages, aliases).collect()) == ["https://a/elsewhere", "https://a/failed"]
+
+
+def test_fields_with_line_feeds_and_versions_from_file_names(spark, tmp_path):
+    for version, lines in (("1.0", ["t,A,m,https://a"]), ("2.1", ['t,B,"line1\nline2, ""x""",https://b', "t,C,n,https://c"])):
+        folder = tmp_path / "007"
+        folder.mkdir(exist_ok=True)
+        (folder / f"products_v{version}.csv").write_text("Product,Brand,Model,URL\n" + "\n".join(lines) + "\n")
+    got = sorted(tuple(r) for r in readers.scan_versioned_products(spark, str(tmp_path)).collect())
+    assert got == [("007", 1, 0, "A", "m", "https://a", 0), ("007", 2, 1, "B", 'line1\nline2, "x"', "https://b", 0), ("007", 2, 1, "C", "n", "https://c", 1)]
+    assert readers.scan_products(spark, str(tmp_path)).count() == 3
+
+
+def test_category_names_stay_text(spark, tmp_path):
+    root = str(tmp_path / "v")
+    sinks.write_version(spark.createDataFrame([("007", 1, 0, 5)], "product STRING, major INT, minor INT, id BIGINT"), root)
+    assert [tuple(r) for r in versions.list_table_versions(spark, root).collect()] == [("007", 1, 0)]
+    with pytest.raises(ValueError, match="007 v1.0"):
+        sinks.write_version(spark.createDataFrame([("007", 1, 0, 6)], "product STRING, major INT, minor INT, id BIGINT"), root)
 
 
 def test_bucketed_page_store_is_not_shuffled(spark):
@@ -199,7 +237,7 @@ def test_find_products(spark):
     have = old.select("product", "major", "minor").distinct()
     asked = {r.product: r.request for r in find.ask_for_products(cats, old, have, want=2).collect()}
     assert set(asked) == {"tent", "lamp"}
-    assert "Exclude brands: acme. " in asked["tent"] and "Exclude" not in asked["lamp"] and "6 lines" in asked["lamp"]
+    assert "Leave out what is known: acme. " in asked["tent"] and "Leave out" not in asked["lamp"] and "6 lines" in asked["lamp"]
     answers = spark.createDataFrame(
         [("find_sites", p, "", "", "Brand;Model;URL\nACME;A;https://a\nNew;N;https://n") for p in ("tent", "lamp", "desk")],
         "query_type STRING, product STRING, brand STRING, url STRING, response STRING",

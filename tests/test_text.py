@@ -115,3 +115,23 @@ def test_vocabulary_file(spark, tmp_path):
     f = tmp_path / "terms.txt"
     f.write_text("ebay\n\n etsy \nebay\n")
     assert terms_of(load_terms(spark, str(f))) == ["ebay", "etsy"]
+
+
+def test_hostile_pages(values):
+    pages = [
+        "<style-guide>buy now</style-guide>", "x <template-card>now</template-card> and the rest", '<a title="x > y">buy</a>',
+        "a<script>no</script>b<script src=x>no</script >c", "<p title='unclosed>buy", '<a href="x>1</a><b title="y">2</b>',
+        "<STYLE media=a>no</Style>yes", "<scripted>yes", "a <!-- <b> --> c",
+    ]
+    want = ["buy now", "x now and the rest", "buy", "abc", "buy", "12", "yes", "yes", "a  c"]
+    assert values(text.extract_text("x"), pages) == want
+
+
+def test_references_are_those_of_html(values):
+    import html
+
+    given = [
+        "&rarr;&OElig;&Agrave;&oelig;&nbsp;x", "&#00000065;&#x0000000000041;&#65 b", "&ampx &copy2020 &notit; &nosuch; &", "&#0;&#xD800;&#x110000;&#99999999999999999999;",
+        "&#128;&#x99;&#150;", "&amp;lt;", "&CounterClockwiseContourIntegral;", "&acE;&fjlig;", "a&b&&c;",
+    ]
+    assert values(text.decode_entities("x"), given) == [html.unescape(x) for x in given]

@@ -12,7 +12,7 @@ from shelfline.functions.base import bind
 from shelfline.operators import dataset, rows, search, stores, versions
 from shelfline.operators.classify import classify_page, facts_of, fetch_and_check, rule_check
 from shelfline.plans import clean, collect, find, requests
-from shelfline.session import fresh_path, spread, stage
+from shelfline.session import fresh_path, stage
 from shelfline.sources import readers, sinks
 from shelfline.streaming.verdicts import final_rows, judge_rows, read_verdicts, stream_verdicts
 from workload import inputs
@@ -29,11 +29,11 @@ def query(fn: Query) -> Query:
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "pages"), "page_id")
+    return table(spark, d, "pages")
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "documents"), "doc_id")
+    return table(spark, d, "documents")
 
 
 # Flagship
@@ -110,7 +110,7 @@ def scan_url_aliases(spark, d):
 @query
 def scan_page_store(spark, d):
     path = fresh_path(spark, "pages")
-    inputs.page_store(spark, d).write.parquet(path)
+    _pages(spark, d).select("url", "html").write.parquet(path)
     s = readers.scan_page_store(spark, path)
     return s.select("url", urls.cache_key("pages/", "url").alias("cache_key"), F.md5("html").alias("html_md5"))
 
@@ -193,9 +193,12 @@ def append_aliases(spark, d):
     path = fresh_path(spark, "aliases")
     fetched = stores.resolve_alias(products(spark, d).select("id", "url"), inputs.aliases(spark, d))
     secure = F.startswith("url", F.lit("https"))
+    # Everything led elsewhere before; half of it moves on in a second batch, the rest in a third.
+    older = fetched.withColumn("new_url", F.when(F.col("url") != F.col("new_url"), F.concat("new_url", F.lit("/old"))))
+    sinks.append_aliases(older, path)
     sinks.append_aliases(fetched.filter(secure), path)
     sinks.append_aliases(fetched.filter(~secure), path)
-    return spark.read.parquet(path)
+    return readers.scan_alias_store(spark, path)
 
 
 @query
@@ -470,7 +473,7 @@ def build_requests(spark, d):
         "brand",
         "url",
         F.contains(said, F.col("product")).alias("names_product"),
-        F.when(kind.isin(stores.PAGE_CHECK, stores.CATALOG_PICK), F.md5(F.substring_index(said, "\n", -1)))
+        F.when(kind.isin(stores.PAGE_CHECK, stores.CATALOG_PICK), F.md5(F.regexp_replace(said, r"^[^\n]*\n", "")))
         .when(kind == stores.BRAND_CHECK, F.contains(said, F.col("url")).cast("string"))
         .when(kind == stores.URL_CHECK, F.contains(said, urls.url_core("url")).cast("string"))
         .otherwise(F.contains(said, F.col("brand")).cast("string"))
@@ -546,7 +549,7 @@ def lookup_pages(spark, d):
 def pending_fetch(spark, d):
     hits = inputs.search_hits(spark, d).select(urls.drop_slash("link").alias("url"))
     wanted = hits.unionByName(products(spark, d).select("url"))
-    return stores.pending_fetch(wanted, stored("page_store", spark, d))
+    return stores.pending_fetch(wanted, stored("page_store", spark, d), stored("aliases", spark, d))
 
 
 @query
@@ -686,9 +689,10 @@ def balanced_subset(spark, d):
 @query
 def union_categories(spark, d):
     p = products(spark, d)
-    # One table per language of the driver pages, with its columns in another order.
+    # One table per share of the categories, all of them together, with its columns in another order.
     cols = p.columns
-    parts = [p.filter(F.col("product") == c).select(*(cols[i:] + cols[:i])) for i, c in enumerate(["en", "de", "fr", "es"])]
+    share = F.pmod(F.xxhash64("product"), F.lit(4))
+    parts = [p.filter(share == i).select(*(cols[i:] + cols[:i])) for i in range(4)]
     return rows.union_categories(parts)
 
 
@@ -755,7 +759,7 @@ def clean_dataset(spark, d):
 
 
 def _find_inputs(spark, d):
-    """Listed answers for every third of the part categories, brands partly known already."""
+    """Listed answers for the part categories, brands partly known already."""
     answers = list_answers(spark, d)
     cats = answers.select("product").distinct().withColumn(
         "idx", F.regexp_extract("product", "([0-9]+)$", 1).cast("long")
@@ -783,7 +787,7 @@ def ask_for_products(spark, d):
     return asked.select(
         "query_type", "product",
         F.regexp_extract("request", "^Name ([0-9]+) ", 1).cast("int").alias("n_brands"),
-        F.regexp_extract("request", "(Exclude brands: .*?\\. )Aim", 1).alias("excluded"),
+        F.regexp_extract("request", "(Leave out what is known: .*?\\. )Aim", 1).alias("excluded"),
     )
 
 
