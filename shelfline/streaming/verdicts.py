@@ -12,6 +12,7 @@ from ..operators.classify import Rules, facts_of, fetch_and_check
 from ..operators.rows import dedupe_url
 from ..operators.skew import skewed_join
 from ..operators.stores import QUESTION, trim_stores
+from ..plans.clean import check_products
 
 OUTPUT = "id BIGINT, product STRING, brand STRING, model STRING, url STRING, new_url STRING, outcome STRING"
 
@@ -32,6 +33,24 @@ def judge_rows(
     return j.select("id", "product", "brand", "model", "url", "new_url", outcome.alias("outcome"))
 
 
+def check_rows(open_stores: Callable[[], dict[str, DataFrame]], rules: Rules = Rules()) -> Callable[[DataFrame], DataFrame]:
+    """A judge that checks and repairs each batch like the batch job does.
+
+    `open_stores` gives `results, aliases, pages, responses`. It is called for every batch, so what was fetched
+    and answered meanwhile counts from the next batch on.
+    """
+
+    def judge(batch: DataFrame) -> DataFrame:
+        checked = check_products(batch, rules=rules, **open_stores())
+        kept = F.col("outcome") == "kept"
+        return checked.select(
+            "id", "product", "brand", F.when(kept, F.col("new_model")).otherwise(F.col("model")).alias("model"), "url",
+            F.when(kept, F.col("new_url")).otherwise(F.col("resolved_url")).alias("new_url"), "outcome",
+        )
+
+    return judge
+
+
 def stream_verdicts(
     rows: DataFrame,
     judge: Callable[[DataFrame], DataFrame],

@@ -14,7 +14,7 @@ from shelfline.operators.classify import classify_page, facts_of, fetch_and_chec
 from shelfline.plans import clean, collect, find, requests
 from shelfline.session import fresh_path, stage
 from shelfline.sources import readers, sinks
-from shelfline.streaming.verdicts import final_rows, judge_rows, read_verdicts, stream_verdicts
+from shelfline.streaming.verdicts import check_rows, final_rows, judge_rows, read_verdicts, stream_verdicts
 from workload import inputs
 from workload.inputs import RULES, answer_texts, products, stored, table, versioned
 from workload.terms import PRODUCT_TERMS, UNAVAILABLE_TERMS, URL_TERMS
@@ -832,4 +832,28 @@ def stream_verdicts_query(spark, d):
     )
 
 
+def stream_checks(spark, d):
+    """The whole check and repair as rows arrive, in two batches, with stores opened anew for each."""
+    incoming, out = fresh_path(spark, "incoming"), fresh_path(spark, "checked")
+    p = products(spark, d)
+    p.repartition(2, "id").write.parquet(incoming)
+    arriving = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
+    kept = inputs.stores(spark, d) | {"results": stored("search_results", spark, d)}
+    pages = stage(facts_of(kept.pop("pages"), RULES), "facts")
+
+    def open_stores():
+        # Read by path, as a store that others append to is.
+        reopened = {n: spark.read.schema(df.schema).parquet(*df.inputFiles()) for n, df in kept.items()}
+        return reopened | {"pages": pages}
+
+    q = stream_verdicts(arriving, check_rows(open_stores, RULES), out, fresh_path(spark, "offsets"))
+    q.awaitTermination()
+    v = read_verdicts(spark, out)
+    final = final_rows(v).select("product", "id", F.lit(True).alias("final"))
+    return v.join(final, ["product", "id"], "left").select(
+        "id", "product", "brand", "model", "url", "new_url", "outcome", F.coalesce("final", F.lit(False)).alias("final")
+    )
+
+
 QUERIES["stream_verdicts"] = QUERIES.pop("stream_verdicts_query")
+QUERIES["stream_checks"] = stream_checks
