@@ -54,6 +54,8 @@ MARKS = frozenset(
     "pager paginate pagination paywall popup promo promotion recommended recommendations related replies reply respond share sharing "
     "sidebar signup skip social sponsor sponsored subscribe subscription teaser teasers toolbar widget widgets".split()
 )
+#: Marks that also count as the start or end of a longer word, as in `commentlist`.
+STEMS = ("advert", "breadcrumb", "comment", "cookie", "footer", "navbar", "newsletter", "pagination", "sidebar")
 #: Elements that hold an article or a whole page, whatever their class says.
 HOLDERS = frozenset("article body html main".split())
 WORDS = frozenset(["text", "link", "heading", "list", "table", "outside"])
@@ -66,16 +68,17 @@ def _marked(name: str, attrs: str, in_article: bool) -> bool:
     if name in OUTSIDE or (name == "header" and not in_article):
         return True
     for key, value in ATTRIBUTE.findall(attrs):
-        key, value = key.lower(), value.strip("\"'").lower()
+        key, entries = key.lower(), value.strip("\"'").split()
+        value = " ".join(entries).lower()
         if key == "role" and value in ROLES or key == "hidden" or (key == "aria-hidden" and value == "true"):
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
         if key in ("class", "id"):
-            for entry in value.split():
-                parts = [p for p in re.split(r"[-_:]+|(?<=[a-z])(?=[0-9])", entry) if p]
+            for entry in entries:
+                parts = [p.lower() for p in re.split(r"[-_:]+|(?<=[a-z])(?=[0-9A-Z])", entry) if p]
                 if parts and parts[0] not in ("has", "no", "with", "without"):
-                    found = MARKS.intersection(parts)
+                    found = MARKS.intersection(parts) | {p for p in parts if p.startswith(STEMS) or p.endswith(STEMS)}
                     if found and not (in_article and found <= {"header"}):
                         return True
     return False

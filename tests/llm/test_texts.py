@@ -193,6 +193,7 @@ WEIGHTS = weights_of(PAGES)
     ("<nav><a href=1>Home</a></nav><h1>Title</h1><p>A body.</p><footer>c 2020 all rights</footer>", "Title\n\nA body."),
     ("<article><header><h1>Top</h1></header><p>Text of it.</p><div class='ad-box'>buy now</div><p>More.</p></article>", "Top\n\nText of it.\n\nMore."),
     ("<div class='post has-sidebar'><p>kept all the same</p></div><div id=comments><p>I like it</p></div>", "kept all the same"),
+    ("<p>our text</p><ol class=commentlist><li>I say</ol><div id=siteFooter>c 2020</div><div class='ad2'>buy</div>", "our text"),
     ("<div role=navigation>a b c</div><div hidden>d e f</div><p>g h i</p>", "g h i"),
     ("<form><p>your name</p><button>send</button></form>", ""),
     ("<p>cut off <a href='x", "cut off"),
