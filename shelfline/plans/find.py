@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators.dataset import brand_quota
 from ..operators.rows import category_slice, exclude_known_brands, parse_product_lines
-from ..operators.stores import SITE_LIST
 from ..operators.versions import latest_version, next_version, select_version
-from .requests import find_requests
+from .requests import find_requests, site_list_key
+
+_KEY = ["query_type", "brand", "url"]
 
 
 def first_minor_rows(versioned: DataFrame, latest: DataFrame) -> DataFrame:
@@ -34,10 +35,11 @@ def ask_for_products(
     num: int | None = None,
     want: int = 20,
     exclude_existing: bool = True,
+    model: str = "",
 ) -> DataFrame:
-    """Job 1: the requests for new candidates."""
+    """Job 1: the requests for new candidates, to be put to `model`."""
     chosen = category_slice(categories, start, num)
-    return find_requests(quota_of(chosen, versioned, versions, want, exclude_existing))
+    return find_requests(quota_of(chosen, versioned, versions, want, exclude_existing), model, exclude_existing)
 
 
 def find_products(
@@ -49,12 +51,14 @@ def find_products(
     num: int | None = None,
     want: int = 20,
     exclude_existing: bool = True,
+    model: str = "",
 ) -> DataFrame:
-    """Job 2: candidate rows of the stored answers, as the first version of the next major."""
+    """Job 2: candidate rows of the stored answers of `model`, as the first version of the next major."""
     chosen = category_slice(categories, start, num)
     quota = quota_of(chosen, versioned, versions, want, exclude_existing)
     wanting = quota.filter(~F.col("done")).select("product")
-    answers = responses.filter(F.col("query_type") == SITE_LIST).select("product", "response")
+    stored = responses.select("*", *[k.alias(f"__{n}") for n, k in zip(_KEY, site_list_key(model, exclude_existing), strict=True)])
+    answers = stored.filter(" AND ".join(f"{n} = __{n}" for n in _KEY)).select("product", "response")
     rows = parse_product_lines(answers.join(wanting, "product", "left_semi"))
     latest = latest_version(versions, chosen)
     if exclude_existing:

@@ -76,18 +76,23 @@ def build_requests(questions: DataFrame, pages: DataFrame, budget: int | None =
     return both.select("query_type", *QUESTION, request_text(budget).alias("request"))
 
 
-def find_requests(quota: DataFrame) -> DataFrame:
-    """Requests for new brands of the categories that want more; `quota` as `brand_quota` gives it."""
+def site_list_key(model: str = "", exclude_existing: bool = True) -> list[Column]:
+    """`query_type, brand, url` of a request for new brands: who is asked, and whether known brands are left out."""
+    parts = {"query_type": SITE_LIST, "brand": model, "url": "" if exclude_existing else "all"}
+    return [F.lit(v).alias(k) for k, v in parts.items()]
+
+
+def find_requests(quota: DataFrame, model: str = "", exclude_existing: bool = True) -> DataFrame:
+    """Requests for new brands of the categories that want more; `quota` as `brand_quota` gives it.
+
+    Answers are stored under the asked model and the choice of leaving known brands out, so each combination is
+    asked once.
+    """
     n = F.col("remaining")
     request = _say(
         "Name ", n.cast("string"), " different makers of ", F.col("product"), ". For each, list the links of three"
         " of its ", F.col("product"), " models on its own site. ", F.col("exclude_text"), "Aim for ",
         (n * 3).cast("string"), " lines in all, without repeats. Answer as lines of Brand;Model;URL under that heading.",
     )
-    return quota.filter(~F.col("done")).select(
-        F.lit(SITE_LIST).alias("query_type"),
-        "product",
-        F.lit("").alias("brand"),
-        F.lit("").alias("url"),
-        request.alias("request"),
-    )
+    kind, brand, url = site_list_key(model, exclude_existing)
+    return quota.filter(~F.col("done")).select(kind, "product", brand, url, request.alias("request"))

@@ -246,5 +246,11 @@ def test_find_products(spark):
     assert got == [("lamp", "ACME", 1, 0), ("lamp", "New", 1, 0), ("tent", "New", 3, 0)]
     sliced = find.find_products(cats, old, have, answers, start=1, num=1, want=2)
     assert {r.product for r in sliced.collect()} == {"lamp"}
+    # Answers belong to who was asked, and to the choice of leaving known brands out.
+    assert find.find_products(cats, old, have, answers, want=2, exclude_existing=False).count() == 0
+    assert find.find_products(cats, old, have, answers, want=2, model="other").count() == 0
+    open_key = {r.product: (r.brand, r.url) for r in find.ask_for_products(cats, old, have, want=2, exclude_existing=False, model="m").collect()}
+    assert set(open_key.values()) == {("m", "all")}
+    answers = answers.withColumn("url", F.lit("all"))
     again = find.find_products(cats, old, have, answers, want=2, exclude_existing=False)
     assert {(r.product, r.brand) for r in again.collect()} == {(p, b) for p in ("tent", "lamp", "desk") for b in ("ACME", "New")}
