@@ -85,7 +85,8 @@ def schedule(
         if value <= 0:
             raise ValueError("targets must be positive")
         weight = F.when(F.col("name") == name, F.lit(float(value))).otherwise(weight)
-    shares = held.withColumnRenamed("source", "name").select("name", weight.alias("weight"))
+    # Written first: then a source of a third of all rows can be split in the join.
+    shares = stage(held.withColumnRenamed("source", "name").select("name", weight.alias("weight")), "shares")
     served = placed.join(shares, F.col("source").eqNullSafe(F.col("name"))).select(
         "row_key", "doc_id", "source", "at", "n_tokens", "weight",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_tokens") - 1, F.lit(quantum).cast("bigint"))).alias("start"),
