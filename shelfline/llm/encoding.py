@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MEMO_WORDS = 700_000
-BATCH_BYTES = 4 << 20
+MEMO_WORDS = 500_000
+BATCH_BYTES = 2 << 20
 JOINED_WORDS = 256
 #: Normalizer steps that treat each word on its own.
 WORDWISE = {"NFC", "Lowercase", "Replace"}

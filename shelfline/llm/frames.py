@@ -8,11 +8,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+PART_BYTES = 4 << 20
+
 
 def add_columns(df: DataFrame, kernel: Callable[[pa.RecordBatch], list[pa.Array]], fields: str) -> DataFrame:
     """`df` with the columns of `fields`, made batch by batch by `kernel`. Nothing is shuffled or reordered.
 
-    The new names must not be in `df`; its own columns pass through, whatever they are called.
+    The new names must not be in `df`; its own columns pass through, whatever they are called. A batch of long
+    rows is worked on and handed on in parts of about `PART_BYTES`.
     """
     extra = T.StructType.fromDDL(fields)
     names = extra.fieldNames()
@@ -20,8 +23,10 @@ def add_columns(df: DataFrame, kernel: Callable[[pa.RecordBatch], list[pa.Array]
         raise ValueError(f"columns {sorted(set(names) & set(df.columns))} exist")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = kernel(batch)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *names])
+        for whole in batches:
+            rows = max(1, int(whole.num_rows * PART_BYTES / max(1, whole.nbytes)))
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *kernel(batch)], [*batch.schema.names, *names])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *extra.fields]))

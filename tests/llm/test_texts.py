@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from shelfline.llm import langid, quality
+from shelfline.llm import frames, langid, quality
 from shelfline.llm.arrays import code_points, raw_bytes, words
 from shelfline.llm.html import article_report, best_run, main_text, weights_of
 from shelfline.llm.labelled_pages import PAGES
@@ -33,6 +33,15 @@ def test_views(texts):
     assert [got[a:b] for a, b in zip(at[:-1], at[1:], strict=True)] == [re.findall(r"[^\x20\x09-\x0D]+", t) for t in texts]
 
 
+def test_added_columns_keep_rows_and_names(spark, monkeypatch):
+    monkeypatch.setattr(frames, "PART_BYTES", 200)
+    df = spark.createDataFrame([(i, "x" * (i % 90), None if i % 7 else i) for i in range(300)], "made BIGINT, text STRING, n BIGINT")
+    out = frames.add_columns(df, lambda b: [pa.array([len(t.as_py()) for t in b.column(1)], pa.int64())], "size BIGINT")
+    assert out.columns == ["made", "text", "n", "size"] and out.filter("size <> length(text)").isEmpty() and out.count() == 300
+    with pytest.raises(ValueError, match="made"):
+        frames.add_columns(df, lambda b: [], "made BIGINT")
+
+
 def slow_base(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = [tuple(w[i:i + 8]) for i in range(len(w) - 7)]
