@@ -29,7 +29,7 @@ from shelfline.session import stage
 
 WIDTH, RADIUS, SEED = 3, 2, 42
 #: The tree's sample, and fingerprints a shard should have; a tree has at most SAMPLE / 16 shards.
-SAMPLE, SHARD = 16_384, 2_048
+SAMPLE, SHARD = 16_384, 8_192
 RESIDENTS, QUERIES = 8_192, 65_536
 BLOCK = 1 << 20
 TEXT_BLOCK = 4 << 20
