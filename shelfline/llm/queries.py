@@ -12,6 +12,7 @@ from shelfline.llm.html import article_report
 from shelfline.llm.langid import language_report
 from shelfline.llm.lines import line_report
 from shelfline.llm.packing import pack
+from shelfline.llm.pieces import piece_report
 from shelfline.llm.quality import quality_report
 from shelfline.llm.simhash import near_duplicates
 from shelfline.llm.substrings import without_repeats
@@ -66,6 +67,10 @@ def op10_best_region(spark: SparkSession, d: str) -> DataFrame:
     return article_report(table(spark, d, "pages"))
 
 
+def op11_piece_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return piece_report(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_vantage": op1_simhash_vantage,
     "op2_language_filters": op2_language_filters,
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_line_winnowing": op9_line_winnowing,
     "op10_best_region": op10_best_region,
+    "op11_piece_chunks": op11_piece_chunks,
 }
 
 ORACLES: dict[str, str] = {
