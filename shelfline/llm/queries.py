@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfline.llm import decontaminate, lines
+from shelfline.llm import decontaminate, lines, ranked, trie
 from shelfline.llm.decontaminate import leak_report
 from shelfline.llm.html import article_report
 from shelfline.llm.langid import language_report
@@ -14,9 +14,11 @@ from shelfline.llm.lines import line_report
 from shelfline.llm.packing import pack
 from shelfline.llm.pieces import piece_report
 from shelfline.llm.quality import quality_report
+from shelfline.llm.ranked import ranked_search
 from shelfline.llm.simhash import near_duplicates
 from shelfline.llm.substrings import without_repeats
 from shelfline.llm.token_counts import count_tokens
+from shelfline.llm.trie import conversation_report
 from shelfline.llm.wavelet import documents_of, write_shards
 from shelfline.session import fresh_path
 
@@ -71,6 +73,14 @@ def op11_piece_chunks(spark: SparkSession, d: str) -> DataFrame:
     return piece_report(table(spark, d, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, d: str) -> DataFrame:
+    return conversation_report(table(spark, d, "conversations"))
+
+
+def op13_ranked_search(spark: SparkSession, d: str) -> DataFrame:
+    return ranked_search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_vantage": op1_simhash_vantage,
     "op2_language_filters": op2_language_filters,
@@ -83,9 +93,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_winnowing": op9_line_winnowing,
     "op10_best_region": op10_best_region,
     "op11_piece_chunks": op11_piece_chunks,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLES: dict[str, str] = {
     "op8_decontamination": decontaminate.SQL,
     "op9_line_winnowing": lines.SQL,
+    "op12_conversation_trie": trie.SQL,
+    "op13_ranked_search": ranked.SQL,
 }
