@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -13,8 +14,9 @@ from .base import SPACE, bind, col, collapse_spaces, strip
 # comment or a closing tag inside a script is never taken for markup of its own. Whatever is not
 # closed runs to the end of the page, which also keeps broken pages linear: no opening is tried twice.
 # Names end at white space, a slash or the end of the tag: `<style-guide>` is an element of its own.
-# Quoted values may hold `>`; a tag whose quotes do not close ends at the first one.
-_ATTRIBUTES = r"""[^"'>]*+(?:"[^"]*+"[^"'>]*+|'[^']*+'[^"'>]*+)*+"""
+# A quoted value, after an equals sign, may hold `>`; quotes elsewhere, as in a value without quotes, are plain
+# characters. A tag whose quotes do not close ends at the first `>`.
+_ATTRIBUTES = r"""(?:[^=>]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))*+"""
 _HIDDEN = "|".join(
     rf"<{name}(?=[\s/>]){_ATTRIBUTES}>.*?(?:</{name}(?=[\s/>])[^>]*(?:>|\z)|\z)" for name in ("script", "style", "template")
 )
@@ -75,8 +77,14 @@ def decode_entities(c: Column | str) -> Column:
         def unclosed(m: Column) -> Column:
             return F.when(m != "", F.concat(F.try_element_at(bare, m), after(F.length(m))))
 
+        # Frequent names first: most references need no pattern and no table.
+        frequent = reduce(
+            lambda c, n: F.when(F.startswith(p, F.lit(n + ";")), F.concat(F.lit(_NAMES[n]), after(F.lit(len(n) + 1)))).otherwise(c),
+            reversed(_COMMON), F.lit(None).cast("string"),
+        )
         # Null where the ampersand starts nothing known: then it stands for itself.
         return F.coalesce(
+            frequent,
             bind(F.regexp_extract(p, _NUMBER, 0), numeric), bind(F.regexp_extract(p, _NAMED, 1), named),
             bind(F.regexp_extract(p, _BARE_NAMED, 1), unclosed), F.concat(F.lit("&"), p),
         )

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.base import strip
 from ..functions.text import clean_label
+from ..session import stage
 from .ranking import first_n_per, id_bucket, number_within
+from .skew import null_safe_join
 
 
 def category_slice(categories: DataFrame, start: int = 0, num: int | None = None) -> DataFrame:
@@ -23,14 +25,26 @@ def category_slice(categories: DataFrame, start: int = 0, num: int | None = None
 def head_per_category(rows: DataFrame, n: int | None = None) -> DataFrame:
     """The first `n` rows of every category by id, all if null; rows without category or id count, too.
 
-    Rows are numbered bucket by bucket, so no task sorts a whole category, whatever `n` is.
+    Rows are counted per range of ids. Ranges that lie before the n-th row pass as they are, those after it go, and
+    only the range that holds it, one for each category, is ranked. The counts of ranges join
+    the rows before anything else happens to them, one way for every `n`.
     """
     if n is None:
         return rows
-    numbered = number_within(
-        rows.withColumn("__bucket", id_bucket("id")), ["product"], ["__bucket"], ["id"], "__pos"
-    )
-    return numbered.filter(F.col("__pos") < n).select(*rows.columns)
+    spot, size, start = "__bucket", "__n", "__start"
+    dealt = rows.withColumn(spot, id_bucket("id"))
+    counts = dealt.groupBy("product", spot).agg(F.count(F.lit(1)).alias(size))
+    before = W.partitionBy("product").orderBy(spot).rowsBetween(W.unboundedPreceding, -1)
+    open_ = counts.withColumn(start, F.coalesce(F.sum(size).over(before), F.lit(0))).filter(F.col(start) < n)
+    # Written first: both halves read it, and a category of a third of all rows can be split in the join.
+    open_ = stage(open_, "ranges")
+    whole = F.col(start) + F.col(size) <= n
+    inside = null_safe_join(dealt, open_.filter(whole), ["product", spot], "inner")
+    edge = null_safe_join(dealt, open_.filter(~whole), ["product", spot], "inner")
+    rank = F.row_number().over(W.partitionBy("product").orderBy("id"))
+    # The rank within `n` lets each task keep that many rows before the shuffle.
+    edge = edge.withColumn("__rn", rank).filter((F.col("__rn") <= n) & (F.col("__rn") <= n - F.col(start)))
+    return inside.select(*rows.columns).unionByName(edge.select(*rows.columns))
 
 
 def dedupe_url(rows: DataFrame, key: list[str] = ["product", "url"]) -> DataFrame:
@@ -77,16 +91,16 @@ def balanced_subset(rows: DataFrame, brands: int = 8, per_brand: int = 1, seed:
 
 
 def apply_updates(rows: DataFrame, checked: DataFrame) -> DataFrame:
-    """Write new models and URLs back to kept rows and drop the rest."""
+    """Write new models and URLs back to kept rows and drop the rest. A missing category is one like any other."""
     kept = checked.filter(F.col("outcome") == "kept").select("product", "id", "new_model", "new_url")
-    joined = rows.drop("model", "url").join(kept, ["product", "id"])
+    joined = null_safe_join(rows.drop("model", "url"), kept, ["product", "id"], "inner")
     return joined.withColumnsRenamed({"new_model": "model", "new_url": "url"}).select(*rows.columns)
 
 
 def apply_model_names(rows: DataFrame, names: DataFrame) -> DataFrame:
     """Replace the model where a new name exists."""
     fresh = names.select("product", "id", F.col("new_model").alias("__new"))
-    joined = rows.join(fresh, ["product", "id"], "left")
+    joined = null_safe_join(rows, fresh, ["product", "id"])
     return joined.withColumn("model", F.coalesce("__new", "model")).select(*rows.columns)
 
 

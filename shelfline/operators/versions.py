@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.trees import NO_NAME, Tree
+from .skew import null_safe_join
+
 # The whole file name: leftovers such as `temp_products_v1.2.csv` are no version.
-VERSION_KEY = "product STRING, major INT, minor INT"
+VERSION = ["product", "major", "minor"]
 VERSION_FILE = r"^products_v([0-9]+)\.([0-9]+)\.csv$"
 
 
 def list_versions(spark: SparkSession, root: str) -> DataFrame:
-    """Versions of a folder tree of `products_v{major}.{minor}.csv` files; file contents are not read."""
+    """Versions of a folder tree of `products_v{major}.{minor}.csv` files, or folders of files; contents are not read."""
     from ..sources.readers import parent_folder
 
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root)
-    )
-    return parse_versions(files.select(parent_folder("path").alias("product"), "path"))
+    ).select(version_path("path").alias("path"))
+    return parse_versions(files.distinct().select(parent_folder("path").alias("product"), "path"))
+
+
+def version_path(path: Column | str) -> Column:
+    """The path of a version's file; of a file in a folder with a version's name, the path of the folder."""
+    path = F.col(path) if isinstance(path, str) else path
+    return F.regexp_replace(path, r"(/products_v[0-9]+\.[0-9]+\.csv)/[^/]*$", "$1")
 
 
 def parse_versions(listing: DataFrame) -> DataFrame:
@@ -32,14 +40,18 @@ def parse_versions(listing: DataFrame) -> DataFrame:
 
 
 def list_table_versions(spark: SparkSession, root: str) -> DataFrame | None:
-    """Versions of a table written by `write_version`; None before the first write."""
-    try:
-        # With a schema, a category named 007 stays text.
-        return spark.read.schema(VERSION_KEY).parquet(root).distinct()
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+    """Versions of a table written by `write_version`, by its folders' names; None before the first write.
+
+    Files are listed, not opened. A category named 007 stays text.
+    """
+    if not Tree(spark, root).exists():
+        return None
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(root)
+    named = F.regexp_extract_all("path", F.lit(r"/product=([^/]*)/major=([0-9]+)/minor=([0-9]+)/[^/]*$"))
+    names = [F.regexp_extract("path", r"/product=([^/]*)/major=([0-9]+)/minor=([0-9]+)/[^/]*$", i) for i in (1, 2, 3)]
+    product = F.nullif(F.url_decode(F.replace(names[0], F.lit("+"), F.lit("%2B"))), F.lit(NO_NAME))
+    found = files.filter(F.size(named) > 0)
+    return found.select(product.alias("product"), names[1].cast("int").alias("major"), names[2].cast("int").alias("minor")).distinct()
 
 
 def latest_version(versions: DataFrame, products: DataFrame, custom_major: int | None = None) -> DataFrame:
@@ -56,9 +68,7 @@ def latest_version(versions: DataFrame, products: DataFrame, custom_major: int |
             F.max(F.when(F.col("major") == custom_major, F.col("minor"))).alias("max_minor"),
         )
     return (
-        products.select("product")
-        .distinct()
-        .join(best, "product", "left")
+        null_safe_join(products.select("product").distinct(), best, ["product"])
         .select(
             "product",
             F.coalesce("max_major", F.lit(0)).alias("max_major"),
@@ -87,18 +97,22 @@ def source_version(latest: DataFrame, custom_major: int | None = None, custom_mi
 
 
 def select_version(rows: DataFrame, source: DataFrame) -> DataFrame:
-    """Rows of the chosen version of each category."""
-    return rows.join(source.select("product", "major", "minor"), ["product", "major", "minor"], "left_semi")
+    """Rows of the chosen version of each category; rows without a category are one."""
+    return null_safe_join(rows, source.select(*VERSION), VERSION, "left_semi")
 
 
-def publish_latest(rows: DataFrame, latest: DataFrame, published: DataFrame) -> DataFrame:
-    """Rows to expose as latest: categories without one yet whose greatest version was cleaned."""
-    due = (
+def due_versions(latest: DataFrame, published: DataFrame) -> DataFrame:
+    """`product, major, minor` of categories that have no latest yet and whose greatest version was cleaned."""
+    return (
         latest.filter(F.col("max_minor") > 0)
-        .join(published.select("product"), "product", "left_anti")
+        .transform(lambda due: null_safe_join(due, published.select("product"), ["product"], "left_anti"))
         .select("product", F.col("max_major").alias("major"), F.col("max_minor").alias("minor"))
     )
-    return select_version(rows, due)
+
+
+def publish_latest(rows: DataFrame, latest: DataFrame, published: DataFrame) -> DataFrame:
+    """Rows to expose as latest; `publish_latest_files` does the same for a tree of files."""
+    return select_version(rows, due_versions(latest, published))
 
 
 def existing_categories(categories: DataFrame, versions: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators.rows import apply_updates, dedupe_url, head_per_category
 from ..operators.search import (
     STATE, expand_states, follow, gated_candidates, judge_candidates, reachable_states,
 )
-from ..operators.skew import skewed_join
+from ..operators.skew import null_safe_join, skewed_join
 from ..operators.stores import QUESTION
 from ..operators.versions import latest_version, next_version, select_version, source_version
 from ..session import stage
@@ -142,4 +142,4 @@ def clean_dataset(
     checked = check_products(rows, results, aliases, pages, responses, rules)
     done = cleaned_rows(rows, checked)
     target = next_version(latest, minor_bump=True, custom_major=custom_major)
-    return done.join(target.select("product", "major", "minor"), "product")
+    return null_safe_join(done, target.select("product", "major", "minor"), ["product"], "inner")

@@ -36,7 +36,8 @@ def collect_pages(rows: DataFrame, aliases: DataFrame, pages: DataFrame) -> Data
     """
     chosen = choose_pages(rows, aliases, pages).select("product", "brand", "id", "new_url")
     bodies = pages.select(F.col("url").alias("new_url"), "html")
-    got = chosen.join(bodies, "new_url")
+    # The chosen rows, one for each brand, are held in memory bucket by bucket; bodies are neither moved nor sorted.
+    got = bodies.join(chosen.hint("shuffle_hash"), "new_url")
     return got.select(
         "product", "brand", "id", F.col("new_url").alias("url"), "html", extract_text("html").alias("content")
     )

@@ -59,7 +59,8 @@ def build_requests(questions: DataFrame, pages: DataFrame, budget: int | None =
     """Requests for `(query_type, product, brand, model, url)` rows.
 
     Page text joins only the kinds of question that quote it, and after everything else has been
-    filtered: `questions` should already lack those that have an answer.
+    filtered: `questions` should already lack those that have an answer. With a page store bucketed by URL
+    (`sinks.save_page_store`) pages are not shuffled.
     """
     quoting = [CATALOG_PICK, PAGE_CHECK, NAME_UPDATE]
     is_quoting = F.col("query_type").isin(quoting)

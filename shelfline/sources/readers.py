@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.base import strip
 from ..operators.ranking import number_within
-from ..operators.versions import parse_versions
+from ..operators.versions import parse_versions, version_path
+
+#: What a category's finished version is called.
+LATEST = "latest.csv"
+# Quoted fields may hold line feeds, so a file is read by one task.
+_QUOTED = dict(header=True, escape='"', multiLine=True)
 
 # A line's place: its file, the split of the file it came in, and its order within the split.
 _SPOT = ["__path", "__block"]
@@ -65,19 +70,31 @@ def scan_products(spark: SparkSession, root: str, file: str = "*.csv") -> DataFr
 def scan_versioned_products(spark: SparkSession, root: str) -> DataFrame:
     """Rows of all `products_v{major}.{minor}.csv` files: `product, major, minor, brand, model, url, id`.
 
-    `id` is the row's place in its file.
+    `id` is the row's place in its version. A version may be a folder of files of that name, read in their order.
     """
-    df = (
-        spark.read.schema(schemas.PRODUCT_CSV)
-        .options(header=True, escape='"', multiLine=True, recursiveFileLookup=True, pathGlobFilter="products_v*.csv")
-        .csv(root)
-    )
-    rows = parse_versions(_placed(df, "Brand", "Model", "URL", parent_folder("_metadata.file_path").alias("product"), F.col("_metadata.file_path").alias("path")))
+    return scan_version_paths(spark, [f"{root.rstrip('/')}/*/products_v*.csv"])
+
+
+def scan_version_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """`scan_versioned_products` of the versions at `paths` only."""
+    df = spark.read.schema(schemas.PRODUCT_CSV).options(**_QUOTED).csv(paths)
+    path = version_path("_metadata.file_path")
+    rows = parse_versions(_placed(df, "Brand", "Model", "URL", parent_folder(path).alias("product"), path.alias("path")))
     return number_within(rows, ["product", "major", "minor"], _SPOT, ["__line"], "id").select(
         "product", "major", "minor", F.col("Brand").alias("brand"), F.col("Model").alias("model"), F.col("URL").alias("url"), "id"
     )
 
 
+def scan_latest(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of every category's `latest.csv`, a file or a folder of files; `id` is the row's place in it."""
+    df = spark.read.schema(schemas.PRODUCT_CSV).options(**_QUOTED).csv(f"{root.rstrip('/')}/*/{LATEST}")
+    path = F.regexp_replace("_metadata.file_path", rf"(/{LATEST})/[^/]*$", "$1")
+    rows = _placed(df, "Brand", "Model", "URL", parent_folder(path).alias("product"))
+    return number_within(rows, ["product"], _SPOT, ["__line"], "id").select(
+        "product", F.col("Brand").alias("brand"), F.col("Model").alias("model"), F.col("URL").alias("url"), "id"
+    )
+
+
 def scan_url_aliases(spark: SparkSession, path: str) -> DataFrame:
     """Redirects from `url|new_url` lines below a heading; other shapes are ignored, the last one wins."""
     lines = _placed(spark.read.text(path), "value")
@@ -146,15 +163,36 @@ def usable_searches(stored: DataFrame) -> DataFrame:
     return _usable_bodies(stored).select("query").distinct()
 
 
+def _good(captures: DataFrame, until: datetime | Column, status: str, mime: str) -> DataFrame:
+    bound = until if isinstance(until, Column) else F.lit(until)
+    return captures.filter((F.col("status") == status) & (F.col("mime") == mime) & (F.col("ts") <= bound))
+
+
 def capture_asof(
     captures: DataFrame, until: datetime | Column, status: str = "200", mime: str = "text/html"
 ) -> DataFrame:
     """Per URL, the latest good capture not after `until`; ties go to the greater capture id.
 
-    A plain aggregate: each task keeps one capture per URL before the shuffle.
+    A plain aggregate: each task keeps one capture per URL, with its body, before the shuffle. Captures kept with
+    `save_capture_store` are picked without moving bodies by `capture_asof_stored`.
     """
-    bound = until if isinstance(until, Column) else F.lit(until)
-    good = captures.filter((F.col("status") == status) & (F.col("mime") == mime) & (F.col("ts") <= bound))
+    good = _good(captures, until, status, mime)
     rest = [c for c in captures.columns if c not in ("url", "status", "mime")]
     best = good.groupBy("url").agg(F.max_by(F.struct(*rest), F.struct("ts", "capture_id")).alias("c"))
     return best.select("url", *[F.col(f"c.{c}").alias(c) for c in rest])
+
+
+def capture_asof_stored(
+    spark: SparkSession, table: str, until: datetime | Column, status: str = "200", mime: str = "text/html"
+) -> DataFrame:
+    """`capture_asof` of a capture store: captures are picked by their narrow columns, and bodies are read after that.
+
+    The store is scanned twice, the first time without bodies. The picked ids then go to the buckets of the second scan
+    and meet the bodies there: ids move, bodies do not. Capture ids have to be unique.
+    """
+    captures = spark.table(table)
+    narrow = _good(captures, until, status, mime).groupBy("url").agg(F.max(F.struct("ts", "capture_id")).alias("k"))
+    picked = narrow.select(F.col("k.capture_id").alias("capture_id"))
+    rest = [c for c in captures.columns if c not in ("url", "status", "mime")]
+    # The picked ids are the small side, held in memory bucket by bucket, so that bodies are not sorted either.
+    return captures.join(picked.hint("shuffle_hash"), "capture_id", "left_semi").select("url", *rest)

@@ -254,3 +254,145 @@ def test_find_products(spark):
     answers = answers.withColumn("url", F.lit("all"))
     again = find.find_products(cats, old, have, answers, want=2, exclude_existing=False)
     assert {(r.product, r.brand) for r in again.collect()} == {(p, b) for p in ("tent", "lamp", "desk") for b in ("ACME", "New")}
+
+
+VERSIONED = ROWS + ", major INT, minor INT"
+
+
+def tree_of(root):
+    return sorted(str(p.relative_to(root)) for p in root.rglob("*") if p.is_file() and not p.name.endswith(".crc"))
+
+
+@pytest.fixture
+def dataset(spark):
+    rows = [(i, c, f"b{i % 3}", "a, \"b\"\nc" if i == 2 else f"m{i}", f"https://x/{i}", 1, 0) for c in ("tent", "air fryer") for i in range(7)]
+    return spark.createDataFrame(rows, VERSIONED).repartition(3)
+
+
+def test_named_version_files_round_trip(spark, dataset, tmp_path):
+    root = str(tmp_path)
+    counts = sinks.write_version_files(dataset, root)
+    assert counts == {"rows": 14, "empty_brand": 0, "empty_model": 0, "empty_url": 0}
+    sinks.write_version_files(dataset.filter("product = 'tent' and id > 2").withColumn("minor", F.lit(1)), root)
+    assert tree_of(tmp_path) == ["air fryer/products_v1.0.csv", "tent/products_v1.0.csv", "tent/products_v1.1.csv"]
+    lines = (tmp_path / "tent" / "products_v1.1.csv").read_text().splitlines()
+    assert lines == ["Product,Brand,Model,URL"] + [f"tent,b{i % 3},m{i},https://x/{i}" for i in range(3, 7)]
+    back = readers.scan_versioned_products(spark, root)
+    got = sorted((r.id, r.product, r.brand, r.model, r.url) for r in back.filter("minor = 0").collect())
+    assert got == sorted(tuple(r)[:5] for r in dataset.collect())
+    assert [r.model for r in back.filter("minor = 1").orderBy("id").collect()] == ["m3", "m4", "m5", "m6"]
+
+
+def test_a_large_category_is_a_folder_of_files(spark, dataset, tmp_path):
+    root = str(tmp_path)
+    sinks.write_version_files(dataset, root, rows_per_file=3)
+    assert [p for p in tree_of(tmp_path) if p.startswith("tent")] == [f"tent/products_v1.0.csv/part-0000{k}.csv" for k in range(3)]
+    back = readers.scan_versioned_products(spark, root).select("id", "product", "brand", "model", "url")
+    assert sorted(map(tuple, back.collect())) == sorted(tuple(r)[:5] for r in dataset.collect())
+    assert sorted(map(tuple, versions.list_versions(spark, root).select("product", "major", "minor").collect())) == [("air fryer", 1, 0), ("tent", 1, 0)]
+
+
+@pytest.mark.parametrize("write", [sinks.write_version, sinks.write_version_files])
+def test_a_refused_write_leaves_nothing(spark, dataset, tmp_path, write):
+    root = str(tmp_path)
+    write(dataset.filter("product = 'tent'"), root)
+    before = tree_of(tmp_path)
+    with pytest.raises(ValueError, match="version exists: tent v1.0"):
+        write(dataset, root)
+    assert tree_of(tmp_path) == before
+    broken = dataset.filter("product <> 'tent'").withColumn("model", F.when(F.col("id") < 5, F.col("model")).otherwise(F.raise_error(F.lit("no"))))
+    with pytest.raises(Exception, match="no"):
+        write(broken, root)
+    assert tree_of(tmp_path) == before and not list(tmp_path.glob(".staging*"))
+    write(dataset.filter("product <> 'tent'"), root)
+
+
+def test_a_claimed_version_is_refused(spark, dataset, tmp_path):
+    (tmp_path / "tent").mkdir()
+    (tmp_path / "tent" / ".products_v1.0.csv.claim").touch()
+    with pytest.raises(ValueError, match="version exists: tent v1.0"):
+        sinks.write_version_files(dataset, str(tmp_path))
+    assert [p for p in tree_of(tmp_path) if p.endswith(".csv")] == []
+
+
+def test_a_failed_move_is_taken_back(spark, dataset, tmp_path, monkeypatch):
+    from shelfline.sources.trees import Tree
+
+    plain, moved = Tree.move, []
+
+    def move(self, source, target):
+        if "." not in target[0][0] and len(target) == 2:
+            moved.append(target)
+            if len(moved) == 2:
+                raise OSError("gone")
+        plain(self, source, target)
+
+    monkeypatch.setattr(Tree, "move", move)
+    with pytest.raises(OSError, match="gone"):
+        sinks.write_version_files(dataset, str(tmp_path))
+    assert len(moved) == 2 and tree_of(tmp_path) == []
+
+
+@pytest.mark.parametrize("name", [None, "", "a/b", ".x", "a:b"])
+def test_names_that_are_no_folders(spark, dataset, tmp_path, name):
+    with pytest.raises(ValueError):
+        sinks.write_version_files(dataset.withColumn("product", F.lit(name).cast("string")), str(tmp_path))
+    assert tree_of(tmp_path) == []
+
+
+def test_rows_keep_their_order_in_files(spark, tmp_path):
+    """Also where the whole table is one category and one version, written by constants."""
+    rows = spark.range(500).select(F.col("id"), F.lit("b").alias("brand"), F.hex(F.xxhash64("id")).alias("model"), F.lit("u").alias("url"))
+    rows = rows.repartition(5).select(F.lit("tent").alias("product"), "*", F.lit(1).alias("major"), F.lit(3).alias("minor"))
+    root = str(tmp_path)
+    sinks.write_version_files(rows, root, rows_per_file=60)
+    assert sinks.publish_latest_files(spark, root, rows_per_file=90) == ["tent"]
+    want = [r.model for r in rows.orderBy("id").collect()]
+    for back in (readers.scan_versioned_products(spark, root), readers.scan_latest(spark, root)):
+        assert [r.model for r in back.orderBy("id").collect()] == want
+
+
+def test_publish_latest_files(spark, dataset, tmp_path):
+    root = str(tmp_path)
+    sinks.write_version_files(dataset, root)
+    cleaned = dataset.filter("id > 3").withColumn("minor", F.lit(2))
+    sinks.write_version_files(cleaned.filter("product = 'tent'"), root, rows_per_file=2)
+    assert sinks.publish_latest_files(spark, root) == ["tent"]
+    assert [r.url for r in readers.scan_latest(spark, root).orderBy("id").collect()] == [f"https://x/{i}" for i in (4, 5, 6)]
+    # What is published stays, whatever is written later; what was never cleaned is not published.
+    sinks.write_version_files(cleaned.filter("id > 5").withColumn("minor", F.lit(3)), root)
+    assert sinks.publish_latest_files(spark, root) == ["air fryer"]
+    got = sorted((r.product, r.id, r.url) for r in readers.scan_latest(spark, root).collect())
+    assert got == [("air fryer", 0, "https://x/6"), *(("tent", k, f"https://x/{4 + k}") for k in range(3))]
+    assert sinks.publish_latest_files(spark, root) == []
+
+
+def test_counts_of_a_write_are_those_of_the_audit(spark, dataset, tmp_path):
+    from shelfline.operators.dataset import dataset_audit
+
+    odd = dataset.withColumn("model", F.when(F.col("id") > 2, F.col("model"))).withColumn("brand", F.when(F.col("id") == 1, F.lit(" ")).otherwise(F.col("brand")))
+    counts = sinks.write_version(odd, str(tmp_path / "t"))
+    audit = dataset_audit(odd).filter("rule = 'empty_field'").groupBy("detail").sum("n").collect()
+    assert {f"empty_{r[0]}": r[1] for r in audit} == {k: v for k, v in counts.items() if k != "rows" and v}
+    assert counts["rows"] == 14 and counts["empty_model"] == 6
+
+
+def test_the_check_for_versions_opens_no_file(spark, dataset, tmp_path):
+    """Footers of a table's files are not read: files that are no Parquet do not disturb a write."""
+    root = tmp_path / "t"
+    sinks.write_version(dataset.filter("product = 'tent'"), str(root))
+    for f in root.rglob("*.parquet"):
+        f.write_bytes(b"broken")
+    for f in root.rglob("*.crc"):
+        f.unlink()
+    sinks.write_version(dataset.withColumn("minor", F.lit(1)), str(root))
+    got = versions.list_table_versions(spark, str(root)).collect()
+    assert sorted(map(tuple, got)) == [("air fryer", 1, 1), ("tent", 1, 0), ("tent", 1, 1)]
+
+
+def test_a_missing_category_is_selected(spark):
+    rows = spark.createDataFrame([(1, None, "b", "m", "u", 1, 1), (2, "a", "b", "m", "u", 1, 0)], VERSIONED)
+    latest = versions.latest_version(rows, rows)
+    assert {r.id for r in versions.select_version(rows, versions.source_version(latest)).collect()} == {1, 2}
+    nobody = spark.createDataFrame([], "product STRING")
+    assert {r.id for r in versions.publish_latest(rows, latest, nobody).collect()} == {1}

@@ -7,6 +7,8 @@ the same in SQL.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from shelfline.operators.stores import (
 )
 from shelfline.session import stage
 from shelfline.sources.readers import reduce_aliases, scan_search_results
+from shelfline.sources.sinks import save_capture_store, save_page_store
 from workload.terms import PRODUCT_TERMS, UNAVAILABLE_TERMS, URL_TERMS
 
 RULES = Rules(product_terms=PRODUCT_TERMS, unavailable_terms=UNAVAILABLE_TERMS, url_terms=URL_TERMS)
@@ -182,6 +185,8 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
 
 
 _WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+_TABLES: dict[tuple[str, str, str], str] = {}
+BUCKETS = 8
 
 
 def stored(name: str, spark: SparkSession, d: str) -> DataFrame:
@@ -196,6 +201,39 @@ def stored(name: str, spark: SparkSession, d: str) -> DataFrame:
     return _WRITTEN[key]
 
 
+def bucketed(name: str, spark: SparkSession, d: str) -> str:
+    """Name of an input kept as a bucketed table, written once per session."""
+    key = (spark.sparkContext.applicationId, d, f"bucketed {name}")
+    if key not in _WRITTEN:
+        save = {
+            "pages": lambda t: save_page_store(table(spark, d, "pages"), t, BUCKETS),
+            "page_store": lambda t: save_page_store(page_store(spark, d), t, BUCKETS),
+            "captures": lambda t: save_capture_store(captures(spark, d), t, BUCKETS),
+        }[name]
+        kept = f"{name}_{uuid.uuid4().hex}"
+        save(kept)
+        _WRITTEN[key] = spark.table(kept)
+        _TABLES[key] = kept
+    return _TABLES[key]
+
+
+def captures(spark: SparkSession, d: str) -> DataFrame:
+    """Events as captures of a page for each user, some of them failed or of another kind."""
+    return table(spark, d, "events").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"),
+        F.col("event_id").alias("capture_id"),
+        "ts",
+        F.when(F.col("event_type").isin("view", "click"), "200").otherwise("404").alias("status"),
+        F.when(F.col("value") < 20, "text/html").otherwise("application/pdf").alias("mime"),
+        F.col("props").alias("html"),
+    )
+
+
+def without_category(rows: DataFrame) -> DataFrame:
+    """Rows of which some have lost their category."""
+    return rows.withColumn("product", F.when(F.col("id") % 19 != 3, F.col("product")))
+
+
 def stores(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """The tables the checks read."""
     return {n: stored(n, spark, d) for n in ("aliases", "responses")} | {"pages": stored("page_store", spark, d)}

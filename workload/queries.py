@@ -16,7 +16,7 @@ from shelfline.session import fresh_path, stage
 from shelfline.sources import readers, sinks
 from shelfline.streaming.verdicts import check_rows, final_rows, judge_rows, read_verdicts, stream_verdicts
 from workload import inputs
-from workload.inputs import RULES, answer_texts, products, stored, table, versioned
+from workload.inputs import RULES, answer_texts, products, stored, table, versioned, without_category
 from workload.terms import PRODUCT_TERMS, UNAVAILABLE_TERMS, URL_TERMS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,15 +129,8 @@ def scan_search_results(spark, d):
 
 @query
 def capture_asof(spark, d):
-    e = table(spark, d, "events").select(
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"),
-        F.col("event_id").alias("capture_id"),
-        "ts",
-        F.when(F.col("event_type").isin("view", "click"), "200").otherwise("404").alias("status"),
-        F.when(F.col("value") < 20, "text/html").otherwise("application/pdf").alias("mime"),
-        F.col("props").alias("html"),
-    )
-    best = readers.capture_asof(e, F.to_timestamp_ntz(F.lit("2024-01-20 12:00:00")))
+    until = F.to_timestamp_ntz(F.lit("2024-01-20 12:00:00"))
+    best = readers.capture_asof_stored(spark, inputs.bucketed("captures", spark, d), until)
     return best.select("url", "capture_id", F.date_format("ts", "yyyyMMddHHmmss").alias("at"), "html")
 
 
@@ -156,6 +149,28 @@ def write_version(spark, d):
     )
 
 
+@query
+def write_version_files(spark, d):
+    """Two versions as named files, read back."""
+    path = fresh_path(spark, "named")
+    p = products(spark, d).withColumns({"major": F.lit(1), "minor": F.lit(0)})
+    sinks.write_version_files(p, path, rows_per_file=100)
+    sinks.write_version_files(p.withColumn("minor", F.lit(1)).filter(F.startswith("url", F.lit("https"))), path)
+    return readers.scan_versioned_products(spark, path)
+
+
+@query
+def publish_latest_files(spark, d):
+    """Latest versions of a tree of files, in which half of the categories were never cleaned."""
+    path = fresh_path(spark, "latest")
+    p = products(spark, d).withColumns({"major": F.lit(1), "minor": F.lit(0)})
+    sinks.write_version_files(p, path)
+    cleaned = p.filter(F.startswith("url", F.lit("https")) & (F.col("product") < "es")).withColumn("minor", F.lit(2))
+    sinks.write_version_files(cleaned, path, rows_per_file=50)
+    sinks.publish_latest_files(spark, path)
+    return readers.scan_latest(spark, path)
+
+
 def _checked(spark, d) -> DataFrame:
     return clean.check_products(
         products(spark, d), stored("search_results", spark, d), rules=RULES, **inputs.stores(spark, d)
@@ -269,7 +284,7 @@ def next_version(spark, d):
 
 @query
 def select_version(spark, d):
-    v = versioned(spark, d)
+    v = without_category(versioned(spark, d))
     latest = versions.latest_version(v, v)
     newest = versions.select_version(v, versions.source_version(latest))
     custom = versions.source_version(versions.latest_version(v, v, 1), custom_major=1, custom_minor=0)
@@ -304,7 +319,7 @@ def category_slice(spark, d):
 
 @query
 def head_per_category(spark, d):
-    p = products(spark, d)
+    p = without_category(products(spark, d))
     few = rows.head_per_category(p, 7).withColumn("n", F.lit(7))
     many = rows.head_per_category(p, 1_200).withColumn("n", F.lit(1_200))
     return few.unionByName(many)
@@ -463,7 +478,7 @@ def _questions(spark, d) -> DataFrame:
 
 @query
 def build_requests(spark, d):
-    r = requests.build_requests(_questions(spark, d), _pages(spark, d))
+    r = requests.build_requests(_questions(spark, d), spark.table(inputs.bucketed("pages", spark, d)))
     # Compared by what fills the template, not by its wording.
     said = F.col("request")
     kind = F.col("query_type")
@@ -541,7 +556,7 @@ def resolve_alias(spark, d):
 @query
 def lookup_pages(spark, d):
     r = stores.resolve_alias(products(spark, d).select("id", "url"), stored("aliases", spark, d))
-    got = stores.lookup_pages(r, stored("page_store", spark, d), "new_url")
+    got = stores.lookup_pages(r, spark.table(inputs.bucketed("page_store", spark, d)), "new_url")
     return got.select("id", "new_url", F.md5("html").alias("html_md5"))
 
 
@@ -584,7 +599,7 @@ def exclude_known_brands(spark, d):
 
 @query
 def apply_updates(spark, d):
-    p = products(spark, d)
+    p = without_category(products(spark, d))
     checked = p.select(
         "product", "id", F.concat("model", F.lit("x")).alias("new_model"), F.upper("url").alias("new_url"),
         F.when(F.col("id") % 3 != 0, "kept").otherwise("dropped").alias("outcome"),
@@ -594,7 +609,7 @@ def apply_updates(spark, d):
 
 @query
 def apply_model_names(spark, d):
-    p = products(spark, d)
+    p = without_category(products(spark, d))
     names = p.filter(F.startswith("url", F.lit("https"))).select(
         "product", "id", F.when(F.col("id") % 3 != 0, F.concat(F.lit("New "), "model")).alias("new_model")
     )
@@ -748,12 +763,18 @@ def check_product(spark, d):
 @query
 def clean_dataset(spark, d):
     # The base collection 1.0 holds every row, an older cleaning of it some; 1.0 is chosen by hand.
+    # Some rows come a second time without their category, with the answers of the first.
     p = products(spark, d)
+    lost = F.lit(None).cast("string")
+    p = p.unionByName(p.filter(F.col("id") % 19 == 3).withColumn("product", lost))
     base = p.withColumns({"major": F.lit(1), "minor": F.lit(0)})
     v = base.unionByName(base.filter(F.startswith("url", F.lit("https"))).withColumn("minor", F.lit(4)))
+    kept = inputs.stores(spark, d)
+    own = F.regexp_extract("url", inputs.PRODUCT_IN_URL, 1) == F.col("product")
+    kept["responses"] = kept["responses"].unionByName(kept["responses"].filter(own).withColumn("product", lost))
     done = clean.clean_dataset(
         v, v.select("product", "major", "minor").distinct(), stored("search_results", spark, d),
-        rules=RULES, custom_minor=0, **inputs.stores(spark, d),
+        rules=RULES, custom_minor=0, **kept,
     )
     return done.select("id", "product", "brand", "model", "url", "major", "minor")
 
@@ -793,8 +814,8 @@ def ask_for_products(spark, d):
 
 @query
 def collect_pages(spark, d):
-    s = inputs.stores(spark, d)
-    got = collect.collect_pages(products(spark, d), s["aliases"], s["pages"])
+    pages = spark.table(inputs.bucketed("page_store", spark, d))
+    got = collect.collect_pages(products(spark, d), stored("aliases", spark, d), pages)
     return got.select("product", "brand", "id", "url", F.md5("html").alias("html_md5"), "content")
 
 
