@@ -51,6 +51,27 @@ def test_long_texts_are_cut_at_spaces(monkeypatch, library):
     assert got == want
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet="aBc1.,;!?' \n-éÉß\u0130\u00a0\u0301", max_size=20) | st.sampled_from(["U.S.A.", "it's.", "x1.5,y", "..a", "Ab:cD", "K<|endoftext|>Q."]), max_size=8))
+def test_folding_keeps_ids(texts):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(vocabulary_path(VOCABULARY))
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, sizes = encoder(VOCABULARY).encode(pa.array(texts, pa.string()))
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_frequent_words_are_kept(monkeypatch):
+    monkeypatch.setattr(encoding, "MEMO_WORDS", 40)
+    enc = encoder(VOCABULARY)
+    enc._clear()
+    for k in range(12):
+        enc.lengths(pa.array(["often seen words " + " ".join(f"w{chr(97 + k)}{chr(97 + j)}" for j in range(12))]))
+        assert {"often", "seen", "words"} <= set(enc.slot) and len(enc.slot) <= 40
+    enc._clear()
+
+
 def test_memo_stays_bounded(monkeypatch, library):
     monkeypatch.setattr(encoding, "MEMO_WORDS", 50)
     enc = encoder(VOCABULARY)
