@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.llm.encoding import filled
-from shelfline.llm.frames import add_columns
+from shelfline.llm.frames import add_columns, sheltered
 from shelfline.session import stage
 
 MIN_WORDS = 30
@@ -178,10 +178,18 @@ def without_repeats(
     return made.select(*(F.col("__text").alias(c) if c == text else F.col(c) for c in docs.columns), "__lines", "__removed")
 
 
+def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """`docs` without later repeats of whole runs of lines, with their own columns, whatever they are called."""
+    return sheltered(docs, lambda own, name: without_repeats(own, min_words, name[text], name[doc_id], whole=True))
+
+
 def line_report(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """`doc_id, n_lines, n_removed, text` of every row: lines with words, those deleted, and the text left (null: empty)."""
+    """`doc_id, n_lines, n_removed, text` of every row: lines with words, those deleted, and the text left (null: empty).
+
+    Repeated runs are deleted from their first line to their last one.
+    """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    done = without_repeats(rows, min_words)
+    done = without_repeats(rows, min_words, whole=True)
     return done.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.coalesce("text", F.lit("")).alias("text"))
 
 
@@ -200,6 +208,10 @@ win AS (
   SELECT a.doc_id, a.i, b.i AS j
   FROM (SELECT doc_id, i, upto - w + {words} AS need FROM summed) a
   ASOF JOIN (SELECT doc_id, i, upto FROM summed) b ON a.doc_id = b.doc_id AND a.need <= b.upto
+  UNION
+  SELECT b.doc_id, a.i, b.i AS j
+  FROM (SELECT doc_id, i, upto - {words} AS room FROM summed) b
+  ASOF JOIN (SELECT doc_id, i, upto - w AS before FROM summed) a ON a.doc_id = b.doc_id AND b.room >= a.before
 ), run AS (SELECT win.doc_id, i, j, array_to_string(xs[i:j], chr(10)) AS body FROM win JOIN whole USING (doc_id)),
 later AS (
   SELECT doc_id, i, j FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) AS k FROM run) WHERE k > 1

@@ -214,7 +214,6 @@ def slow_lines(rows, min_words):
                     if w in seen:
                         gone.update(range(a, b + 1))
                     seen[w] = True
-                    break
         left = [x for k, x in enumerate(raw) if k not in {real[g] for g in gone}]
         out.append((i, len(real), len(gone), "" if gone and len(gone) == len(real) else "\n".join(left)))
     return out
