@@ -23,6 +23,9 @@ _HIDDEN = "|".join(
 MARKUP = rf"(?is)<!--.*?(?:-->|\z)|{_HIDDEN}|<[!?/a-z]{_ATTRIBUTES}>|<[!?/a-z][^>]*(?:>|\z)"
 TITLE = r"(?is)<title(?=[\s/>])[^>]*(?:>|\z)(.*?)(?:</title|\z)"
 
+# Fixed value: characters that no brand or model name keeps.
+LABEL_NOISE = "%&?/:;=+!*()'\"\\"
+
 # Named references as HTML defines them, with the few that may stand without a semicolon.
 _NAMES = {k.removesuffix(";"): v for k, v in html5.items() if k.endswith(";")}
 _BARE = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
@@ -123,7 +126,7 @@ def clean_label(label: Column | str, numbered_only: bool = False) -> Column:
         name = F.regexp_replace(strip(plain), r"^[0-9]+\. ", "")
     else:
         name = F.coalesce(F.get(F.split(plain, r"\. "), F.lit(1)), label)
-    return collapse_spaces(strip(F.translate(name, "%&?/:;=+!*()'\"\\", "")))
+    return collapse_spaces(strip(F.translate(name, LABEL_NOISE, "")))
 
 
 def first_n_words(text: Column | str, n: int = 30) -> Column:

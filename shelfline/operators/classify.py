@@ -11,8 +11,11 @@ from .. import vocab
 from ..functions.base import bind, col, is_true
 from ..functions.urls import drop_slash, marketplace_guard, pdf_guard, squeeze_url, url_blocklisted, url_has_path
 from ..functions.verdicts import ACCEPT, CATALOG, PASS, REJECT, catalog_model, verdict_page, verdict_url
+from ..session import stage
 from .skew import skewed_join
-from .stores import CATALOG_PICK, PAGE_CHECK, QUESTION, URL_CHECK, page_facts, resolve_alias
+from .stores import (
+    CATALOG_PICK, KEY, PAGE_CHECK, QUESTION, URL_CHECK, answer_key, by_key, page_facts, page_key, resolve_alias,
+)
 
 
 @dataclass(frozen=True)
@@ -75,18 +78,31 @@ def classify_parsed(
 def parsed_answers(responses: DataFrame, strict: bool = True) -> DataFrame:
     """One row per `(product, brand, url)` with what its answers say: `link, listed, picked, page`.
 
-    Answers are read where the store is scanned; their text goes no further.
+    Answers are read where the store is scanned; their text goes no further. Answers from a store of files have one
+    row per `cache_key`, which belongs to one kind of question.
     """
     kind, said = F.col("query_type"), F.col("response")
+    name = [KEY] if KEY in responses.columns else QUESTION
     known = responses.filter(kind.isin(URL_CHECK, CATALOG_PICK, PAGE_CHECK)).select(
-        *QUESTION,
+        *name,
         F.when(kind == URL_CHECK, verdict_url("response")).alias("link"),
         F.when((kind == CATALOG_PICK) & said.isNotNull(), True).alias("listed"),
         F.when(kind == CATALOG_PICK, catalog_model("response")).alias("picked"),
         F.when((kind == PAGE_CHECK) & said.isNotNull(), verdict_page("response", strict)).alias("page"),
     )
     # The store holds one answer per question; `min` only makes the row well defined.
-    return known.groupBy(*QUESTION).agg(*[F.min(c).alias(c) for c in ("link", "listed", "picked", "page")])
+    return known.groupBy(*name).agg(*[F.min(c).alias(c) for c in ("link", "listed", "picked", "page")])
+
+
+def with_answers(asked: DataFrame, responses: DataFrame, strict: bool = True) -> DataFrame:
+    """`asked`, about the URL `__ask`, with the columns of `parsed_answers`."""
+    answers = parsed_answers(responses, strict)
+    if KEY not in responses.columns:
+        return skewed_join(asked, answers.withColumnRenamed("url", "__ask"), ["product", "brand", "__ask"])
+    answers = stage(answers, "answers")
+    for kind, said in ((URL_CHECK, ["link"]), (CATALOG_PICK, ["listed", "picked"]), (PAGE_CHECK, ["page"])):
+        asked = by_key(asked, answer_key(kind, "__ask"), answers.select(KEY, *said), stored=True)
+    return asked
 
 
 def _route(x: Column) -> Column:
@@ -129,12 +145,19 @@ def facts_of(pages: DataFrame, rules: Rules) -> DataFrame:
     return page_facts(pages, rules.product_terms, rules.unavailable_terms, rules.whole_word)
 
 
+def kept_facts(pages: DataFrame, rules: Rules) -> DataFrame:
+    """`facts_of` as a written table, for work that reads them several times."""
+    facts = facts_of(pages, rules)
+    return facts if facts is pages else stage(facts, "facts")
+
+
 def fetch_and_check(
     keys: DataFrame, aliases: DataFrame, pages: DataFrame, responses: DataFrame, rules: Rules = Rules()
 ) -> DataFrame:
     """Check every distinct `(product, brand, url)` of `keys`.
 
-    `pages` is the page store, or the facts kept of it (`facts_of`). Returns the key with `new_url`,
+    `pages` is the page store, or the facts kept of it (`facts_of`); pages and answers from stores of files
+    (`sources.keyed`) are looked up by their keys. Returns the key with `new_url`,
     the classification and `needs`. What depends on the URL alone
     (redirect, page, keyword facts) is worked out once per distinct URL, then brought back to the
     keys by a lookup that splits URLs shared by very many keys. A missing product or brand is a key like any other.
@@ -145,14 +168,16 @@ def fetch_and_check(
     facts = facts_of(pages, rules)
     links = keys.select(F.col("__fetch")).filter(F.col("__fetch").isNotNull()).distinct()
     links = resolve_alias(links, aliases, "__fetch", "new_url")
-    links = links.join(facts.withColumnRenamed("url", "new_url"), "new_url", "left")
+    if KEY in facts.columns:
+        links = by_key(links, page_key("new_url"), facts)
+    else:
+        links = links.join(facts.withColumnRenamed("url", "new_url"), "new_url", "left")
 
     seen = skewed_join(keys, links, ["__fetch"])
     # Asked about under the URL without its trailing slash; not fetched means nothing to ask.
     seen = seen.withColumn("new_url", F.coalesce("new_url", url)).withColumn("__ask", drop_slash("new_url"))
     seen = seen.withColumn("__rules", F.col("has_page") & rule_check("product_hit", "new_url", "brand", rules))
 
-    answers = parsed_answers(responses, rules.strict).withColumnRenamed("url", "__ask")
-    judged = skewed_join(seen, answers, ["product", "brand", "__ask"])
+    judged = with_answers(seen, responses, rules.strict)
     c = classify_parsed("__rules", "unavailable", "link", "listed", "picked", "page")
     return judged.select(*QUESTION, "new_url", c.alias("c")).select(*QUESTION, "new_url", "c.*")

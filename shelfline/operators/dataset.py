@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.base import bind, strip, terms_array
-from ..functions.keywords import count_term
+from ..functions.base import strip
+from ..functions.terms import hit_rows, report_rows
 from .ranking import first_n_per
 
 
@@ -92,15 +92,16 @@ def dataset_audit(rows: DataFrame, min_brands: int = 8, max_per_brand: int = 3)
 def unavailable_hits(pages: DataFrame, terms: list[str], text: Column, key: str) -> DataFrame:
     """Long form of the term counts: `(key, term, n)` for every term found in a page.
 
-    Each page meets the terms in its own task and yields rows only for those it contains, so
-    neither pages nor page-term pairs are shuffled.
+    Each page meets an index of the terms in its own task and yields rows only for those it contains, so
+    neither pages nor page-term pairs are shuffled, and thousands of terms cost hardly more than a few.
     """
+    return hit_rows(pages, key, text, terms)
 
-    def found(t: Column) -> Column:
-        hits = F.filter(terms_array(terms), lambda k: F.contains(t, k))
-        return F.transform(hits, lambda k: F.struct(k.alias("term"), count_term(t, k).alias("n")))
 
-    return pages.select(key, F.inline(bind(F.lower(text), found)))
+def unavailable_report(pages: DataFrame, terms: list[str], text: Column, key: str) -> DataFrame:
+    """`(key, terms, counts, total, unavailable)` of every page, as `keywords.unavailable_terms` gives them, for term
+    lists of any length."""
+    return report_rows(pages, key, text, terms)
 
 
 def term_totals(hits: DataFrame) -> DataFrame:

@@ -3,13 +3,15 @@
 The outcome of a search depends only on (product, brand, model), never on the row that asked, so
 everything below works on distinct states. A search looks at its results by rank and stops at the
 first decisive one: a product page ends it, a catalog page naming another model restarts it with
-that model. Instead of following each row through its searches, every state that can be reached is
-expanded once, side by side; a row then follows at most `MAX_RESTARTS` pointers.
+that model. Searches are followed level by level: each level expands the states that the one before led to and
+no level had before, side by side; a row then follows at most `MAX_RESTARTS` pointers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.urls import (
@@ -17,9 +19,9 @@ from ..functions.urls import (
 )
 from ..functions.verdicts import catalog_model, verdict_brand, verdict_page
 from ..session import stage
-from .classify import Rules, fetch_and_check
+from .classify import Rules, fetch_and_check, kept_facts
 from .skew import null_safe_join, skewed_join
-from .stores import BRAND_CHECK, CATALOG_PICK, PAGE_CHECK, QUESTION
+from .stores import BRAND_CHECK, CATALOG_PICK, KEY, PAGE_CHECK, QUESTION, answer_key, by_key, search_key
 
 MAX_RESTARTS = 3
 STATE = ["product", "brand", "model"]
@@ -29,8 +31,7 @@ FOUND, RESTART, OPEN, NOTHING = "found", "restart", "open", "nothing"
 def reachable_states(starts: DataFrame, responses: DataFrame, rules: Rules) -> DataFrame:
     """The starts and every model a catalog answer names for one of their (product, brand) pairs.
 
-    More than the searches will visit, but found without following them, and no larger than the
-    starts plus the stored catalog answers.
+    More than the searches will visit, but found without following them: what may be searched for in advance.
     """
     kind = F.col("query_type")
     model = F.when(kind == CATALOG_PICK, catalog_model("response")).when(
@@ -45,17 +46,22 @@ def reachable_states(starts: DataFrame, responses: DataFrame, rules: Rules) -> D
 def gated_candidates(states: DataFrame, results: DataFrame, responses: DataFrame, rules: Rules) -> DataFrame:
     """Results of each state's query that pass the link gates; `brand_ok` is null while unanswered."""
     asked = states.withColumn("query", search_query("brand", "model", "product"))
+    by = "query"
+    if KEY in results.columns:
+        by, asked = KEY, asked.withColumn(KEY, search_key("query"))
     # A query with very many results is split.
-    c = skewed_join(results, asked, ["query"], "inner").withColumn("link", drop_slash("link"))
+    c = skewed_join(results, asked, [by], "inner").withColumn("link", drop_slash("link"))
     c = c.filter(
         url_has_path("link")
         & ~url_blocklisted("link", rules.url_terms, fold_case=False)
         & marketplace_guard("link", "brand", rules.marketplace)
     ).withColumn("__prefix", link_prefix("link"))
-    spoken = responses.filter(F.col("query_type") == BRAND_CHECK).select(
-        "product", "brand", F.col("url").alias("__prefix"), F.col("response").alias("__said")
-    )
-    c = skewed_join(c, spoken, ["product", "brand", "__prefix"], stored=True)
+    spoken = responses.filter(F.col("query_type") == BRAND_CHECK).withColumnRenamed("response", "__said")
+    if KEY in responses.columns:
+        c = by_key(c, answer_key(BRAND_CHECK, "__prefix"), spoken.select(KEY, "__said"), stored=True)
+    else:
+        spoken = spoken.select("product", "brand", F.col("url").alias("__prefix"), "__said")
+        c = skewed_join(c, spoken, ["product", "brand", "__prefix"], stored=True)
     ok = F.when(brand_in_link("brand", "__prefix"), True).otherwise(verdict_brand("__said"))
     c = c.withColumn("brand_ok", ok).filter(F.coalesce("brand_ok", F.lit(True)))
     return c.select(*STATE, "rank", "title", F.col("link").alias("url"), "brand_ok", F.col("__prefix").alias("prefix"))
@@ -150,6 +156,39 @@ def _ended(hop: Column) -> Column:
     return F.coalesce(hop, nothing)
 
 
+def explore(
+    starts: DataFrame,
+    results: DataFrame,
+    aliases: DataFrame,
+    pages: DataFrame,
+    responses: DataFrame,
+    rules: Rules = Rules(),
+    restarts: int = MAX_RESTARTS,
+) -> DataFrame:
+    """What the searches of `starts` and of the states they lead to do (`expand_states`), as a written table.
+
+    Only states that a search reaches are looked up and checked, each once, however many searches come to it.
+    A level without a restart is the last.
+    """
+    levels: list[DataFrame] = []
+    facts = kept_facts(pages, rules)
+    seen = level = stage(starts.select(*STATE).distinct(), "level")
+    for depth in range(restarts + 1):
+        # Read for the checks and for their outcome, so worked out once.
+        candidates = stage(gated_candidates(level, results, responses, rules), "candidates")
+        checks = fetch_and_check(candidates, aliases, facts, responses, rules)
+        jumps = Observation()
+        moving = F.coalesce(F.sum((F.col("step.kind") == RESTART).cast("long")), F.lit(0))
+        expanded = expand_states(judge_candidates(candidates, checks)).observe(jumps, moving.alias("n"))
+        levels.append(stage(expanded, "expanded"))
+        if depth == restarts or not jumps.get["n"]:
+            break
+        led = levels[-1].filter(F.col("step.kind") == RESTART).select("product", "brand", F.col("step.next").alias("model"))
+        level = stage(null_safe_join(led.distinct(), seen, STATE, "left_anti"), "level")
+        seen = seen.unionByName(level)
+    return reduce(DataFrame.unionByName, levels)
+
+
 def search_refine(
     starts: DataFrame,
     results: DataFrame,
@@ -160,10 +199,4 @@ def search_refine(
 ) -> DataFrame:
     """Search outcome of every distinct `(product, brand, model)` of `starts`."""
     starts = starts.select(*STATE).distinct()
-    states = reachable_states(starts, responses, rules)
-    # Read several times below, so worked out once.
-    candidates = stage(gated_candidates(states, results, responses, rules), "candidates")
-    checks = fetch_and_check(candidates, aliases, pages, responses, rules)
-    # Four lookups read the expansion; it is written once instead of being worked out four times.
-    expanded = stage(expand_states(judge_candidates(candidates, checks)), "expanded")
-    return follow(starts, expanded)
+    return follow(starts, explore(starts, results, aliases, pages, responses, rules))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.base import bind
+from ..functions.base import bind, col
 from ..functions.keywords import any_term, is_unavailable
 from ..functions.text import extract_text
-from ..functions.urls import drop_slash, pdf_guard, squeeze_url
-from .skew import null_safe_join
+from ..functions.urls import cache_key, drop_slash, pdf_guard, squeeze_url
+from .skew import null_safe_join, skewed_join
 
 QUESTION = ["product", "brand", "url"]
 
@@ -21,6 +21,32 @@ PAGE_CHECK = "check_product_page"
 NAME_UPDATE = "update_model_name"
 SITE_LIST = "find_sites"
 
+# Folders of stores with a file for each key, and the characters of a whole path that make the key.
+PAGE_FOLDER, ANSWER_FOLDER, SEARCH_FOLDER = "html_pages/pages/", "llm_responses/", "google_responses/"
+KEY_WIDTH = 200
+KEY = "cache_key"
+
+
+def page_key(url: Column | str) -> Column:
+    """Key of a page in a store of files."""
+    return cache_key(PAGE_FOLDER, url, KEY_WIDTH)
+
+
+def answer_key(kind: str, url: Column | str) -> Column:
+    """Key of an answer in a store of files: kind of question and URL, whatever product and brand it was about."""
+    return cache_key(f"{ANSWER_FOLDER}{kind}/", url, KEY_WIDTH)
+
+
+def search_key(query: Column | str) -> Column:
+    """Key of a search in a store of files."""
+    return F.left(F.concat(F.lit(SEARCH_FOLDER), col(query)), F.lit(KEY_WIDTH))
+
+
+def by_key(rows: DataFrame, key: Column, store: DataFrame, stored: bool = False) -> DataFrame:
+    """`rows` with the columns of a store that has a `cache_key`; several rows may share one."""
+    found = skewed_join(rows.withColumn("__key", key), store.withColumnRenamed(KEY, "__key"), ["__key"], stored=stored)
+    return found.drop("__key")
+
 
 def resolve_alias(rows: DataFrame, aliases: DataFrame, url: str = "url", out: str = "new_url") -> DataFrame:
     """Follow one redirect where the URL has one."""
@@ -29,7 +55,9 @@ def resolve_alias(rows: DataFrame, aliases: DataFrame, url: str = "url", out: st
 
 
 def lookup_pages(rows: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
-    """Attach page HTML; null means the fetch failed or has not happened."""
+    """Attach page HTML; null means the fetch failed or has not happened. A store of files is looked up by key."""
+    if KEY in pages.columns:
+        return by_key(rows, page_key(url), pages.select(KEY, "html"), stored=True)
     return rows.join(pages.select(F.col("url").alias(url), "html"), url, "left")
 
 
@@ -39,7 +67,8 @@ def page_facts(
     unavailable_terms: list[str],
     whole_word: bool = False,
 ) -> DataFrame:
-    """What the keyword rules need to know of each page: `(url, has_page, product_hit, unavailable)`.
+    """What the keyword rules need to know of each page: `(url, has_page, product_hit, unavailable)`, or
+    with `cache_key` in place of the URL for a store of files.
 
     Done where the pages are scanned, so page bodies never take part in a shuffle: everything
     after works on this narrow row.
@@ -53,8 +82,9 @@ def page_facts(
 
     found = bind(F.lower(extract_text("html")), facts)
     # The null test stays outside the lookup: it must not make the struct be computed twice.
-    out = pages.filter(F.col("html").isNotNull()).select("url", found.alias("f"))
-    return out.select("url", F.lit(True).alias("has_page"), "f.product_hit", "f.unavailable")
+    name = KEY if KEY in pages.columns else "url"
+    out = pages.filter(F.col("html").isNotNull()).select(name, found.alias("f"))
+    return out.select(name, F.lit(True).alias("has_page"), "f.product_hit", "f.unavailable")
 
 
 def pending_fetch(rows: DataFrame, pages: DataFrame, aliases: DataFrame, url: str = "url") -> DataFrame:
@@ -92,8 +122,14 @@ def trim_stores(
     urls = links.select("url").distinct()
     moved = aliases.join(urls, "url", "left_semi")
     keys = resolve_alias(links, moved).select("product", "brand", F.col("new_url").alias("url")).distinct()
-    seen = facts.join(keys.select("url").distinct(), "url", "left_semi")
+    if KEY in facts.columns:
+        seen = facts.join(keys.select(page_key("url").alias(KEY)).distinct(), KEY, "left_semi")
+    else:
+        seen = facts.join(keys.select("url").distinct(), "url", "left_semi")
     asked = keys.withColumn("url", drop_slash("url"))
+    if KEY in responses.columns:
+        kinds = F.explode(F.array(*[answer_key(k, "url") for k in (URL_CHECK, CATALOG_PICK, PAGE_CHECK)]))
+        return moved, seen, responses.join(asked.select(kinds.alias(KEY)).distinct(), KEY, "left_semi")
     return moved, seen, null_safe_join(responses, asked, QUESTION, "left_semi")
 
 

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_quotes
 from ..functions.urls import drop_slash, pdf_guard
-from ..operators.classify import Rules, fetch_and_check
+from ..operators.classify import Rules, fetch_and_check, kept_facts
 from ..operators.rows import apply_updates, dedupe_url, head_per_category
-from ..operators.search import (
-    STATE, expand_states, follow, gated_candidates, judge_candidates, reachable_states,
-)
+from ..operators.search import STATE, explore, follow
 from ..operators.skew import null_safe_join, skewed_join
 from ..operators.stores import QUESTION
 from ..operators.versions import latest_version, next_version, select_version, source_version
@@ -37,14 +35,11 @@ def check_products(
     for; if that finds nothing and the page was a catalog naming another model, that one is. Rows
     waiting for an answer are `undecided`, and `ask_type, ask_url` name the question.
 
-    Own pages and search results share one pass of page checks. The tables read more than once are
-    written to the shared folder in between.
+    Own pages are checked first; only rows they do not settle are searched for, and only states that a search
+    reaches are looked up. The tables read more than once are written to the shared folder in between.
     """
-    states = reachable_states(rows, responses, rules)
-    candidates = stage(gated_candidates(states, results, responses, rules), "candidates")
-    keys = rows.select(*QUESTION).union(candidates.select(*QUESTION))
-    checks = stage(fetch_and_check(keys, aliases, pages, responses, rules), "checks")
-    expanded = stage(expand_states(judge_candidates(candidates, checks)), "expanded")
+    facts = kept_facts(pages, rules)
+    checks = stage(fetch_and_check(rows.select(*QUESTION), aliases, facts, responses, rules), "checks")
 
     own = skewed_join(rows.select("id", *STATE, "url"), checks, QUESTION, stored=True)
     catalog = F.col("model_from_catalog")
@@ -63,7 +58,8 @@ def check_products(
     starts = searching.select(*STATE).union(
         searching.filter(F.col("catalog").isNotNull()).select("product", "brand", "catalog")
     )
-    ends = stage(follow(starts, expanded), "ends")
+    starts = stage(starts.distinct(), "starts")
+    ends = stage(follow(starts, explore(starts, results, aliases, facts, responses, rules)), "ends")
 
     def looked_up(df: DataFrame, model: str, as_: str) -> DataFrame:
         end = F.struct("found", "link", "found_model", "ask_type", "ask_url").alias(as_)

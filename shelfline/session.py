@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,19 +42,18 @@ def build_session(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; a temporary one only in local mode when unset."""
+    """The folder of `spark.checkpoint.dir`; where that is unset, one beside the warehouse, which is shared as well."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shelfline-"))
-    return spark.sparkContext.getCheckpointDir()
+    return (path or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shelfline").rstrip("/")
+
+
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new place for an intermediate table, in a folder of this application that goes when it ends."""
-    home = f"{shared_dir(spark)}/shelfline-{spark.sparkContext.applicationId}"
+    """A new place for an intermediate table, in a folder of this application that goes when it ends, or with the
+    `scratch` around the call."""
+    home = _SCRATCH.get() or f"{shared_dir(spark)}/shelfline-{spark.sparkContext.applicationId}"
     place = spark._jvm.org.apache.hadoop.fs.Path(home)
     fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.mkdirs(place):
@@ -60,6 +61,22 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{home}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside are removed at the end.
+
+    For jobs that write what they work out: a table made inside must not be read after it.
+    """
+    home = fresh_path(spark, "scratch")
+    token = _SCRATCH.set(home)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        place = spark._jvm.org.apache.hadoop.fs.Path(home)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 

@@ -1,11 +1,17 @@
+import json
 import re
+from datetime import datetime
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfline.operators.classify import Rules, facts_of, fetch_and_check
 from shelfline.operators.search import search_refine
 from shelfline.plans import clean, collect, requests
-from shelfline.streaming.verdicts import final_rows, judge_rows, read_verdicts, stream_verdicts
+from shelfline.session import shared_dir
+from shelfline.sources import keyed
+from shelfline.streaming.verdicts import final_rows, judge_rows, read_verdicts, stream_verdicts, waiting_rows
 
 RULES = Rules(product_terms=["buy"], unavailable_terms=["sold out"], url_terms=["ebay"])
 ROWS = "id BIGINT, product STRING, brand STRING, model STRING, url STRING"
@@ -149,7 +155,7 @@ def test_stream_equals_batch(spark, tmp_path):
     start()
     streamed = read_verdicts(spark, str(tmp_path / "out"))
     batch = judge_rows(t, rules=RULES, **s)
-    assert sorted(map(str, streamed.drop("batch").select(*batch.columns).collect())) == sorted(map(str, batch.collect()))
+    assert sorted(map(str, streamed.select(*batch.columns).collect())) == sorted(map(str, batch.collect()))
     assert streamed.select("batch").distinct().count() == 3
     # Started again, it takes only what is new.
     t.filter("id = 0").withColumn("id", F.lit(9).cast("long")).coalesce(1).write.mode("append").parquet(src)
@@ -157,3 +163,119 @@ def test_stream_equals_batch(spark, tmp_path):
     streamed = read_verdicts(spark, str(tmp_path / "out"))
     assert streamed.count() == 7
     assert [(r.id, r.url) for r in final_rows(streamed).collect()] == [(0, "https://acme.com/1")]
+
+
+def test_backlog_is_judged_again(spark, tmp_path):
+    """Rows of the first batch are decided once their question is answered, and only those are judged again."""
+    s, _ = stores(spark)
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    t = rows(spark).filter("id < 4")
+    facts = facts_of(s["pages"], RULES)
+    none = s["responses"].filter("false")
+    known, judged = [none, none, s["responses"], s["responses"]], []
+
+    def judge(batch):
+        judged.append(sorted(r.id for r in batch.collect()))
+        return judge_rows(batch, s["aliases"], facts, known[len(judged) - 1], RULES)
+
+    def run(ids):
+        t.filter(F.col("id").isin(ids)).coalesce(1).write.mode("append").parquet(src)
+        arriving = spark.readStream.schema(t.schema).parquet(src)
+        stream_verdicts(arriving, judge, out, str(tmp_path / "cp"), answers=lambda: known[len(judged)]).awaitTermination()
+        return {r.id: r.outcome for r in read_verdicts(spark, out).collect()}
+
+    assert run([0, 3]) == {0: "undecided", 3: "undecided"}
+    assert {(r.id, r.ask_type) for r in waiting_rows(spark, out).collect()} == {(0, "check_url"), (3, "check_url")}
+    assert run([1]) == {0: "undecided", 3: "undecided", 1: "undecided"}
+    # Now answers are there for rows 0 and 1; nobody asked about row 3.
+    assert run([2]) == {0: "kept", 3: "undecided", 1: "kept", 2: "dropped"}
+    assert judged == [[0, 3], [1], [0, 1, 2]]
+    assert {r.id for r in waiting_rows(spark, out).collect()} == {3}
+    whole = judge_rows(t, rules=RULES, **s)
+    assert {r.id: r.outcome for r in whole.collect()} == {r.id: r.outcome for r in read_verdicts(spark, out).collect()}
+    # Intermediate tables of the batches are gone.
+    assert not [p for p in Path(shared_dir(spark).removeprefix("file:")).rglob("scratch-*/*")]
+
+
+def test_bodies_stay_in_their_buckets(spark, tmp_path):
+    """With stores bucketed by key no exchange carries HTML, broadcasts off."""
+    from shelfline.operators.stores import lookup_pages
+    from shelfline.sources import readers, sinks
+
+    s, _ = stores(spark)
+    t = rows(spark)
+    sinks.save_page_store(s["pages"], "jobs_pages", 2)
+    caught = spark.createDataFrame(
+        [("u", k, datetime(2024, 1, k), "200", "text/html", f"h{k}") for k in range(1, 9)] + [("v", 9, datetime(2024, 1, 1), "404", "text/html", "x")],
+        "url STRING, capture_id BIGINT, ts TIMESTAMP, status STRING, mime STRING, html STRING")
+    sinks.save_capture_store(caught, "jobs_captures", 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pages = spark.table("jobs_pages")
+        asked = t.select(F.lit("check_product_page").alias("query_type"), "product", "brand", "model", "url")
+        until = datetime(2024, 1, 5, 12)
+        plans = {
+            "asof": readers.capture_asof_stored(spark, "jobs_captures", until),
+            "lookup": lookup_pages(t, pages),
+            "collect": collect.collect_pages(t, s["aliases"], pages),
+            "ask": requests.build_requests(asked, pages),
+        }
+        for name, df in plans.items():
+            moved = shuffled_columns(df)
+            assert moved and not any("html" in m for m in moved), name
+        assert sorted(map(tuple, plans["asof"].collect())) == sorted(map(tuple, readers.capture_asof(caught, until).collect()))
+        assert [(r.url, r.html) for r in plans["asof"].collect()] == [("u", "h5")]
+        got = sorted((r.id, r.html) for r in plans["lookup"].collect() if r.html)
+        assert got == [(0, "<title>Acme - X1</title>buy"), (2, "sold out"), (3, "<title>T</title>buy")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for n in ("jobs_pages", "jobs_captures"):
+            spark.sql(f"DROP TABLE {n}")
+
+
+def keyed_name(url, folder):
+    return (folder + url.replace("/", "\\") + ".html")[:200][len(folder):]
+
+
+def test_a_folder_of_files_feeds_the_checks(spark, tmp_path):
+    """The layout that fetching and asking tools write: a file per page, answer and search."""
+    s, results = stores(spark)
+    long = "https://acme.com/" + "x" * 250
+    pages = {r.url: r.html for r in s["pages"].collect()} | {long: "buy"}
+    page_dir = tmp_path / "html_pages" / "pages"
+    page_dir.mkdir(parents=True)
+    for url, html in pages.items():
+        (page_dir / keyed_name(url, "html_pages/pages/")).write_text(html)
+    answers = [tuple(r) for r in s["responses"].collect()] + [(k, "tent", "acme", long, "True") for k in ("check_url", "check_product_page")]
+    for kind, _, _, url, said in answers:
+        folder = tmp_path / "llm_responses" / kind
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / keyed_name(url, f"llm_responses/{kind}/")).write_text(said)
+    found = tmp_path / "google_responses"
+    found.mkdir()
+    (found / "buy acme m3 tent").write_text(json.dumps({"items": [{"title": "T", "link": "https://acme.com/2"}]}))
+    (found / "buy acme m4 tent").write_text(json.dumps({"error": {"code": 429}}))
+
+    t = rows(spark).unionByName(spark.createDataFrame([(6, "tent", "acme", "m7", long), (7, "tent", "acme", "m8", long + "y")], ROWS))
+    kinds = ["check_url", "check_url_brand", "find_in_catalog", "check_product_page"]
+    root = str(tmp_path)
+    kept = dict(
+        results=keyed.scan_keyed_searches(spark, root), aliases=s["aliases"], pages=keyed.scan_keyed_pages(spark, root, 3),
+        responses=keyed.scan_keyed_responses(spark, root, kinds, 3),
+    )
+    checked = {r.id: (r.outcome, r.new_model, r.new_url) for r in clean.check_products(t, rules=RULES, **kept).collect()}
+    plain = {r.id: (r.outcome, r.new_model, r.new_url) for r in clean.check_products(rows(spark), results, rules=RULES, **s).collect()}
+    assert {i: checked[i] for i in plain} == plain
+    # URLs that agree in the characters that make the key share their page and answers.
+    assert checked[6] == ("kept", "m7", long) and checked[7] == ("kept", "m8", long + "y")
+    assert {r.id: r.outcome for r in judge_rows(t, kept["aliases"], kept["pages"], kept["responses"], RULES).collect()}[7] == "kept"
+    assert keyed.scan_files(spark, str(tmp_path / "nowhere")).count() == 0
+
+
+def test_files_are_written_whole_and_by_name(spark, tmp_path):
+    files = spark.createDataFrame([("https:\\\\a.com\\x.html", "<p>é\r\n"), ("b", "")], "name STRING, body STRING")
+    folder = f"file://{tmp_path}/f"
+    keyed.write_files(files.repartition(2), folder)
+    assert sorted(map(tuple, keyed.scan_files(spark, folder, 3).collect())) == sorted(map(tuple, files.collect()))
+    with pytest.raises(ValueError):
+        keyed.local_path("s3a://bucket/x")

@@ -88,6 +88,25 @@ def test_head(table, sample, spark):
     assert sorted((r.product is None, r.id) for r in rows.head_per_category(odd.filter("id IS NOT NULL"), 1).collect()) == [(False, 1), (True, 2)]
 
 
+def test_head_ranks_only_the_range_of_the_last_row(spark, monkeypatch):
+    """Ranges before the n-th row pass unranked, and the plan has no window over rows outside the edge."""
+    monkeypatch.setattr(rows, "id_bucket", lambda c: F.shiftright(F.col(c), 3))
+    data = [(i, p) for p, n in (("a", 100), ("b", 5), (None, 40)) for i in range(n)]
+    df = spark.createDataFrame(data, "id BIGINT, product STRING").repartition(4)
+    for n in (0, 1, 7, 8, 9, 33, 1000):
+        got = sorted((str(r.product), r.id) for r in rows.head_per_category(df, n).collect())
+        assert got == sorted((str(p), i) for i, p in data if i < n)
+
+
+def test_updates_keep_rows_without_category(spark):
+    t = spark.createDataFrame([(1, None, "b", "m", "u"), (2, "a", "b", "m", "u"), (1, "a", "b", "m", "u")], "id BIGINT, product STRING, brand STRING, model STRING, url STRING")
+    checked = t.select("product", "id", F.lit("n").alias("new_model"), F.lit("w").alias("new_url"), F.lit("kept").alias("outcome"))
+    assert sorted((str(r.product), r.id, r.model, r.url) for r in rows.apply_updates(t, checked).collect()) == [
+        ("None", 1, "n", "w"), ("a", 1, "n", "w"), ("a", 2, "n", "w")]
+    named = rows.apply_model_names(t, checked.filter("product is null"))
+    assert sorted((str(r.product), r.id, r.model) for r in named.collect()) == [("None", 1, "n"), ("a", 1, "m"), ("a", 2, "m")]
+
+
 def test_dedupe(table, sample):
     first = {}
     for i, p, _, _, u in sorted(sample):

@@ -15,6 +15,9 @@ def test_extract_text(values):
         "open<script>never closed <p>": "open",
         "<p>unclosed": "unclosed",
         "cut off <a href=": "cut off ",
+        "<p data-x=it's>First words.</p><p>we don't stop.</p><p>Third.</p>": "First words.we don't stop.Third.",
+        "<p a=b\"c title='x > y' d = \"e > f\" g=h=i>in</p>": "in",
+        "<p 'odd\">quote names</p><a href=x/>y": "quote namesy",
         "1 < 2 and 3 > 2": "1 < 2 and 3 > 2",
         "&amp;lt; &lt;b&gt; &#65;&#x42; &#x1F600; &nbsp;|": "&lt; <b> AB \U0001f600  |",
         "&unknown; & &; &#0; &#1114112; AT&T": "&unknown; & &; � � AT&T",

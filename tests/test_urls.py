@@ -71,7 +71,7 @@ def test_sql_functions_equal_columns(spark):
     from shelfline.functions import text, verdicts
 
     names = sqlfuncs.register(spark)
-    assert len(names) == len(sqlfuncs.BODIES)
+    assert len(names) == len(sqlfuncs.BODIES) + len(sqlfuncs.TABLES)
     xs = ["https://a.com/de/x/", "a.com", " x y ", "b.pdf", "True\nok", "'FALSE' reason", "catalog\n", "", "  a\n b", None]
     df = spark.createDataFrame([(x,) for x in xs], "x STRING")
     pairs = {
@@ -85,3 +85,44 @@ def test_sql_functions_equal_columns(spark):
         assert [r.a for r in rows] == [r.b for r in rows], name
     key = df.select(F.expr("cache_key('p/', x)").alias("a"), urls.cache_key("p/", "x").alias("b")).collect()
     assert all(r.a == r.b for r in key)
+
+
+def test_sql_text_functions_equal_columns(spark):
+    from shelfline.functions import keywords, text, verdicts
+
+    sqlfuncs.register(spark)
+    xs = [
+        "<p data-x=it's>a&amp;lt; &eacute; &#65;&#x42;&#150;&#0;</p> &Uuml &bogus; &;<script>y</script>", "<title> A &amp; B\n</title>x",
+        "1. **Foo's** (new)", "St. Ives. Co", " a \n|b—c  d e", "False\n'M 2'", "false.\n", "TRUE.", "'M1'.", "Kärcher", "", None, "Sold out 404 404",
+    ]
+    terms, lit = ["404", "sold out", "aa"], "array('404', 'sold out', 'aa')"
+    df = spark.createDataFrame([(x,) for x in xs], "x STRING")
+    pairs = {
+        "extract_text(x)": text.extract_text("x"), "extract_title(x)": text.extract_title("x"), "clean_title(x)": text.clean_title("x"),
+        "clean_label(x)": text.clean_label("x"), "first_n_words(x, 2)": text.first_n_words("x", 2),
+        "truncate_to_budget(x, 2)": text.truncate_to_budget("x", 2), "catalog_model(x)": verdicts.catalog_model("x"),
+        "verdict_page(x)": verdicts.verdict_page("x"), "fold_accents(x)": urls.fold_accents("x"),
+        "brand_in_link(x, 'karcher.com/a')": urls.brand_in_link("x", F.lit("karcher.com/a")),
+        "marketplace_guard(x, 'acme', 'foo')": urls.marketplace_guard("x", F.lit("acme"), "foo"),
+        f"url_blocklisted(x, {lit})": urls.url_blocklisted("x", terms), f"product_keyword_hit(x, {lit})": keywords.product_keyword_hit("x", terms),
+        f"to_json(unavailable_counts(x, {lit}))": F.to_json(keywords.unavailable_counts("x", terms)),
+    }
+    for said, column in pairs.items():
+        rows = df.select(F.expr(said).alias("a"), column.alias("b")).collect()
+        assert [r.a for r in rows] == [r.b for r in rows], said
+
+
+def test_sql_functions_that_give_rows(spark):
+    from shelfline.operators.dataset import unavailable_hits
+    from shelfline.operators.rows import parse_product_lines
+
+    sqlfuncs.register(spark)
+    answers = [("t", "Brand;Model;URL\n1. A;m, x;http://u;  \nbad\nB;n;w"), ("u", "C;**o**;v\nBrand;Model;URL"), ("v", None), ("w", "")]
+    df = spark.createDataFrame(answers, "product STRING, response STRING")
+    df.createOrReplaceTempView("answers_given")
+    got = spark.sql("SELECT a.product, l.* FROM answers_given a, LATERAL product_lines(a.product, a.response) l")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, parse_product_lines(df).collect()))
+    texts = spark.createDataFrame([(1, "Not Found 404 404"), (2, None), (3, "x")], "i BIGINT, t STRING")
+    texts.createOrReplaceTempView("texts_given")
+    hits = spark.sql("SELECT i, h.* FROM texts_given, LATERAL term_hits(t, array('404', 'not found', 'zz')) h")
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, unavailable_hits(texts, ["404", "not found", "zz"], F.col("t"), "i").collect()))

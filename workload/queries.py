@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.functions import keywords, text, urls, verdicts
+from shelfline import schemas
+from shelfline.functions import keywords, sqlfuncs, text, urls, verdicts
 from shelfline.functions.base import bind
 from shelfline.operators import dataset, rows, search, stores, versions
 from shelfline.operators.classify import classify_page, facts_of, fetch_and_check, rule_check
 from shelfline.plans import clean, collect, find, requests
 from shelfline.session import fresh_path, stage
-from shelfline.sources import readers, sinks
+from shelfline.sources import buckets, keyed, readers, sinks
 from shelfline.streaming.verdicts import check_rows, final_rows, judge_rows, read_verdicts, stream_verdicts
 from workload import inputs
 from workload.inputs import RULES, answer_texts, products, stored, table, versioned, without_category
@@ -228,6 +229,30 @@ def merge_responses(spark, d):
     return spark.read.parquet(path)
 
 
+@query
+def bucketed_answers(spark, d):
+    """`merge_responses` on a store in buckets: two merges, each made twice, then one generation of many."""
+    path = fresh_path(spark, "buckets")
+    r = stored("responses", spark, d)
+    buckets.merge_answers(r.filter(F.startswith("url", F.lit("https"))), path, 8)
+    fresh = r.withColumn("response", F.upper("response"))
+    for _ in range(2):
+        buckets.merge_answers(fresh.union(fresh), path)
+    buckets.compact(spark, path, schemas.RESPONSES, buckets.ANSWER_KEY, most=1)
+    return buckets.read_answers(spark, path)
+
+
+@query
+def bucketed_redirects(spark, d):
+    """`append_aliases` on a store in buckets."""
+    path = fresh_path(spark, "buckets")
+    fetched = stores.resolve_alias(products(spark, d).select("url"), inputs.aliases(spark, d))
+    older = fetched.withColumn("new_url", F.when(F.col("url") != F.col("new_url"), F.concat("new_url", F.lit("/old"))))
+    for moved in (older, fetched, fetched):
+        buckets.merge_redirects(moved, path, 8)
+    return buckets.read_redirects(spark, path)
+
+
 @query
 def write_updated_names(spark, d):
     path = fresh_path(spark, "names")
@@ -512,15 +537,13 @@ def unavailable_counts(spark, d):
 
 @query
 def unavailable_terms(spark, d):
-    p = _pages(spark, d).select(
-        "page_id", keywords.unavailable_terms(text.extract_text("html"), UNAVAILABLE_TERMS + ["thth"]).alias("u")
-    )
-    return p.select(
+    found = dataset.unavailable_report(_pages(spark, d), UNAVAILABLE_TERMS + ["thth"], text.extract_text("html"), "page_id")
+    return found.select(
         "page_id",
-        F.array_join("u.terms", "|").alias("terms"),
-        F.array_join(F.transform("u.counts", lambda n: n.cast("string")), "|").alias("counts"),
-        "u.total",
-        "u.unavailable",
+        F.array_join("terms", "|").alias("terms"),
+        F.array_join(F.transform("counts", lambda n: n.cast("string")), "|").alias("counts"),
+        "total",
+        "unavailable",
     )
 
 
@@ -532,6 +555,29 @@ def unavailable_hits(spark, d):
     return long.unionByName(totals)
 
 
+@query
+def sql_term_hits(spark, d):
+    """Titles and term hits of pages, said in SQL."""
+    sqlfuncs.register(spark)
+    terms = ", ".join(f"'{t}'" for t in UNAVAILABLE_TERMS + ["thth"])
+    return spark.sql(
+        f"""SELECT page_id, title, term, n
+        FROM (SELECT page_id, clean_title(extract_title(html)) AS title, extract_text(html) AS said FROM {{pages}}),
+        LATERAL term_hits(said, array({terms}))""",
+        pages=_pages(spark, d),
+    )
+
+
+@query
+def sql_product_lines(spark, d):
+    """Listed answers as rows, said in SQL."""
+    sqlfuncs.register(spark)
+    return spark.sql(
+        "SELECT a.product, l.brand, l.model, l.url FROM {answers} a, LATERAL product_lines(a.product, a.response) l",
+        answers=list_answers(spark, d),
+    )
+
+
 # Verdicts
 
 _answer_query("verdict_url", verdict=lambda: verdicts.verdict_url("r"))
@@ -876,5 +922,52 @@ def stream_checks(spark, d):
     )
 
 
+@query
+def stream_backlog(spark, d):
+    """Rows arrive in two batches, and half of the answers only after the first: its open rows are judged again."""
+    incoming, out = fresh_path(spark, "incoming"), fresh_path(spark, "judged")
+    p = products(spark, d)
+    p.filter("id % 2 = 0").coalesce(1).write.parquet(incoming)
+    p.filter("id % 2 = 1").coalesce(1).write.mode("append").parquet(incoming)
+    arriving = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
+    s = inputs.stores(spark, d)
+    facts = stage(facts_of(s.pop("pages"), RULES), "facts")
+    early = s["responses"].filter(F.length("url") % 2 == 0)
+    seen = []
+
+    def answers():
+        # The store grows between the batches; each batch opens it once.
+        seen.append(early if not seen else s["responses"])
+        return seen[-1]
+
+    def judge(batch):
+        return judge_rows(batch, s["aliases"], facts, seen[-1], RULES)
+
+    stream_verdicts(arriving, judge, out, fresh_path(spark, "offsets"), answers=answers).awaitTermination()
+    return read_verdicts(spark, out).select("id", "product", "brand", "model", "url", "new_url", "outcome")
+
+
+@query
+def keyed_stores(spark, d):
+    """Pages and answers written as one file per key, and rows checked from the files."""
+    root = fresh_path(spark, "files")
+    s = inputs.stores(spark, d)
+    own = (F.regexp_extract("url", inputs.PRODUCT_IN_URL, 1) == F.col("product")) & (
+        F.regexp_extract("url", inputs.BRAND_IN_URL, 1) == F.col("brand"))
+    kinds = [stores.URL_CHECK, stores.CATALOG_PICK, stores.PAGE_CHECK]
+
+    def put(folder, key, body, rows):
+        keyed.write_files(rows.select(keyed.file_name(folder, key).alias("name"), F.col(body).alias("body")), f"{root}/{folder}")
+
+    put(stores.PAGE_FOLDER, stores.page_key("url"), "html", s["pages"])
+    for kind in kinds:
+        told = s["responses"].filter(own & (F.col("query_type") == kind) & F.col("response").isNotNull())
+        put(f"{stores.ANSWER_FOLDER}{kind}/", stores.answer_key(kind, "url"), "response", told)
+    found = fetch_and_check(
+        products(spark, d), s["aliases"], keyed.scan_keyed_pages(spark, root), keyed.scan_keyed_responses(spark, root, kinds), RULES
+    )
+    return found
+
+
 QUERIES["stream_verdicts"] = QUERIES.pop("stream_verdicts_query")
 QUERIES["stream_checks"] = stream_checks
