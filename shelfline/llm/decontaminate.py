@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.frames import add_columns
+from shelfline.llm.frames import add_columns, sheltered
 from shelfline.session import stage
 
 WINDOW = 10
@@ -170,8 +170,9 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_i
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` in which no window of the benchmark occurs, with their own columns."""
-    return with_leaks(docs, benchmark, **options).filter(F.size(RUNS) == 0).select(*docs.columns)
+    """The rows of `docs` in which no window of the benchmark occurs, with their own columns, whatever they are called."""
+    text = options.pop("text", "text")
+    return sheltered(docs, lambda own, name: with_leaks(own, benchmark, text=name[text], **options).filter(F.size(RUNS) == 0))
 
 
 SQL = r"""

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from shelfline.llm.components import components
 from shelfline.llm.encoding import filled
-from shelfline.llm.frames import add_columns
+from shelfline.llm.frames import add_columns, sheltered
 from shelfline.session import stage
 
 WIDTH, RADIUS, SEED = 3, 2, 42
@@ -249,15 +249,19 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, t
 
 
 def without_near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of `docs` with the smallest id of their component, with their own columns.
+    """The rows of `docs` with the smallest id of their component, with their own columns, whatever they are called.
 
     Rows that repeat that id and are near each other all stay; a component without ids stays whole.
     """
-    named = with_fingerprint(docs, text, width)
-    prints = stage(named.select(F.col(doc_id).alias("doc_id"), F.col("__fp").alias("fp")), "prints")
-    found = classes(prints, radius).select(F.col("fp").alias("__class_fp"), F.col("component_id").alias("__component"))
-    # Only numbers find out which rows go; the rows themselves meet the list of ids once.
-    gone = prints.join(found, F.col("fp") == F.col("__class_fp")).filter(~F.col("doc_id").eqNullSafe(F.col("__component")))
-    gone = stage(gone.select(F.col("doc_id").alias("__gone"), F.col("fp").alias("__gone_fp")).distinct(), "gone")
-    same = F.col(doc_id).eqNullSafe(F.col("__gone")) & (F.col("__fp") == F.col("__gone_fp"))
-    return named.join(gone, same, "left_anti").select(*docs.columns)
+
+    def fewer(own: DataFrame, name: dict[str, str]) -> DataFrame:
+        named = with_fingerprint(own, name[text], width)
+        prints = stage(named.select(F.col(name[doc_id]).alias("doc_id"), F.col("__fp").alias("fp")), "prints")
+        found = classes(prints, radius).select(F.col("fp").alias("__class_fp"), F.col("component_id").alias("__component"))
+        # Only numbers find out which rows go; the rows themselves meet the list of ids once.
+        gone = prints.join(found, F.col("fp") == F.col("__class_fp")).filter(~F.col("doc_id").eqNullSafe(F.col("__component")))
+        gone = stage(gone.select(F.col("doc_id").alias("__gone"), F.col("fp").alias("__gone_fp")).distinct(), "gone")
+        same = F.col(name[doc_id]).eqNullSafe(F.col("__gone")) & (F.col("__fp") == F.col("__gone_fp"))
+        return named.join(gone, same, "left_anti")
+
+    return sheltered(docs, fewer)
