@@ -13,53 +13,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfline.llm.decontaminate import without_leaks
-from shelfline.llm.lines import without_repeats
+from shelfline.llm.lines import without_repeated_lines
 from shelfline.llm.packing import pack
 from shelfline.llm.quality import good_documents
-from shelfline.llm.shingles import without_similar
+from shelfline.llm.simhash import without_near_duplicates
 from shelfline.session import stage
 
-#: Near-duplicates share at least four fifths of their different runs of five words.
-NEAR_WIDTH, NEAR_BOUND = 5, (4, 5)
-
-
-#: Texts are long: an Arrow batch of the default 10,000 rows would take a good part of a small executor.
-BATCH_ROWS = 1_000
-
-
-def _with_small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie in their language's perplexity band."""
-    _with_small_batches(spark)
     return good_documents(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without runs of lines that occur in an earlier one; `n_chars` follows the text."""
-    _with_small_batches(spark)
-    cut = without_repeats(docs, whole=True)
     length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-    return cut.select(*(length.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    return without_repeated_lines(docs).withColumn("n_chars", length)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near copies."""
-    _with_small_batches(spark)
-    return without_similar(docs, width=NEAR_WIDTH, bound=NEAR_BOUND)
+    """One document, the one with the smallest id, of each group whose fingerprints of three-word shingles lead to
+    each other by steps of at most two bits."""
+    return without_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of the benchmark occurs."""
-    _with_small_batches(spark)
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, placed in sequences of 2048 ids in proportion to the sources."""
-    _with_small_batches(spark)
     return pack(docs)
 
 
