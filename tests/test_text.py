@@ -126,7 +126,8 @@ def test_hostile_pages(values):
         "a<script>no</script>b<script src=x>no</script >c", "<p title='unclosed>buy", '<a href="x>1</a><b title="y">2</b>',
         "<STYLE media=a>no</Style>yes", "<scripted>yes", "a <!-- <b> --> c",
     ]
-    want = ["buy now", "x now and the rest", "buy", "abc", "buy", "12", "yes", "yes", "a  c"]
+    # The first quoted value of the sixth page ends at its third quote; the rest of that tag is a name with a quote in it.
+    want = ["buy now", "x now and the rest", "buy", "abc", "buy", "2", "yes", "yes", "a  c"]
     assert values(text.extract_text("x"), pages) == want
 
 
