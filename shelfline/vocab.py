@@ -35,7 +35,7 @@ UNAVAILABLE_TERMS = [
 # A short default for links that are never a maker's own product page. Projects with a longer
 # list keep it in a file, one term per line, and read it with `load_terms`.
 URL_DISCARD_TERMS = [
-    ".pdf", "northerntool",
+    ".pdf",
     "ebay", "walmart", "etsy", "aliexpress", "costco",
     "youtube", "wikipedia", "facebook", "twitter", "reddit", "pinterest",
     "forum", "review", "support", "manual",
