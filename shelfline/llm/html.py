@@ -2,6 +2,8 @@
 
 A page is a sequence of words and tags. Words score by where they stand (text, link, heading, list, table, or
 inside an element that by its name, class or role is a menu, footer, notice and the like), tags by their name.
+Some class names are used for such parts and for layout; they count only on pages where what they mark holds
+the lesser part of the running text.
 The weights are log-odds of standing inside the article, from labelled pages; words of running text are held
 positive and tags negative. One scan finds the contiguous run of highest sum. It is widened to whole blocks, and
 elements inside it that are no part of an article are left out.
@@ -23,16 +25,18 @@ from shelfline.llm.encoding import filled
 from shelfline.llm.frames import add_columns
 from shelfline.llm.labelled_pages import PAGES
 
+#: The rest of a tag: a value after an equals sign may be quoted; quotes elsewhere are plain characters.
+VALUES = r"""(?:[^=>]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))*+"""
 TOKEN = re.compile(
     r"<!--(?P<note>.*?)(?:-->|\Z)"
     r"|<(?P<raw>script|style|textarea|title)"
-    r"(?=[\s/>])(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+>(?:.*?</(?P=raw)\s*+>|.*\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*+)(?P<attrs>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>"
+    rf"(?=[\s/>]){VALUES}>(?:.*?</(?P=raw)\s*+>|.*\Z)"
+    rf"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*+)(?P<attrs>{VALUES})>"
     r"|<[!?/a-z][^>]*+(?:>|\Z)"
     r"|(?P<text>[^<]++|<)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 WORD = re.compile(r"\S+")
 
 #: Element names by how they lay out text.
@@ -44,15 +48,19 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are no part of an article, by name, role, or a word of their class or id.
 OUTSIDE = frozenset(
-    "aside audio button canvas dialog fieldset footer form iframe input label math menu nav noscript object optgroup option select "
+    "aside audio button canvas dialog fieldset footer form iframe input label menu nav noscript object optgroup option select "
     "svg template video".split()
 )
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 MARKS = frozenset(
-    "ad ads adv advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies "
-    "dialog discussion disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification overlay "
-    "pager paginate pagination paywall popup promo promotion recommended recommendations related replies reply respond share sharing "
-    "sidebar signup skip social sponsor sponsored subscribe subscription teaser teasers toolbar widget widgets".split()
+    "ad ads adv advert advertisement advertising adverts breadcrumb breadcrumbs comment comments consent cookie cookies "
+    "discussion disqus footer gdpr masthead menu modal nav navbar navigation newsletter "
+    "pager paginate pagination paywall popup respond sidebar signup skip sponsor sponsored subscribe subscription toolbar".split()
+)
+#: Marks that name layout on some pages; they count where what they mark holds the lesser part of the running text.
+SOFT = frozenset(
+    "alert banner dialog header login notice notification overlay promo promotion recommended recommendations related replies reply "
+    "share sharing social teaser teasers widget widgets".split()
 )
 #: Marks that also count as the start or end of a longer word, as in `commentlist`.
 STEMS = ("advert", "breadcrumb", "comment", "cookie", "footer", "navbar", "newsletter", "pagination", "sidebar")
@@ -61,48 +69,81 @@ HOLDERS = frozenset("article body html main".split())
 WORDS = frozenset(["text", "link", "heading", "list", "table", "outside"])
 
 
-def _marked(name: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element is no part of an article."""
+def _marks(name: str, attrs: str, in_article: bool) -> tuple[bool, frozenset[str]]:
+    """Whether an element is no part of an article, and the soft marks that say so if the page heeds them."""
+    none: frozenset[str] = frozenset()
     if name in HOLDERS:
-        return False
+        return False, none
     if name in OUTSIDE or (name == "header" and not in_article):
-        return True
+        return True, none
+    soft = none
     for key, value in ATTRIBUTE.findall(attrs):
         key, entries = key.lower(), value.strip("\"'").split()
         value = " ".join(entries).lower()
         if key == "role" and value in ROLES or key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
+            return True, none
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return True, none
         if key in ("class", "id"):
             for entry in entries:
                 parts = [p.lower() for p in re.split(r"[-_:]+|(?<=[a-z])(?=[0-9A-Z])", entry) if p]
                 if parts and parts[0] not in ("has", "no", "with", "without"):
-                    found = MARKS.intersection(parts) | {p for p in parts if p.startswith(STEMS) or p.endswith(STEMS)}
-                    if found and not (in_article and found <= {"header"}):
-                        return True
-    return False
+                    if MARKS.intersection(parts) or any(p.startswith(STEMS) or p.endswith(STEMS) for p in parts):
+                        return True, none
+                    soft |= SOFT.intersection(parts) - ({"header"} if in_article else none)
+    return False, soft
+
 
+#: Where one of the first kind begins, an open one ends, unless one of the second kind was opened in between.
+ENDED = frozenset(["a", "p", "li", "td", "th", "tr", "dd", "dt"]) | HEADINGS
+BARRIERS = frozenset("ul ol dl table div section article blockquote".split())
 
-def tokens(page: str) -> Iterable[tuple[str, str, int, bool]]:
+
+def tokens(page: str) -> list[tuple[str, str, int, bool]]:
     """`kind, value, block, outside` of each word or tag; kind is `word`, `tag` or `note`, block numbers layout blocks."""
-    # Open elements: name, and whether it or one around it is outside the article.
-    stack: list[tuple[str, bool]] = []
-    depth: Counter[str] = Counter()
+    found = list(_tokens(page, frozenset()))
+    under: Counter[str] = Counter()
+    plain = 0
+    for kind, value, _, outside, soft in found:
+        if kind == "text" and not outside:
+            n = len(WORD.findall(value))
+            plain += 0 if soft else n
+            for mark in soft:
+                under[mark] += n
+    layout = frozenset(mark for mark, n in under.items() if n > plain)
+    if layout:
+        found = list(_tokens(page, layout))
+    return [
+        ("outside" if soft and kind not in ("tag", "note") else kind, value, block, outside or bool(soft))
+        for kind, value, block, outside, soft in found
+    ]
+
+
+def _tokens(page: str, layout: frozenset[str]) -> Iterable[tuple[str, str, int, bool, frozenset[str]]]:
+    """The tokens of a page, with the soft marks they stand under but for those of `layout`."""
+    # Open elements: name, whether it or one around it is outside the article, and soft marks. For each name, where it stands.
+    stack: list[tuple[str, bool, frozenset[str]]] = []
+    places: dict[str, list[int]] = {}
+    none: frozenset[str] = frozenset()
     block = 0
+
+    def close(top: int) -> None:
+        while len(stack) > top:
+            places[stack.pop()[0]].pop()
+
     for m in TOKEN.finditer(page):
         text = m["text"]
-        outside = bool(stack) and stack[-1][1]
+        outside, soft = (stack[-1][1], stack[-1][2]) if stack else (False, none)
         if text is not None:
             where = (
-                "outside" if outside else "link" if depth["a"] else "heading" if any(depth[h] for h in HEADINGS)
-                else "list" if depth["li"] else "table" if depth["td"] or depth["th"] else "text"
+                "outside" if outside else "link" if places.get("a") else "heading" if any(places.get(h) for h in HEADINGS)
+                else "list" if places.get("li") else "table" if places.get("td") or places.get("th") else "text"
             )
             # Words keep the references in them; a word is decoded as part of its block.
-            yield where, text, block, outside
+            yield where, text, block, outside, soft
             continue
         if m["note"] is not None:
-            yield "note", m["note"].strip(), block, outside
+            yield "note", m["note"].strip(), block, outside, soft
             continue
         name = (m["name"] or "").lower()
         if not name:
@@ -110,30 +151,24 @@ def tokens(page: str) -> Iterable[tuple[str, str, int, bool]]:
         if name in BLOCKS:
             block += 1
         if name in VOID or m["end"]:
-            yield "tag", ("/" if m["end"] else "") + name, block, outside
+            yield "tag", ("/" if m["end"] else "") + name, block, outside, soft
         if name in VOID:
             continue
         if m["end"]:
-            if depth[name]:
-                while stack:
-                    gone = stack.pop()[0]
-                    depth[gone] -= 1
-                    if gone == name:
-                        break
+            if places.get(name):
+                close(places[name][-1])
         else:
-            if name in ("a", "p", "li", "td", "th", "tr", "dd", "dt") or name in HEADINGS:
-                # These end where the next begins; what was left open in them ends, too.
-                top = max((i for i, (n, _) in enumerate(stack[-12:], max(0, len(stack) - 12)) if n == name), default=None)
-                inner = {n for n, _ in stack[top + 1:]} if top is not None else set()
-                if top is not None and not inner & {"ul", "ol", "dl", "table", "div", "section", "article", "blockquote"}:
-                    for gone, _ in stack[top:]:
-                        depth[gone] -= 1
-                    del stack[top:]
-                    outside = bool(stack) and stack[-1][1]
-            mark = outside or _marked(name, m["attrs"] or "", bool(depth["article"] or depth["main"]))
-            yield "tag", name, block, mark
-            stack.append((name, mark))
-            depth[name] += 1
+            if name in ENDED and places.get(name):
+                # It ends where the next begins; what was left open in it ends, too.
+                top = places[name][-1]
+                if not any(places.get(b) and places[b][-1] > top for b in BARRIERS):
+                    close(top)
+                    outside, soft = (stack[-1][1], stack[-1][2]) if stack else (False, none)
+            gone, marks = _marks(name, m["attrs"] or "", bool(places.get("article") or places.get("main")))
+            gone, soft = outside or gone, soft | (marks - layout)
+            yield "tag", name, block, gone, soft
+            places.setdefault(name, []).append(len(stack))
+            stack.append((name, gone, soft))
 
 
 def weights_of(pages: list[str]) -> dict[str, float]:
