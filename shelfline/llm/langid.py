@@ -8,6 +8,10 @@ language with the most hits left is predicted.
 
 An n-gram belongs to a language if at least `share` of the rate of the language that uses it most, and at
 least `least` times, occurs there; so a foreign passage in a document does not put its n-grams into the filter.
+
+What is learnt is bounded by parameters: `fit_texts` different labelled texts, taken by a hash of the text where there are more,
+their `fit_langs` most frequent languages, and the `fit_grams` n-grams a language has most of. So the table
+has at most 13 * `fit_grams` positions, rounded up to a power of two, and reaches every task; every text is predicted by it.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfline.llm.arrays import code_points, mixed, owners, sums
@@ -31,8 +35,8 @@ POSITIONS = 1 << 21
 HASHES = 3
 #: A table has at least so many positions for each n-gram of its fullest language: a false positive in about 114.
 ROOM = 13
-#: Masks of a table that is broadcast; more n-grams are joined with the texts' own, without filters.
-MOST = 1 << 24
+#: Different texts, languages, and n-grams of a language that filters are learnt from.
+FIT_TEXTS, FIT_LANGS, FIT_GRAMS = 1 << 18, 256, 1 << 18
 SHARE, LEAST = 0.3, 3
 SLICE = 1 << 19
 UNKNOWN = "und"
@@ -105,12 +109,33 @@ def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return rows.mapInArrow(counts, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def members(counts: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """`lang, gram`: the languages each n-gram belongs to."""
+def fit_sample(rows: DataFrame, text: str, lang: str, fit_texts: int = FIT_TEXTS, fit_langs: int = FIT_LANGS) -> tuple[DataFrame, list[str]]:
+    """`text, lang` of the rows to learn from, and their languages, the one with most rows first.
+
+    Copies of a text are in the sample or out of it together, as its hash says.
+    """
+    given = rows.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("lang is not null")
+    mark = F.shiftright(F.xxhash64("text", "lang"), 32)
+    different = given.agg(F.approx_count_distinct(F.xxhash64("text", "lang"), 0.01)).first()[0]
+    if different > fit_texts:
+        given = given.filter(mark < int((fit_texts / different - 0.5) * (1 << 32)))
+    top = given.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(fit_langs)
+    langs = [r.lang for r in sorted(top.collect(), key=lambda r: (-r["count"], r.lang))]
+    return given.filter(F.col("lang").isin(langs)), langs
+
+
+def members(counts: DataFrame, share: float = SHARE, least: int = LEAST, fit_grams: int = FIT_GRAMS) -> DataFrame:
+    """`lang, gram`: the languages each n-gram belongs to, of each language the `fit_grams` most frequent ones."""
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rates = counts.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total"))
     top = rates.groupBy("gram").agg(F.max("rate").alias("top"))
-    return rates.filter(F.col("n") >= least).join(top, "gram").filter(F.col("rate") >= share * F.col("top")).select("lang", "gram")
+    known = rates.filter(F.col("n") >= least).join(top, "gram").filter(F.col("rate") >= share * F.col("top"))
+    known = stage(known.select("lang", "gram", "n"), "language-rates")
+    # The count that the last of the wanted n-grams has, from numbers of n-grams by count; of those with that count all go.
+    often = known.groupBy("lang", "n").agg(F.count("*").alias("grams"))
+    upto = F.sum("grams").over(Window.partitionBy("lang").orderBy(F.desc("n")))
+    cut = often.withColumn("upto", upto).filter(F.col("upto") <= fit_grams).groupBy("lang").agg(F.min("n").alias("cut"))
+    return known.join(F.broadcast(cut), "lang").filter(F.col("n") >= F.col("cut")).select("lang", "gram")
 
 
 def table_size(most: int) -> int:
@@ -169,24 +194,24 @@ def build_filters(known: DataFrame, size: int = POSITIONS) -> DataFrame:
 _OPEN: dict[str, Filters] = {}
 
 
-def with_language(docs: DataFrame, learn: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+def with_language(
+    docs: DataFrame, learn: DataFrame, text: str = "text", lang: str = "lang", fit_texts: int = FIT_TEXTS, fit_langs: int = FIT_LANGS,
+    fit_grams: int = FIT_GRAMS,
+) -> DataFrame:
     """`docs` with `lang_pred` and `score`, learnt from the rows of `learn` whose `lang` is not null.
 
-    The filters reach the tasks as a table with room for what was learnt, of up to `MOST` masks (128 MB). Where that
-    is too small, texts' n-grams are joined with the learnt ones (`joined_language`). Texts that are null or have no letter, and all texts where nothing could be learnt, are
+    The filters reach the tasks as a table with room for what was learnt. Texts that are null or have no letter, and all texts where nothing could be learnt, are
     `und` with score 0. A text without hits gets the language with the most documents to learn from, with score 0.
     Ties go to the language with more documents, then the smaller name.
     """
     spark = docs.sparkSession
-    named = learn.select(F.col(lang).cast("string").alias("lang")).filter("lang is not null").groupBy("lang").count()
-    langs = [r.lang for r in sorted(named.collect(), key=lambda r: (-r["count"], r.lang))]
+    sample, langs = fit_sample(learn, text, lang, fit_texts, fit_langs)
     code = spark.createDataFrame([(x, i) for i, x in enumerate(langs)], "lang string, code int")
-    counts = stage(count_grams(learn, text, lang), "language-grams")
-    known = stage(members(counts).join(F.broadcast(code), "lang").select("code", "gram"), "language-members")
+    counts = stage(count_grams(sample, "text", "lang"), "language-grams")
+    known = members(counts, fit_grams=fit_grams).join(F.broadcast(code), "lang").select("code", "gram")
+    known = stage(known, "language-members")
     size = table_size(max((r["count"] for r in known.groupBy("code").count().collect()), default=0))
     words = max(1, -(-len(langs) // 64))
-    if size * words > MOST:
-        return joined_language(docs, known, langs, text)
     table = np.zeros((size, words), np.uint64)
     cells = build_filters(known, size).toArrow()
     table[cells["position"].to_numpy(), cells["word"].to_numpy()] = cells["mask"].to_numpy().view(np.uint64)
@@ -219,39 +244,6 @@ def with_language(docs: DataFrame, learn: DataFrame, text: str = "text", lang: s
     return add_columns(docs, kernel, "lang_pred string, score double")
 
 
-def joined_language(docs: DataFrame, known: DataFrame, langs: list[str], text: str) -> DataFrame:
-    """As `with_language`, by a join of each different text's counted n-grams with `known` (`code, gram`): no filter, no chance hits."""
-    key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    at = 1
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, names = filled(batch.column(at)), batch.column(0).to_numpy()
-            for k in range(len(texts)):
-                gram, n = np.unique(grams(texts.slice(k, 1))[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(gram), names[k])), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "gram", "n"]
-                )
-
-    rows = docs.select(key.alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = rows.mapInArrow(count, "key bigint, gram bigint, n bigint")
-    # Rows with equal texts count alike, so that one of them is enough.
-    found = stage(found.groupBy("key", "gram").agg(F.max("n").alias("n")), "language-texts")
-    some = stage(found.select("key").distinct(), "language-lettered")
-    votes = found.join(known, "gram").groupBy("key", "code").agg(F.sum("n").alias("votes"))
-    best = votes.groupBy("key").agg(
-        F.max(F.struct("votes", (-F.col("code")).alias("c"))).alias("top"), F.sum("votes").alias("total")
-    )
-    best = some.join(best, "key", "left").select(
-        F.col("key").alias("__key"), F.coalesce(-F.col("top.c"), F.lit(0)).alias("__code"), F.coalesce(F.col("top.votes") / F.col("total"), F.lit(0.0)).alias("__score")
-    )
-    name = F.element_at(F.array(*map(F.lit, langs)), (F.col("__code") + 1).cast("int"))
-    made = docs.join(stage(best, "language-votes"), key == F.col("__key"), "left")
-    return made.select(
-        *docs.columns, F.when(F.col("__key").isNull(), UNKNOWN).otherwise(name).alias("lang_pred"), F.coalesce("__score", F.lit(0.0)).alias("score")
-    )
-
-
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows kept from learning: a third, by a checksum of the id. A null id is one of them."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(True))
