@@ -3,8 +3,8 @@
 Each source is a queue of its documents. Deficit round-robin gives every queue credit in proportion to its
 target in each window and serves the queue that is furthest behind; what a queue is owed or was given too
 much is carried on. Served in quanta of `quantum` ids, the quantum that starts at position x of a queue with
-share p comes when the queue's credit reaches x, after x / p ids in all. The order of service is therefore
-the order by x / p, which needs no loop: no window is more than a quantum of each queue away from its targets, across
+share p comes when the queue's credit reaches x, after x / p ids in all. The order of service is therefore the same as
+the order by x / p, which needs no loop (tests compare it with queues served one quantum after another): no window is more than a quantum of each queue away from its targets, across
 windows and partitions. A queue that runs out leaves its share to the others.
 
 Only numbers are ordered: the ids stay in a written table, meet their cuts in one join, and are never sorted.
@@ -68,19 +68,19 @@ def encode_documents(
 
 
 def schedule(
-    queues: DataFrame, targets: dict[str, float] | None = None, window: int = WINDOW, quantum: int = QUANTUM
+    queues: DataFrame, targets: dict[str, float] | None = None, window: int = WINDOW, quantum: int = QUANTUM, temper: float = 1.0
 ) -> DataFrame:
     """`row_key, start, length, sequence_id, offset`: where each cut of each document goes.
 
     `queues` has `row_key, doc_id, source, n_tokens`, as a written table. `targets` are weights by source; a
-    source without one, or every source without `targets`, weighs what it holds. A source is served from its
-    smallest `doc_id`.
+    source without one, or every source without `targets`, weighs what it holds to the power of `temper`: below 1, small
+    sources come more often than they would by size, until they run out. A source is served from its smallest `doc_id`.
     """
     if not 0 < quantum <= window:
         raise ValueError("a quantum must fit a window")
     placed = with_running_total(queues, "n_tokens", ["doc_id", "row_key"], ["source"], "at", "queues")
     held = queues.groupBy("source").agg(F.sum("n_tokens").alias("held"))
-    weight = F.col("held").cast("double")
+    weight = F.pow(F.col("held").cast("double"), F.lit(temper))
     for name, value in (targets or {}).items():
         if value <= 0:
             raise ValueError("targets must be positive")
@@ -113,7 +113,7 @@ def schedule(
 def pack(
     docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, targets: dict[str, float] | None = None,
     window: int = WINDOW, quantum: int = QUANTUM, with_ids: bool = False, text: str = "text", doc_id: str = "doc_id",
-    source: str = "source",
+    source: str = "source", temper: float = 1.0,
 ) -> DataFrame:
     """`doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset` of every piece (and its `ids`).
 
@@ -122,7 +122,7 @@ def pack(
     that repeat an id are packed one by one; an empty table gives no pieces; other columns are not read.
     """
     held = encode_documents(docs, vocabulary, end_id, text, doc_id, source)
-    cuts = schedule(held.select("row_key", "doc_id", "source", "n_tokens"), targets, window, quantum)
+    cuts = schedule(held.select("row_key", "doc_id", "source", "n_tokens"), targets, window, quantum, temper)
     lists = cuts.groupBy("row_key").agg(
         F.array_sort(F.collect_list(F.struct("start", "length", "sequence_id", "offset"))).alias("cuts")
     )
