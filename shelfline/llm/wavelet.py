@@ -141,6 +141,20 @@ class Shard:
             at = self._find(level, one, at - self.zeros[level] if one else at)
         return at
 
+    def occurrences(self, value: int) -> np.ndarray:
+        """All positions of an id, ascending: its range in the last plane followed back from plane to plane."""
+        if value < 0 or value >> self.levels:
+            return np.zeros(0, np.int64)
+        a, b = self._range(value, self.n)
+        at = np.arange(a, b)
+        for level in range(self.levels - 1, -1, -1):
+            if not len(at):
+                break
+            one = value >> (self.levels - 1 - level) & 1
+            bits = np.unpackbits(self.planes[level][0], count=self.n, bitorder="little")
+            at = np.flatnonzero(bits == one)[at - self.zeros[level] if one else at]
+        return np.sort(at)
+
     def decode(self) -> np.ndarray:
         """All ids in order."""
         x = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
@@ -241,3 +255,39 @@ def documents_of(spark: SparkSession, path: str, kind: str = "bigint") -> DataFr
     return rows.join(_starts(shards.select("part", "seq", "n_tokens")), ["part", "seq"]).select(
         "doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"
     )
+
+
+def count_ids(shards: DataFrame, ids: list[int]) -> DataFrame:
+    """`id, n`: how often each of `ids` occurs in all shards, by rank; nothing is decoded. Repeated ids count once."""
+    wanted = sorted(set(ids))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0):
+                shard = Shard(blob.as_buffer().to_pybytes())
+                yield pa.RecordBatch.from_arrays([pa.array(wanted, pa.int64()), pa.array([shard.count(i) for i in wanted], pa.int64())], ["id", "n"])
+
+    return shards.select("shard").mapInArrow(counted, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def find_ids(shards: DataFrame, ids: list[int], kind: str = "bigint") -> DataFrame:
+    """`id, doc_id, position`: every occurrence of each of `ids` and its place in its document, by select.
+
+    `kind` is the type of the documents' names. A shard's occurrences are found in the task that holds it.
+    """
+    wanted = sorted(set(ids))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0):
+                shard = Shard(blob.as_buffer().to_pybytes())
+                starts = np.concatenate([[0], shard.ends[:-1]]) if len(shard.ends) else shard.ends
+                for i in wanted:
+                    at = shard.occurrences(i)
+                    doc = np.searchsorted(shard.ends, at, side="right")
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(at), i)), shard.docs.take(pa.array(doc)), pa.array(at - starts[doc] if len(at) else at)],
+                        ["id", "doc_id", "position"],
+                    )
+
+    return shards.select("shard").mapInArrow(found, f"id bigint, doc_id {kind}, position bigint")

@@ -13,7 +13,7 @@ from shelfline.llm import encoding
 from shelfline.llm.encoding import byte_slices, counted, encoded, encoder, split_text, vocabulary_path
 from shelfline.llm.packing import encode_documents, pack
 from shelfline.llm.token_counts import count_tokens
-from shelfline.llm.wavelet import Shard, build, documents_of, write_shards
+from shelfline.llm.wavelet import Shard, build, count_ids, documents_of, find_ids, read_shards, write_shards
 from shelfline.session import fresh_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -129,6 +129,28 @@ def test_wavelet_matrix(ids, data):
     assert shard.count(1 << 20) == 0
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 9) | st.integers(0, 70_000), max_size=700))
+def test_occurrences(ids):
+    shard = Shard(build(np.array(ids, np.uint32), np.array([len(ids)]), pa.array([1])))
+    for v in {*ids[:5], 3, 70_001, -1}:
+        assert shard.occurrences(v).tolist() == [k for k, x in enumerate(ids) if x == v]
+
+
+def test_ids_are_looked_up_in_shards(spark, odd, odd_rows, nothing, library):
+    path = fresh_path(spark, "shards")
+    write_shards(odd, path, shard_tokens=300)
+    shards = read_shards(spark, path)
+    texts = [(r[0], [*plain(library, r[1]), 2]) for r in odd_rows]
+    wanted = [2, texts[0][1][0], texts[4][1][5], 40_000]
+    want = sorted(((v, i, k) for i, ids in texts for v in set(wanted) for k, x in enumerate(ids) if x == v), key=repr)
+    assert sorted(((r.id, r.doc_id, r.position) for r in find_ids(shards, wanted).collect()), key=repr) == want
+    assert {r.id: r.n for r in count_ids(shards, [*wanted, 2]).collect()} == {v: sum(w[0] == v for w in want) for v in wanted}
+    empty = fresh_path(spark, "shards")
+    write_shards(nothing, empty)
+    assert count_ids(read_shards(spark, empty), [2]).collect() == [] and find_ids(read_shards(spark, empty), [2]).collect() == []
+
+
 def test_shards_of_odd_rows(spark, odd, odd_rows, nothing, library):
     path = fresh_path(spark, "shards")
     write_shards(odd, path, shard_tokens=500)
@@ -185,5 +207,29 @@ def test_deficits_stay_within_a_quantum(spark, library):
                 assert abs(n - at * held[s] / total) <= 16 * len(held)
 
 
+@pytest.mark.parametrize("targets,temper", [({"a": 5.0, "b": 1.0, "c": 2.0}, 1.0), (None, 0.5), (None, 1.0)])
+def test_order_is_that_of_queues_served_in_turn(spark, library, targets, temper):
+    """Deficit round-robin in plain Python: the queue whose credit covers its next quantum first is served, until all are empty."""
+    rows = [(i, "word " * (5 + 11 * (i % 7)), "abc"[0 if i % 2 else i % 3]) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING").repartition(3)
+    quantum, queues, at = 16, {}, {}
+    for i, text, source in rows:
+        n = len(plain(library, text)) + 1
+        for start in range(0, n, quantum):
+            queues.setdefault(source, []).append((i, start, min(quantum, n - start), at.get(source, 0) + start))
+        at[source] = at.get(source, 0) + n
+    weight = {s: (targets or {}).get(s) or n ** temper for s, n in at.items()}
+    want, place = [], dict.fromkeys(queues, 0)
+    while any(place[s] < len(q) for s, q in queues.items()):
+        s = min((s for s in queues if place[s] < len(queues[s])), key=lambda s: (queues[s][place[s]][3] / weight[s], s))
+        i, start, n, _ = queues[s][place[s]]
+        place[s] += 1
+        want += [(i, start + k) for k in range(n)]
+    got = []
+    for r in sorted(pack(docs, window=64, quantum=quantum, targets=targets, temper=temper).collect(), key=lambda r: (r.sequence_id, r.offset)):
+        got += [(r.doc_id, r.start + k) for k in range(r.length)]
+    assert got == want
+
+
 def test_packing_nothing(nothing):
     assert pack(nothing).collect() == []
