@@ -279,3 +279,20 @@ def test_files_are_written_whole_and_by_name(spark, tmp_path):
     assert sorted(map(tuple, keyed.scan_files(spark, folder, 3).collect())) == sorted(map(tuple, files.collect()))
     with pytest.raises(ValueError):
         keyed.local_path("s3a://bucket/x")
+
+
+def test_stream_reads_a_table_of_one_file_or_of_many(spark, tmp_path):
+    from workload.queries import QUERIES
+
+    pages = spark.createDataFrame(
+        [(i, f"https://www.acme{i % 3}.com/{'ab' if i % 2 else 'cd'}/{i}", f"<title>Acme {i}</title><p>buy {i}") for i in range(24)],
+        "page_id BIGINT, url STRING, html STRING",
+    )
+    pages.repartition(3).write.parquet(str(tmp_path / "many" / "pages.parquet"))
+    pages.coalesce(1).write.parquet(str(tmp_path / "part"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "part").glob("*.parquet")).rename(tmp_path / "one" / "pages.parquet")
+    # Another table beside it is not read.
+    pages.coalesce(1).write.parquet(str(tmp_path / "many" / "labels.parquet"))
+    many, one = (sorted(map(str, QUERIES["stream_verdicts"](spark, str(tmp_path / k)).collect())) for k in ("many", "one"))
+    assert many == one and len(many) == 24

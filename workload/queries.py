@@ -877,11 +877,8 @@ def refresh_model_names(spark, d):
 @query
 def stream_verdicts_query(spark, d):
     s = inputs.stores(spark, d)
-    pages = (
-        spark.readStream.schema(table(spark, d, "pages").schema)
-        .option("pathGlobFilter", "pages.parquet")
-        .parquet(d)
-    )
+    # A pattern matches one file as well as a folder of part files; a stream cannot be opened on a file itself.
+    pages = spark.readStream.schema(table(spark, d, "pages").schema).parquet(f"{d}/pages.parque[t]")
     rows_ = pages.select(
         F.col("page_id").alias("id"),
         F.regexp_extract("url", inputs.PRODUCT_IN_URL, 1).alias("product"),
