@@ -140,6 +140,10 @@ _COMMAS = "replace(replace(response, ',', ' '), ';', ',')"
 _TIDY = f"transform(split({_COMMAS}, {_lit(chr(92) + 'n')}), s -> regexp_replace({_strip('s')}, ',\\\\z', ''))"
 _LINES = f"filter({_TIDY}, s -> length(s) - length(replace(s, ',', '')) = 2)"
 
+_ROWS = (
+    f"filter(transform({_LINES}, (s, i) -> named_struct('at', i, 'line', s)), h -> h.at <> 0 OR h.line <> 'Brand,Model,URL')"
+)
+
 
 def _field(i: int) -> str:
     return f"nullif(get(split(line, ','), {i}), '')"
@@ -152,8 +156,8 @@ TABLES: dict[str, tuple[str, str, str]] = {
     ),
     "product_lines": (
         "product STRING, response STRING", "brand STRING, model STRING, url STRING, line INT",
-        f"SELECT {_label(_field(0))}, {_label(_field(1))}, {_field(2)}, at"
-        f" FROM (SELECT posexplode({_LINES}) AS (at, line)) WHERE at <> 0 OR line <> 'Brand,Model,URL'",
+        # Without a WHERE: that makes the rows of an answer come back by a join on its whole text.
+        f"SELECT {_label(_field(0))}, {_label(_field(1))}, {_field(2)}, at FROM (SELECT h.at, h.line FROM (SELECT explode({_ROWS}) AS h))",
     ),
 }
 

@@ -126,3 +126,16 @@ def test_sql_functions_that_give_rows(spark):
     texts.createOrReplaceTempView("texts_given")
     hits = spark.sql("SELECT i, h.* FROM texts_given, LATERAL term_hits(t, array('404', 'not found', 'zz')) h")
     assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, unavailable_hits(texts, ["404", "not found", "zz"], F.col("t"), "i").collect()))
+
+
+def test_product_lines_in_sql_stay_with_their_answer(spark):
+    """Its rows come out of the answer itself, repeated answers too, not by a join on the text."""
+    from shelfline.operators.rows import parse_product_lines
+
+    sqlfuncs.register(spark)
+    header = "Brand;Model;URL"
+    answers = [("t", f"{header}\nA;m;u\n{header}")] * 2 + [("u", f"{header}\nA;m;u\n{header}"), (None, f"no\n{header}\nB;n;w"), ("x", header)]
+    df = spark.createDataFrame(answers, "product STRING, response STRING")
+    got = spark.sql("SELECT a.product, l.* FROM {a} a, LATERAL product_lines(a.product, a.response) l", a=df)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, parse_product_lines(df).collect()))
