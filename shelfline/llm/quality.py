@@ -3,8 +3,11 @@
 The model is an interpolated modified Kneser-Ney model of character trigrams, one for each value of `lang`,
 counted by Spark over every document that passes the base rules. Characters fall into 64 classes (letters,
 one class for capitals, for digits, for kinds of punctuation, 15 for the rest), so a language has at most
-64^3 entries, 2 MB, however large the corpus is. Tasks hold the entries as arrays sorted by a hash of
-language and n-gram and find them by binary search.
+64^3 trigrams, 2 MB, however large the corpus is. Which character of its class stands there is told by a
+second Kneser-Ney model, of every pair of neighbouring code points whose second shares its class with others:
+the probability of a character is that of its class after two classes times its own, among its class, after
+the character before. These entries grow with the different pairs a language holds. Tasks hold all entries as
+arrays sorted by a hash of language and n-gram and find them by binary search.
 
 A document is rejected if its log-perplexity a character lies outside its language's band, `median - low *
 spread` to `median + high * spread`, where `spread` is the median distance from the median. Short texts
@@ -49,13 +52,23 @@ def _classes() -> np.ndarray:
 
 
 ASCII = _classes()
+#: How many of all code points are in each class.
+ROOM = np.bincount(ASCII, minlength=64) + np.bincount(47 + np.arange(128, 0x110000) % 15, minlength=64)
+#: The bits of a code point, what stands before a text's first, and the part of a count its pair leaves to others.
+POINT, NO_POINT, CUT = 21, (1 << 21) - 1, 0.75
+#: Entries of the model of members: sizes from here on.
+MEMBERS = ORDER + 1
 SYMBOLS = np.isin(np.arange(256), [ord(x) for x in "#*$%&|<>"])
 
 
+def classes(points: np.ndarray) -> np.ndarray:
+    return np.where(points < 128, ASCII[np.minimum(points, 127)], 47 + points % 15).astype(np.int64)
+
+
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The trigram of classes that ends at each character, and where each text's begin."""
     points, at = code_points(texts)
-    x = np.where(points < 128, ASCII[np.minimum(points, 127)], 47 + points % 15).astype(np.int64)
+    x = classes(points)
     key = x.copy()
     for back in range(1, ORDER):
         before = np.full(len(x), BEGIN, np.int64)
@@ -68,6 +81,18 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return key, at
 
 
+def members(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The places of characters that share their class with others, and each one's pair: the code point before it,
+    and its own."""
+    points, at = code_points(texts)
+    points = points.astype(np.int64)
+    before = np.full(len(points), NO_POINT, np.int64)
+    before[1:] = points[:-1]
+    before[at[:-1][at[:-1] < at[1:]]] = NO_POINT
+    spots = np.flatnonzero(ROOM[classes(points)] > 1)
+    return spots, before[spots] << POINT | points[spots]
+
+
 def base_counts(texts: pa.Array) -> list[np.ndarray]:
     """Words, their characters, symbols, repeated lines, words in repeated windows, and whether the rules fail."""
     coded, at = words(texts)
@@ -104,37 +129,49 @@ def _slices(texts: pa.Array):
         yield a, b, texts.slice(a, b - a)
 
 
+def _added(found: list[np.ndarray]) -> np.ndarray:
+    """Rows of keys and counts, each key once."""
+    every = np.concatenate(found, axis=1)
+    key, place = np.unique(every[0], return_inverse=True)
+    # Sums by `bincount` are doubles, exact up to 2^53.
+    return np.stack([key, np.bincount(place, every[1], len(key)).astype(np.int64)])
+
+
 def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """`lang, gram, n`: trigrams of all documents that pass the base rules. A null language is one of its own.
+    """`lang, pair, gram, n`: trigrams of classes, and with `pair` pairs of code points, of all documents that pass
+    the base rules. A null language is one of its own.
 
-    A task adds up all its batches before anything is shuffled: at most 64^3 numbers a language.
+    A task adds up all its batches before anything is shuffled: at most 64^3 numbers a language, and its different pairs.
     """
     chosen = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).alias("text"))
 
     def counts(batches):
         seen: dict[str, int] = {}
-        total = np.zeros((2, 0), np.int64)
+        totals = {False: np.zeros((2, 0), np.int64), True: np.zeros((2, 0), np.int64)}
+        bits = {False: BITS * ORDER, True: 2 * POINT}
         for batch in batches:
             codes = np.array([seen.setdefault(x, len(seen)) for x in batch.column(0).to_pylist()], np.int64)
-            found = [total]
+            found = {k: [total] for k, total in totals.items()}
             for a, b, texts in _slices(filled(batch.column(1))):
                 key, at = grams(texts)
-                good = ~base_counts(texts)[5]
+                spots, pairs = members(texts)
                 own = owners(at)
-                found.append(np.stack(np.unique((codes[a:b][own] << 18 | key)[good[own]], return_counts=True)))
-            every = np.concatenate(found, axis=1)
-            key, place = np.unique(every[0], return_inverse=True)
-            total = np.stack([key, np.bincount(place, every[1], len(key)).astype(np.int64)])
+                good, own = (~base_counts(texts)[5])[own], codes[a:b][own]
+                keys = {False: (own << bits[False] | key)[good], True: (own[spots] << bits[True] | pairs)[good[spots]]}
+                for k, x in keys.items():
+                    found[k].append(np.stack(np.unique(x, return_counts=True)))
+            totals = {k: _added(f) for k, f in found.items()}
         names = pa.array(list(seen), pa.string())
-        for at in range(0, total.shape[1], 1 << 16):
-            key, n = total[:, at:at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays(
-                [names.take(pa.array(key >> 18)), pa.array((key & (1 << 18) - 1).astype(np.int32)), pa.array(n)],
-                ["lang", "gram", "n"],
-            )
+        for k, total in totals.items():
+            for at in range(0, total.shape[1], 1 << 16):
+                key, n = total[:, at:at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(key >> bits[k])), pa.array(np.full(len(key), k)), pa.array(key & (1 << bits[k]) - 1), pa.array(n)],
+                    ["lang", "pair", "gram", "n"],
+                )
 
-    parts = chosen.mapInArrow(counts, "lang string, gram int, n bigint")
-    return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    parts = chosen.mapInArrow(counts, "lang string, pair boolean, gram bigint, n bigint")
+    return parts.groupBy("lang", "pair", "gram").agg(F.sum("n").alias("n"))
 
 
 def _level(counts: DataFrame, order: int, lower: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -190,6 +227,40 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     return out.groupBy("lang", "size", "gram").agg(F.max("p").alias("p"), F.max("g").alias("g"))
 
 
+def member_shares(pairs: DataFrame) -> DataFrame:
+    """`lang, size, gram, p, g` like those of `kneser_ney`, from `lang, gram, n` of pairs of code points: the share of a
+    character in its class after the one before (size `MEMBERS + 3`) and, counted by different characters before, anywhere
+    (`+ 1`); what a character before leaves to the latter (`+ 2`), and a class to each character not met in it (`+ 0`)."""
+    point = F.col("gram").bitwiseAND(F.lit(NO_POINT))
+    of_ascii, room = (F.array(*(F.lit(int(x)) for x in v)) for v in (ASCII, ROOM))
+    kind = F.when(point < 128, F.get(of_ascii, point.cast("int"))).otherwise((point % 15).cast("int") + 47)
+    rows = pairs.select("lang", "gram", "n", F.shiftright("gram", POINT).alias("before"), point.alias("point"), kind.alias("kind"))
+    left = F.lit(CUT) * F.col("kinds") / F.col("total")
+
+    def totals(counts: DataFrame, *keys: str) -> DataFrame:
+        return counts.groupBy("lang", *keys).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+
+    def share(lower: Column) -> Column:
+        return (F.col("n") - CUT) / F.col("total") + lower
+
+    met = rows.groupBy("lang", "point", "kind").agg(F.count("*").alias("n"))
+    in_class = totals(met, "kind").withColumn("each", left / F.get(room, F.col("kind")))
+    anywhere = stage(met.join(in_class, ["lang", "kind"]).select("lang", "point", share(F.col("each")).alias("q")), "members")
+    after = totals(rows, "before", "kind").withColumn("g", left)
+    told = rows.join(after, ["lang", "before", "kind"]).join(anywhere, ["lang", "point"])
+
+    def part(df: DataFrame, size: int, gram: Column, p: Column | None = None, g: Column | None = None) -> DataFrame:
+        p, g = (F.lit(None).cast("double") if x is None else x for x in (p, g))
+        return df.select("lang", F.lit(MEMBERS + size).alias("size"), gram.cast("bigint").alias("gram"), p.alias("p"), g.alias("g"))
+
+    return (
+        part(told, 3, F.col("gram"), p=share(F.col("g") * F.col("q")))
+        .unionByName(part(after, 2, F.shiftleft("before", BITS) + F.col("kind"), g=F.col("g")))
+        .unionByName(part(anywhere, 1, F.col("point"), p=F.col("q")))
+        .unionByName(part(in_class, 0, F.col("kind"), p=F.col("each")))
+    )
+
+
 class Model:
     """The entries of all languages, sorted by a hash of language, length and n-gram."""
 
@@ -200,20 +271,22 @@ class Model:
 
     @staticmethod
     def hashed(lang: np.ndarray, size: int, gram: np.ndarray) -> np.ndarray:
-        return mixed((lang.astype(np.int64) << 24) | (size << 18) | gram)
+        return mixed((lang.astype(np.int64) << 24) | (size << 18) | gram) if size < MEMBERS else mixed(mixed(lang) ^ mixed((size << 2 * POINT) | gram))
 
     @classmethod
     def gathered(cls, entries: DataFrame) -> Model:
-        """From `kneser_ney`: at most 64^3 + 64^2 + 64 + 1 entries a language."""
-        got = entries.toPandas()
-        langs = sorted(got["lang"].unique())
-        code = got["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)
+        """From `kneser_ney`, at most 64^3 + 64^2 + 64 + 1 entries a language, and `member_shares`, one for each different
+        pair, character and character before."""
+        got = entries.toArrow()
+        names = got["lang"].combine_chunks().dictionary_encode()
+        size, gram = got["size"].to_numpy(), got["gram"].to_numpy().astype(np.int64)
+        code = names.indices.to_numpy().astype(np.int64)
         key = np.zeros(len(got), np.uint64)
-        for n in range(ORDER + 1):
-            own = (got["size"] == n).to_numpy()
-            key[own] = cls.hashed(code[own], n, got["gram"].to_numpy(np.int64)[own])
-        logs = [np.log(got[c].astype(float).fillna(1.0).to_numpy()).astype(np.float32) for c in ("p", "g")]
-        return cls(langs, key, *logs)
+        for n in range(MEMBERS + 4):
+            own = size == n
+            key[own] = cls.hashed(code[own], n, gram[own])
+        logs = [np.log(np.nan_to_num(got[c].to_numpy().astype(float), nan=1.0)).astype(np.float32) for c in ("p", "g")]
+        return cls(names.dictionary.to_pylist(), key, *logs)
 
     def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
@@ -234,10 +307,31 @@ class Model:
         out[todo] -= BITS * np.log(2)
         return out
 
+    def log_shares(self, lang: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """For each pair the log-probability of its second character, among those of its class, after the first."""
+        out, todo = np.zeros(len(pair), np.float64), np.arange(len(pair))
+        point = pair & NO_POINT
+        kind = classes(point)
+        for size, gram in ((3, pair), (1, point), (0, kind)):
+            at, hit = self.find(self.hashed(lang[todo], MEMBERS + size, gram[todo]))
+            out[todo[hit]] += self.log_p[at[hit]]
+            todo = todo[~hit]
+            if not len(todo):
+                return out
+            if size == 3:
+                at, hit = self.find(self.hashed(lang[todo], MEMBERS + 2, pair[todo] >> POINT << BITS | kind[todo]))
+                out[todo[hit]] += self.log_g[at[hit]]
+        out[todo] -= np.log(ROOM[kind[todo]])
+        return out
+
     def log_perplexity(self, lang: np.ndarray, texts: pa.Array) -> np.ndarray:
         """Mean negative log-probability of a text's characters; 0 for an empty text."""
         key, at = grams(texts)
-        total = sums(self.log_probabilities(lang[owners(at)], key), at)
+        own = lang[owners(at)]
+        each = self.log_probabilities(own, key)
+        spots, pair = members(texts)
+        each[spots] += self.log_shares(own[spots], pair)
+        total = sums(each, at)
         return -total / np.maximum(1, np.diff(at))
 
 
@@ -292,7 +386,10 @@ def bands(scores: DataFrame) -> DataFrame:
 
 def _entries(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """The model of `docs`, as a written table."""
-    return stage(kneser_ney(stage(count_grams(docs, text, lang), "trigrams")), "model")
+    counts = stage(count_grams(docs, text, lang), "counts")
+    trigrams = counts.filter(~F.col("pair")).select("lang", F.col("gram").cast("int").alias("gram"), "n")
+    pairs = counts.filter("pair").select("lang", "gram", "n")
+    return stage(kneser_ney(trigrams).withColumn("gram", F.col("gram").cast("bigint")).unionByName(member_shares(pairs)), "model")
 
 
 def _limits(scored: DataFrame, lang: str) -> DataFrame:

@@ -350,3 +350,60 @@ def test_pipeline_of_odd_rows(spark, odd, nothing, tmp_path):
         spark.createDataFrame([(1, "a benchmark question of no importance")], "item_id BIGINT, text STRING").write.parquet(str(d / "benchmark.parquet"))
         rows = corpus_pipeline.run(spark, str(d))
         assert (rows.count() > 0) == (label == "odd")
+
+
+def slow_shares(texts):
+    """The share of each character in its class after the one before, counted with dictionaries."""
+    kind = lambda c: int(quality.classes(np.array([c]))[0])
+    pairs = Counter((a, c) for t in texts for a, c in zip([None, *map(ord, t)], map(ord, t)))
+    met = Counter(c for _, c in pairs)
+
+    def anywhere(c):
+        own = {x: n for x, n in met.items() if kind(x) == kind(c)}
+        room = sum(kind(x) == kind(c) for x in range(128)) if c < 128 else len(range(kind(c) - 47, 0x110000, 15)) - len(range(kind(c) - 47, 128, 15))
+        if not own:
+            return 1 / room
+        return max(0, own.get(c, 0) - 0.75) / sum(own.values()) + 0.75 * len(own) / sum(own.values()) / room
+
+    def share(a, c):
+        own = {x: n for (b, x), n in pairs.items() if b == a and kind(x) == kind(c)}
+        if not own:
+            return anywhere(c)
+        return max(0, own.get(c, 0) - 0.75) / sum(own.values()) + 0.75 * len(own) / sum(own.values()) * anywhere(c)
+
+    return share
+
+
+def test_each_character_has_its_own_probability(spark):
+    texts = ["Добрый день, река и БЕРЕГ реки 1234 " * 3, "Der Fluß (Größe: 12) und das Ufer? " * 3, "水は流れる\n川岸\t"]
+    texts = [t + " и еще двадцать слов для правил " * 2 + " ".join("абвгдежзиклмнопрстуф") + " ".join(map(str, range(9))) + t for t in texts]
+    texts = [t for t in texts if not slow_base(t)[5]]
+    docs = spark.createDataFrame([(t, "xx") for t in texts], "text STRING, lang STRING")
+    model = quality.Model.gathered(quality._entries(docs, "text", "lang"))
+    share = slow_shares(texts)
+    assert texts
+    for t in ["река Ъ", "Ø水Q!", "", "die 77 川", texts[0]]:
+        spots, pair = quality.members(pa.array([t]))
+        got = model.log_shares(np.zeros(len(pair), np.int64), pair)
+        want = [np.log(share(ord(t[i - 1]) if i else None, ord(t[i]))) for i in spots]
+        assert np.allclose(got, want, atol=1e-4)
+        if t:
+            key, _ = quality.grams(pa.array([t]))
+            both = model.log_probabilities(np.zeros(len(key), np.int64), key).sum() + sum(want)
+            assert np.allclose(model.log_perplexity(np.zeros(1, np.int64), pa.array([t])), -both / len(t), atol=1e-4)
+
+
+def test_other_characters_of_the_same_classes_are_told_apart(spark):
+    """Texts whose letters are changed for others of the same class had the perplexity of the texts they came from."""
+    import random
+
+    rng = random.Random(3)
+    words = ["река", "берег", "город", "который", "время", "человек", "дорога", "сказал", "большой", "работа", "после", "вода"]
+    good = [" ".join(rng.choice(words) + ("" if rng.random() < 0.9 else ".") for _ in range(60 + k)) for k in range(60)]
+    bad = ["".join(chr(0x430 + (ord(c) - 0x430 + 15) % 30) if ord(c) > 0x42F else c for c in t) for t in good[:6]]
+    assert all((quality.grams(pa.array([a]))[0] == quality.grams(pa.array([b]))[0]).all() for a, b in zip(good, bad))
+    rows = [(i, t, "ru") for i, t in enumerate(good + bad)]
+    got = {r.doc_id: r for r in quality_report(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert sum(got[i].kept for i in range(60)) >= 57
+    assert not any(got[60 + i].kept for i in range(6))
