@@ -17,6 +17,7 @@ from shelfline.llm.lines import without_repeated_lines
 from shelfline.llm.packing import pack
 from shelfline.llm.quality import good_documents
 from shelfline.llm.simhash import without_near_duplicates
+from shelfline.llm.similar import similar_groups
 from shelfline.session import stage
 
 
@@ -32,9 +33,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group whose fingerprints of three-word shingles lead to
-    each other by steps of at most two bits."""
-    return without_near_duplicates(docs)
+    """One document, the one with the smallest id, of each group that steps lead through: from a text to one whose
+    fingerprint of three-word shingles is at most two bits away, or that shares four fifths of their different runs of
+    five words."""
+    return without_near_duplicates(docs, joined=similar_groups)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

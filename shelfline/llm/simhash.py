@@ -13,7 +13,7 @@ its pairs but a forest that connects the same fingerprints, so a group of n near
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -223,13 +223,20 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, sha
     return base.unionByName(query).groupBy("shard", "i", "j").applyInArrow(search, "a bigint, b bigint")
 
 
-def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def classes(prints: DataFrame, radius: int = RADIUS, joined: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """`fp, component_id` of the different fingerprints of `prints` (`doc_id, fp`), as a written table: the
-    smallest id that a chain of fingerprints within `radius` of each other leads to."""
+    smallest id that a chain of fingerprints within `radius` of each other leads to.
+
+    `joined` may tell from `fp, root` which roots are one (`node, root`).
+    """
     nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     linked = components(near_links(nodes, radius))
     rooted = nodes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = stage(rooted, "rooted")
+    if joined:
+        more = joined(rooted.select("fp", "root")).select("node", F.col("root").alias("to"))
+        more = rooted.join(more, F.col("root") == F.col("node"), "left")
+        rooted = stage(more.select("fp", "least", F.coalesce("to", "root").alias("root")), "rooted")
     # Written first: then a component of a third of all fingerprints can be split in the join.
     lowest = stage(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "lowest")
     return stage(rooted.join(lowest, "root").select("fp", "component_id"), "classes")
@@ -248,16 +255,27 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, t
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def without_near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def without_near_duplicates(
+    docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, text: str = "text", doc_id: str = "doc_id",
+    joined: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """The rows of `docs` with the smallest id of their component, with their own columns, whatever they are called.
 
-    Rows that repeat that id and are near each other all stay; a component without ids stays whole.
+    Rows that repeat that id and are near each other all stay; a component without ids stays whole. `joined` may tell
+    which components are one, from the texts (`text`) and the component of each (`version`, its hash, and `root`).
     """
 
     def fewer(own: DataFrame, name: dict[str, str]) -> DataFrame:
         named = with_fingerprint(own, name[text], width)
-        prints = stage(named.select(F.col(name[doc_id]).alias("doc_id"), F.col("__fp").alias("fp")), "prints")
-        found = classes(prints, radius).select(F.col("fp").alias("__class_fp"), F.col("component_id").alias("__component"))
+        version = F.xxhash64(name[text]).alias("version")
+        prints = stage(named.select(F.col(name[doc_id]).alias("doc_id"), F.col("__fp").alias("fp"), version), "prints")
+
+        def merged(rooted: DataFrame) -> DataFrame:
+            roots = prints.select("fp", "version").distinct().join(rooted, "fp").select("version", "root")
+            return joined(own.select(F.col(name[text]).alias("text")), roots)
+
+        found = classes(prints, radius, merged if joined else None)
+        found = found.select(F.col("fp").alias("__class_fp"), F.col("component_id").alias("__component"))
         # Only numbers find out which rows go; the rows themselves meet the list of ids once.
         gone = prints.join(found, F.col("fp") == F.col("__class_fp")).filter(~F.col("doc_id").eqNullSafe(F.col("__component")))
         gone = stage(gone.select(F.col("doc_id").alias("__gone"), F.col("fp").alias("__gone_fp")).distinct(), "gone")
