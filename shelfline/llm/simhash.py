@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from shelfline.llm.components import components
 from shelfline.llm.encoding import filled
 from shelfline.llm.frames import add_columns, sheltered
-from shelfline.session import stage
+from shelfline.session import scratch, stage
 
 WIDTH, RADIUS, SEED = 3, 2, 42
 #: The tree's sample, and fingerprints a shard should have; a tree has at most SAMPLE / 16 shards.
@@ -268,17 +268,18 @@ def without_near_duplicates(
     def fewer(own: DataFrame, name: dict[str, str]) -> DataFrame:
         named = with_fingerprint(own, name[text], width)
         version = F.xxhash64(name[text]).alias("version")
-        prints = stage(named.select(F.col(name[doc_id]).alias("doc_id"), F.col("__fp").alias("fp"), version), "prints")
 
         def merged(rooted: DataFrame) -> DataFrame:
             roots = prints.select("fp", "version").distinct().join(rooted, "fp").select("version", "root")
             return joined(own.select(F.col(name[text]).alias("text")), roots)
 
-        found = classes(prints, radius, merged if joined else None)
-        found = found.select(F.col("fp").alias("__class_fp"), F.col("component_id").alias("__component"))
-        # Only numbers find out which rows go; the rows themselves meet the list of ids once.
-        gone = prints.join(found, F.col("fp") == F.col("__class_fp")).filter(~F.col("doc_id").eqNullSafe(F.col("__component")))
-        gone = stage(gone.select(F.col("doc_id").alias("__gone"), F.col("fp").alias("__gone_fp")).distinct(), "gone")
+        with scratch(docs.sparkSession) as keep:
+            prints = stage(named.select(F.col(name[doc_id]).alias("doc_id"), F.col("__fp").alias("fp"), version), "prints")
+            found = classes(prints, radius, merged if joined else None)
+            found = found.select(F.col("fp").alias("__class_fp"), F.col("component_id").alias("__component"))
+            # Only numbers find out which rows go; the rows themselves meet the list of ids once.
+            gone = prints.join(found, F.col("fp") == F.col("__class_fp")).filter(~F.col("doc_id").eqNullSafe(F.col("__component")))
+            gone = keep(gone.select(F.col("doc_id").alias("__gone"), F.col("fp").alias("__gone_fp")).distinct(), "gone")
         same = F.col(name[doc_id]).eqNullSafe(F.col("__gone")) & (F.col("__fp") == F.col("__gone_fp"))
         return named.join(gone, same, "left_anti")
 

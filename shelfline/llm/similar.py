@@ -4,7 +4,8 @@ A text is the set of hashes of its runs of `width` words. Sets are ordered alike
 at or above the bound share a shingle among their first n - ceil(bound * n) + 1, and at the first one they share
 the sizes of what follows bound the overlap. A set has a sketch as well, the parity of its numbers of shingles in
 each of 512 bins: two sketches differ in at most as many bits as the sets differ in shingles, so unlike sets that
-share a passage go before anything whole is moved. Pairs that pass all this are verified on their whole sets.
+share a passage go before anything whole is moved. Pairs that pass all this are compared by sketches as fine as their
+sets are large, then verified on their whole sets.
 
 What is asked for is groups, not pairs. In each round some sets of a shingle are compared with all others that
 carry it, then leave it; sets known to be of one group are not compared again. So n near copies cost about n
@@ -26,7 +27,7 @@ from shelfline.llm.components import components
 from shelfline.llm.encoding import filled
 from shelfline.llm.frames import add_columns
 from shelfline.llm.simhash import SEED, word_blocks
-from shelfline.session import stage
+from shelfline.session import scratch, stage
 
 #: The bound as a fraction, so that sizes are compared without rounding.
 WIDTH, BOUND = 5, (4, 5)
@@ -60,10 +61,28 @@ def prefix_size(n: int, bound: tuple[int, int] = BOUND) -> int:
     return n - -(-num * n // den) + 1 if n else 0
 
 
+def parity(x: np.ndarray, bins: int) -> np.ndarray:
+    """The parity of the number of shingles in each of `bins` (a power of two, from 8), eight to a byte."""
+    odd = np.bincount((x & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
 def sketch(x: np.ndarray) -> np.ndarray:
-    """The parity of the number of shingles in each bin, 64 bins to a signed number."""
-    odd = np.bincount((x & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    """The parity in `BINS`, 64 bins to a signed number."""
+    return parity(x, BINS).view(np.int64)
+
+
+def fine_sketch(x: np.ndarray) -> bytes:
+    """The parity in at least four bins for each shingle: it tells long sets apart as well."""
+    return parity(x, 1 << max(3, (4 * len(x) - 1).bit_length())).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """In how many bins two fine sketches differ, the one of more bins folded to as many as the other has."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
 def common_shingles(texts: DataFrame, width: int) -> dict[int, int]:
@@ -124,13 +143,29 @@ def with_sets(docs: DataFrame, width: int = WIDTH, bound: tuple[int, int] = BOUN
 
 
 def whole_sets(asked: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """`sig, items`, the whole set of each of `asked` (`sig, version`), as a written table."""
+    """`sig, items, fine`, the whole set of each of `asked` (`sig, version`) and its fine sketch, as a written table."""
     rows = texts.withColumn("version", F.xxhash64("text")).join(asked, "version").dropDuplicates(["version"]).select("sig", "text")
 
     def kernel(batch: pa.RecordBatch) -> list[pa.Array]:
-        return [pa.array([shingles(t.as_py(), width).view(np.int64) for t in filled(batch.column(1))], pa.list_(pa.int64()))]
+        made = [shingles(t.as_py(), width) for t in filled(batch.column(1))]
+        return [pa.array([x.view(np.int64) for x in made], pa.list_(pa.int64())), pa.array([fine_sketch(x) for x in made], pa.binary())]
+
+    return stage(add_columns(rows, kernel, "items array<bigint>, fine binary", ("text",)), "similar-items")
+
+
+def close_pairs(pairs: DataFrame, items: DataFrame, bound: tuple[int, int]) -> DataFrame:
+    """The rows of `pairs` (`a, b, ra, rb`) whose fine sketches allow the bound, as a written table."""
+    num, den = bound
+    of = lambda c: items.select(F.col("sig").alias(c), F.size("items").alias(f"{c}_n"), F.col("fine").alias(f"{c}_fine"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    at, to = both.columns.index("a_fine"), both.columns.index("b_fine")
+
+    def kernel(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array([apart(x.as_py(), y.as_py()) for x, y in zip(batch.column(at), batch.column(to), strict=True)], pa.int64())]
 
-    return stage(add_columns(rows, kernel, "items array<bigint>", ("text",)), "similar-items")
+    both = add_columns(both, kernel, "apart bigint", ("a_fine", "b_fine"))
+    near = F.col("apart") * (num + den) <= (F.col("a_n") + F.col("b_n")) * (den - num)
+    return stage(both.filter(near).select("a", "b", "ra", "rb"), "similar-close")
 
 
 def similar_groups(texts: DataFrame, roots: DataFrame, width: int = WIDTH, bound: tuple[int, int] = BOUND) -> DataFrame:
@@ -140,21 +175,26 @@ def similar_groups(texts: DataFrame, roots: DataFrame, width: int = WIDTH, bound
     be left out. Texts without words are in no pair.
     """
     num, den = bound
-    sets = stage(with_sets(texts.select("text"), width, bound).filter("n > 0"), "similar-texts")
-    owned = stage(sets.select("sig", "version").distinct().join(roots, "version").select("sig", "root").distinct(), "similar-owned")
-    first = owned.groupBy("sig").agg(F.min("root").alias("low"))
-    # Texts of one set may have several fingerprints.
-    links = stage(owned.join(first, "sig").filter("root <> low").select(F.col("root").alias("a"), F.col("low").alias("b")), "similar-links")
+    spark = texts.sparkSession
+    with scratch(spark) as keep:
+        sets = stage(with_sets(texts.select("text"), width, bound).filter("n > 0"), "similar-texts")
+        owned = stage(sets.select("sig", "version").distinct().join(roots, "version").select("sig", "root").distinct(), "similar-owned")
+        first = owned.groupBy("sig").agg(F.min("root").alias("root"))
+        # Texts of one set may have several fingerprints.
+        both = owned.join(first.withColumnRenamed("root", "low"), "sig").filter("root <> low")
+        links = keep(both.select(F.col("root").alias("a"), F.col("low").alias("b")), "similar-links")
+        # Rows of one set are equal but for the version.
+        one = sets.groupBy("sig").agg(F.min("version").alias("version"), *(F.first(c).alias(c) for c in ("n", *LANES)))
+        one = keep(one.join(first, "sig"), "similar-sets")
+        spread = sets.select("sig", F.posexplode("tokens").alias("pos", "token"))
+        # One row for each shingle: the smallest and the greatest set that carry it tell whether there are two.
+        again = spread.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).filter("low <> high")
+        again = stage(again.select("token"), "similar-again")
+        shared = spread.join(again, "token", "left_semi").groupBy("token", "sig").agg(F.min("pos").alias("pos"))
+        shared = keep(shared, "similar-shared")
     groups = components(links)
-    one = sets.groupBy("sig").agg(F.min("version").alias("version"), *(F.first(c).alias(c) for c in ("n", "tokens", *LANES)))
-    one = stage(one.join(first.withColumnRenamed("low", "root"), "sig"), "similar-sets")
-    spread = one.select("sig", "n", F.posexplode("tokens").alias("pos", "token"))
-    # One row for each shingle: the smallest and the greatest set that carry it tell whether there are two.
-    again = spread.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).filter("low <> high")
-    again = stage(again.select("token"), "similar-again")
-    shared = stage(spread.join(again, "token", "left_semi"), "similar-shared")
-    active = shared.join(one.select("sig", "root", *LANES), "sig")
-    items, some, turn = None, FIRST, 0
+    active = shared.join(one.drop("version"), "sig")
+    some, turn = FIRST, 0
     while True:
         moved = active.join(groups.select(F.col("node"), F.col("root").alias("to")), F.col("root") == F.col("node"), "left")
         moved = moved.withColumn("root", F.coalesce("to", "root")).drop("node", "to")
@@ -168,17 +208,14 @@ def similar_groups(texts: DataFrame, roots: DataFrame, width: int = WIDTH, bound
         active = stage(active.withColumn("chosen", chosen).drop("least", "all"), "similar-open")
         if active.isEmpty():
             return groups
-        if items is None:
-            asked = active.select("sig").distinct().join(one.select("sig", "version"), "sig")
-            items = whole_sets(stage(asked, "similar-asked"), texts, width)
         picked = active.filter("chosen").drop("chosen")
         picked = picked.select("token", *(F.col(c).alias(f"p_{c}") for c in picked.columns if c != "token"))
         sizes, rest = F.col("n") + F.col("p_n"), F.least(F.col("n") - F.col("pos"), F.col("p_n") - F.col("p_pos"))
-        apart = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"p_{s}"))) for s in LANES), F.lit(0))
+        differ = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"p_{s}"))) for s in LANES), F.lit(0))
         # At the bound sets differ in (den - num) / (den + num) of their sizes together.
         may = (
             (F.col("root") != F.col("p_root")) & (~F.col("chosen") | (F.col("sig") > F.col("p_sig")))
-            & (rest * (num + den) >= sizes * num) & (apart * (num + den) <= sizes * (den - num))
+            & (rest * (num + den) >= sizes * num) & (differ * (num + den) <= sizes * (den - num))
         )
         pairs = active.join(picked, "token").filter(may).select(
             F.least("sig", "p_sig").alias("a"), F.greatest("sig", "p_sig").alias("b"),
@@ -186,11 +223,16 @@ def similar_groups(texts: DataFrame, roots: DataFrame, width: int = WIDTH, bound
             F.when(F.col("sig") < F.col("p_sig"), F.col("p_root")).otherwise(F.col("root")).alias("rb"),
         )
         pairs = stage(pairs.distinct(), "similar-pairs")
-        left = pairs.join(items.select(F.col("sig").alias("a"), F.col("items").alias("x")), "a")
-        both = left.join(items.select(F.col("sig").alias("b"), F.col("items").alias("y")), "b")
-        both = both.select("ra", "rb", F.size(F.array_intersect("x", "y")).alias("k"), (F.size("x") + F.size("y")).alias("sum"))
-        found = both.filter(F.col("k") * den >= (F.col("sum") - F.col("k")) * num).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        links = links.unionByName(stage(found.distinct(), "similar-found"))
+        with scratch(spark) as keep:
+            # Whole sets of these pairs only, for this round only; their sketches leave few pairs that sets go to.
+            asked = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+            items = whole_sets(stage(asked.join(one.select("sig", "version"), "sig"), "similar-asked"), texts, width)
+            pairs = close_pairs(pairs, items, bound)
+            left = pairs.join(items.select(F.col("sig").alias("a"), F.col("items").alias("x")), "a")
+            both = left.join(items.select(F.col("sig").alias("b"), F.col("items").alias("y")), "b")
+            both = both.select("ra", "rb", F.size(F.array_intersect("x", "y")).alias("k"), (F.size("x") + F.size("y")).alias("sum"))
+            found = both.filter(F.col("k") * den >= (F.col("sum") - F.col("k")) * num).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+            links = links.unionByName(keep(found.distinct(), "similar-found"))
         groups = components(links)
         active = active.filter(~F.col("chosen")).drop("chosen")
         some, turn = some * GROWTH, turn + 1

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -62,15 +62,24 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Intermediate tables made inside are removed at the end.
 
-    For jobs that write what they work out: a table made inside must not be read after it.
+    For jobs that write what they work out: a table made inside must not be read after it. What is given is a `stage`
+    for the results, which stay as long as if they were made outside.
     """
-    home = fresh_path(spark, "scratch")
+    outer, home = _SCRATCH.get(), fresh_path(spark, "scratch")
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        inner = _SCRATCH.set(outer)
+        try:
+            return stage(df, label)
+        finally:
+            _SCRATCH.reset(inner)
+
     token = _SCRATCH.set(home)
     try:
-        yield
+        yield keep
     finally:
         _SCRATCH.reset(token)
         place = spark._jvm.org.apache.hadoop.fs.Path(home)

@@ -2,12 +2,15 @@
 
 import random
 import re
+from pathlib import Path
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from shelfline.llm import similar
 from shelfline.llm.simhash import fingerprint
+from shelfline.session import fresh_path, stage
 
 
 def slow_set(text, width=5):
@@ -78,6 +81,49 @@ def test_pairs_around_the_bound(spark, monkeypatch, first, common):
     assert kept(spark, spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3)) == slow_kept(rows)
 
 
+def test_whole_sets_of_candidates_only(spark, monkeypatch):
+    """Unlike texts that share a short passage are told apart before their sets are written, long ones before sets are joined."""
+    written = {}
+
+    def counted(df, label, *more):
+        done = stage(df, label, *more)
+        written[label] = written.get(label, 0) + done.count()
+        return done
+
+    monkeypatch.setattr(similar, "stage", counted)
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(7)]
+    texts = [[*passage, *(f"u{k}x{i}" for i in range(200))] for k in range(30)]
+    texts += [[*(f"p{i}" for i in range(100)), *(f"v{k}x{i}" for i in range(4000))] for k in range(4)]
+    base = [f"w{i}" for i in range(300)]
+    texts += [base, edited(rng, base, 5)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = kept(spark, spark.createDataFrame(rows, "doc_id BIGINT, text STRING"))
+    assert got == slow_kept(rows) and sorted(got) == list(range(35))
+    assert 2 <= written["similar-items"] <= 6
+    assert written["similar-close"] == 1
+
+
+def test_nothing_but_the_answer_stays(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(i // 2, 100))) for i in range(12)]
+    home = Path(fresh_path(spark, "x").removeprefix("file:")).parent
+    before = set(home.iterdir())
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), "")
+    assert [p.name.split("-")[0] for p in set(home.iterdir()) - before] == ["gone"]
+    assert sorted(r.doc_id for r in got.collect()) == slow_kept(rows)
+
+
+def test_fine_sketches_are_bounds():
+    rng = np.random.default_rng(2)
+    for n, shared, m in [(0, 0, 0), (3, 2, 9), (500, 450, 40), (2000, 0, 1700), (1000, 1000, 30)]:
+        both = rng.integers(0, 1 << 63, shared, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, k, dtype=np.uint64)])) for k in (n, m))
+        differ = len(np.setxor1d(a, b))
+        found = similar.apart(similar.fine_sketch(a), similar.fine_sketch(b))
+        assert found == similar.apart(similar.fine_sketch(b), similar.fine_sketch(a))
+        assert found <= differ <= 2 * found
+
+
 def test_odd_rows(spark, odd, odd_rows, nothing):
     got = corpus_pipeline.near_dedup(spark, odd, "")
     assert got.schema == odd.schema and corpus_pipeline.near_dedup(spark, nothing, "").collect() == []
