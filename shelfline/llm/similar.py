@@ -5,7 +5,7 @@ at or above the bound share a shingle among their first n - ceil(bound * n) + 1,
 the sizes of what follows bound the overlap. A set has a sketch as well, the parity of its numbers of shingles in
 each of 512 bins: two sketches differ in at most as many bits as the sets differ in shingles, so unlike sets that
 share a passage go before anything whole is moved. Pairs that pass all this are compared by sketches as fine as their
-sets are large, then verified on their whole sets.
+sets are large, made in the same pass; only what is left of them, near copies but for a few, is verified on whole sets.
 
 What is asked for is groups, not pairs. In each round some sets of a shingle are compared with all others that
 carry it, then leave it; sets known to be of one group are not compared again. So n near copies cost about n
@@ -36,6 +36,8 @@ COMMON, BUFFER = 1 << 17, 1 << 20
 #: About how many sets each shingle compares with the others in the first round, and how they grow from round to round.
 FIRST, GROWTH = 1, 4
 BINS = 512
+#: Rows that are not asked for are left out by so many hashes of their versions, broadcast, before any is shuffled.
+SPOTS = 1 << 20
 LANES = [f"s{k}" for k in range(BINS // 64)]
 
 
@@ -72,9 +74,10 @@ def sketch(x: np.ndarray) -> np.ndarray:
     return parity(x, BINS).view(np.int64)
 
 
-def fine_sketch(x: np.ndarray) -> bytes:
-    """The parity in at least four bins for each shingle: it tells long sets apart as well."""
-    return parity(x, 1 << max(3, (4 * len(x) - 1).bit_length())).tobytes()
+def fine_sketch(x: np.ndarray, each: int = 4) -> bytes:
+    """The parity in at least `each` bins for each shingle: it tells long sets apart as well. With one bin each, sets
+    that pass for 0.8 have a similarity of about 0.74 or more."""
+    return parity(x, 1 << max(3, (each * len(x) - 1).bit_length())).tobytes()
 
 
 def apart(a: bytes, b: bytes) -> int:
@@ -112,7 +115,7 @@ def common_shingles(texts: DataFrame, width: int) -> dict[int, int]:
 
 def with_sets(docs: DataFrame, width: int = WIDTH, bound: tuple[int, int] = BOUND) -> DataFrame:
     """`docs` (with `text`) with `version` (a hash of the text) instead of it, and `sig` (a hash of its set), `n` (its
-    size), `tokens` (the first shingles of the set) and the sketch."""
+    size), `tokens` (the first shingles of the set), `fine` (its fine sketch) and the sketch."""
     common = common_shingles(docs.select("text"), width)
     spark = docs.sparkSession
     keys = np.array(sorted(common), np.int64)
@@ -122,11 +125,12 @@ def with_sets(docs: DataFrame, width: int = WIDTH, bound: tuple[int, int] = BOUN
 
     def kernel(batch: pa.RecordBatch) -> list[pa.Array]:
         keys, counts = held.value
-        sig, size, first, lanes = [], [], [], []
+        sig, size, first, fine, lanes = [], [], [], [], []
         for t in filled(batch.column(at)):
             x = shingles(t.as_py(), width)
             sig.append(xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63))
             size.append(len(x))
+            fine.append(fine_sketch(x, 1))
             lanes.append(sketch(x))
             x = x.view(np.int64)
             if len(keys):
@@ -136,27 +140,58 @@ def with_sets(docs: DataFrame, width: int = WIDTH, bound: tuple[int, int] = BOUN
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in first])]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
         parity = np.array(lanes, np.int64).reshape(-1, len(LANES))
-        return [pa.array(sig, pa.int64()), pa.array(size, pa.int64()), lists, *(pa.array(parity[:, k]) for k in range(len(LANES)))]
+        made = [pa.array(sig, pa.int64()), pa.array(size, pa.int64()), lists, pa.array(fine, pa.binary())]
+        return [*made, *(pa.array(parity[:, k]) for k in range(len(LANES)))]
 
-    fields = "sig bigint, n bigint, tokens array<bigint>, " + ", ".join(f"{s} bigint" for s in LANES)
+    fields = "sig bigint, n bigint, tokens array<bigint>, fine binary, " + ", ".join(f"{s} bigint" for s in LANES)
     return add_columns(rows, kernel, fields, ("text",))
 
 
+def first_shared(carried: DataFrame) -> DataFrame:
+    """The rows of `carried` (`token, sig, pos`) without shingles that the same sets carry as an earlier one.
+
+    Two sets are compared at the first shingle they share, and that is the first of all its own sets share. Which sets
+    these are is told by their number, the ends and two sums of hashes.
+    """
+    by = carried.groupBy("token").agg(
+        F.count("*").alias("all"), F.min("sig").alias("low"), F.max("sig").alias("high"), F.min_by("pos", "sig").alias("at"),
+        F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64("sig", F.lit(1))).alias("y"),
+    )
+    first = by.groupBy("all", "low", "high", "x", "y").agg(F.min_by("token", "at").alias("token"))
+    return carried.join(first.select("token"), "token", "left_semi")
+
+
+def asked_rows(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of `rows` whose `version` is in `asked` (`sig, version`), with that `sig`, one for each version.
+
+    However many are asked for, no more of `rows` is shuffled than these and some that share a hash with one of them.
+    """
+    spot = F.pmod("version", F.lit(SPOTS))
+    spots = F.broadcast(asked.select(spot.alias("spot")).distinct())
+    some = rows.withColumn("spot", spot).join(spots, "spot", "left_semi").drop("spot")
+    return some.join(asked, "version").dropDuplicates(["version"])
+
+
+def sets_of(pairs: DataFrame, one: DataFrame) -> DataFrame:
+    """`sig, version` of the sets in `pairs` (`a, b`), as a written table."""
+    asked = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+    return stage(asked.join(one.select("sig", "version"), "sig"), "similar-asked")
+
+
 def whole_sets(asked: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """`sig, items, fine`, the whole set of each of `asked` (`sig, version`) and its fine sketch, as a written table."""
-    rows = texts.withColumn("version", F.xxhash64("text")).join(asked, "version").dropDuplicates(["version"]).select("sig", "text")
+    """`sig, items`, the whole set of each of `asked` (`sig, version`), as a written table."""
+    rows = asked_rows(texts.withColumn("version", F.xxhash64("text")), asked).select("sig", "text")
 
     def kernel(batch: pa.RecordBatch) -> list[pa.Array]:
-        made = [shingles(t.as_py(), width) for t in filled(batch.column(1))]
-        return [pa.array([x.view(np.int64) for x in made], pa.list_(pa.int64())), pa.array([fine_sketch(x) for x in made], pa.binary())]
+        return [pa.array([shingles(t.as_py(), width).view(np.int64) for t in filled(batch.column(1))], pa.list_(pa.int64()))]
 
-    return stage(add_columns(rows, kernel, "items array<bigint>, fine binary", ("text",)), "similar-items")
+    return stage(add_columns(rows, kernel, "items array<bigint>", ("text",)), "similar-items")
 
 
-def close_pairs(pairs: DataFrame, items: DataFrame, bound: tuple[int, int]) -> DataFrame:
-    """The rows of `pairs` (`a, b, ra, rb`) whose fine sketches allow the bound, as a written table."""
+def close_pairs(pairs: DataFrame, fine: DataFrame, bound: tuple[int, int]) -> DataFrame:
+    """The rows of `pairs` (`a, b, ra, rb`) whose fine sketches (`sig, n, fine`) allow the bound, as a written table."""
     num, den = bound
-    of = lambda c: items.select(F.col("sig").alias(c), F.size("items").alias(f"{c}_n"), F.col("fine").alias(f"{c}_fine"))
+    of = lambda c: fine.select(F.col("sig").alias(c), F.col("n").alias(f"{c}_n"), F.col("fine").alias(f"{c}_fine"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     at, to = both.columns.index("a_fine"), both.columns.index("b_fine")
 
@@ -186,12 +221,13 @@ def similar_groups(texts: DataFrame, roots: DataFrame, width: int = WIDTH, bound
         # Rows of one set are equal but for the version.
         one = sets.groupBy("sig").agg(F.min("version").alias("version"), *(F.first(c).alias(c) for c in ("n", *LANES)))
         one = keep(one.join(first, "sig"), "similar-sets")
+        fines = keep(sets.select("version", "n", "fine"), "similar-fines")
         spread = sets.select("sig", F.posexplode("tokens").alias("pos", "token"))
         # One row for each shingle: the smallest and the greatest set that carry it tell whether there are two.
         again = spread.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).filter("low <> high")
         again = stage(again.select("token"), "similar-again")
         shared = spread.join(again, "token", "left_semi").groupBy("token", "sig").agg(F.min("pos").alias("pos"))
-        shared = keep(shared, "similar-shared")
+        shared = keep(first_shared(stage(shared, "similar-carried")), "similar-shared")
     groups = components(links)
     active = shared.join(one.drop("version"), "sig")
     some, turn = FIRST, 0
@@ -224,10 +260,10 @@ def similar_groups(texts: DataFrame, roots: DataFrame, width: int = WIDTH, bound
         )
         pairs = stage(pairs.distinct(), "similar-pairs")
         with scratch(spark) as keep:
-            # Whole sets of these pairs only, for this round only; their sketches leave few pairs that sets go to.
-            asked = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-            items = whole_sets(stage(asked.join(one.select("sig", "version"), "sig"), "similar-asked"), texts, width)
-            pairs = close_pairs(pairs, items, bound)
+            # Sketches of these pairs only, then whole sets of the few that these leave, for this round only.
+            fine = stage(asked_rows(fines, sets_of(pairs, one)).select("sig", "n", "fine"), "similar-fine")
+            pairs = close_pairs(pairs, fine, bound)
+            items = whole_sets(sets_of(pairs, one), texts, width)
             left = pairs.join(items.select(F.col("sig").alias("a"), F.col("items").alias("x")), "a")
             both = left.join(items.select(F.col("sig").alias("b"), F.col("items").alias("y")), "b")
             both = both.select("ra", "rb", F.size(F.array_intersect("x", "y")).alias("k"), (F.size("x") + F.size("y")).alias("sum"))

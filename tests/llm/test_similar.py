@@ -104,6 +104,54 @@ def test_whole_sets_of_candidates_only(spark, monkeypatch):
     assert written["similar-close"] == 1
 
 
+def test_sets_of_close_pairs_only(spark, monkeypatch):
+    """However many long unlike texts share a passage, only sets of near copies are written and moved."""
+    written = {}
+
+    def counted(df, label, *more):
+        done = stage(df, label, *more)
+        written.setdefault(label, []).append(done.count())
+        return done
+
+    monkeypatch.setattr(similar, "stage", counted)
+    rng = random.Random(7)
+    texts = [[*(f"p{i}" for i in range(100)), *(f"v{k}x{i}" for i in range(2000))] for k in range(8)]
+    base = [f"w{i}" for i in range(300)]
+    texts += [base, edited(rng, base, 5)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = kept(spark, spark.createDataFrame(rows, "doc_id BIGINT, text STRING"))
+    assert got == slow_kept(rows) == list(range(9))
+    assert sum(written["similar-items"]) == 2
+    assert sum(written["similar-fine"]) > 8
+    # Most shingles of the passage have the same carriers, and so have those of the near copies: one of each is enough.
+    assert written["similar-places"][0] <= 3 * 10
+
+
+def test_first_shared_shingles_stay(spark):
+    rng = random.Random(11)
+    sets = [[(s, t) for t in sorted(rng.sample(range(60), rng.randrange(1, 25)))] for s in range(30)]
+    sets += [[(s, t) for t in range(100, 160)] for s in (100, 101, 102)]
+    rows = [(t, s, pos) for held in sets for pos, (s, t) in enumerate(held)]
+    got = similar.first_shared(spark.createDataFrame(rows, "token BIGINT, sig BIGINT, pos INT").repartition(3)).collect()
+    left = {r.token for r in got}
+    assert sorted(map(tuple, got)) == sorted(r for r in rows if r[0] in left)
+    for a in sets:
+        for b in sets:
+            both = {t for _, t in a} & {t for _, t in b}
+            assert a is b or not both or min(both) in left
+    assert len([t for t in left if t >= 100]) == 1
+
+
+@pytest.mark.parametrize("spots", [1, 7, 1 << 20])
+def test_asked_rows(spark, monkeypatch, spots):
+    monkeypatch.setattr(similar, "SPOTS", spots)
+    rows = spark.createDataFrame([(v, f"t{v}") for v in [*range(-20, 20), 3, 4]], "version BIGINT, text STRING")
+    asked = spark.createDataFrame([(10, 3), (11, -20), (12, 99)], "sig BIGINT, version BIGINT")
+    got = similar.asked_rows(rows, asked).select("sig", "version", "text").collect()
+    assert sorted(map(tuple, got)) == [(10, 3, "t3"), (11, -20, "t-20")]
+    assert similar.asked_rows(rows, asked.limit(0)).collect() == []
+
+
 def test_nothing_but_the_answer_stays(spark):
     rows = [(i, " ".join(f"w{j}" for j in range(i // 2, 100))) for i in range(12)]
     home = Path(fresh_path(spark, "x").removeprefix("file:")).parent
